@@ -53,6 +53,11 @@ def bounded_sample(df: DataFrame, key: str, bound: int, seed: int = 7) -> DataFr
     return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < cut)
 
 
+def quantiles(ordered: list, parts: int) -> list:
+    """At most parts - 1 distinct cuts that deal the ordered values to parts of about equal size."""
+    return sorted({ordered[len(ordered) * k // parts] for k in range(1, parts)}) if ordered else []
+
+
 def slices(batches: Iterator[pa.RecordBatch], text_index: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each piece has at most `limit` bytes of text, or one row."""
     for batch in batches:

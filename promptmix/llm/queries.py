@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, quality, toxicity
+from . import bpe, decontaminate, fingerprint, html, langid, quality, toxicity
 from .common import in_fold, table
 
 
@@ -35,6 +35,28 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def tokenizer_path() -> str:
+    """The public tokenizer file of the registered query; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    rules = bpe.Rules(tokenizer_path())
+    image = bpe.compile_lexicon(rules, bpe.frequent_words(docs))
+    return bpe.digests(docs, rules, image, keep=["doc_id"])
+
+
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_next(_documents(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold=(5, 0))
@@ -54,7 +76,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_decontaminate": op3_decontaminate,
+    "op4_html_extraction": op4_html_extraction,
     "op5_toxicity": op5_toxicity,
+    "op6_bpe": op6_bpe,
+    "op8_fingerprint": op8_fingerprint,
     "op9_quality": op9_quality,
 }
 

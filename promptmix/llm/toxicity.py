@@ -15,20 +15,22 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, in_fold, map_texts, words_of
 
-MAX_POSITIVE = 4_000
-MAX_UNLABELLED = 16_000
+MAX_POSITIVE = 3_000
+MAX_UNLABELLED = 8_000
 #: Lengths, in characters, of the word beginnings that are features beside the whole word.
 BEGINNINGS = (4, 5, 6)
 CACHED_WORDS = 300_000
 #: A word or beginning is a feature if at least so many positives hold it, and the commonest of them are kept.
 MIN_POSITIVES = 8
 MAX_FEATURES = 20_000
-EPOCHS = 400
+EPOCHS = 250
 L1 = 3e-4
 
 
@@ -69,27 +71,22 @@ class Model:
         return run
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = EPOCHS, l1: float = L1) -> Model:
-    """positive, unlabelled: the feature hashes of each document, each once and sorted."""
+def vocabulary(counted: list[tuple[int, int]], positives: int) -> np.ndarray:
+    """The features held by enough positives, the commonest at most MAX_FEATURES, sorted; from (feature, count)."""
+    enough = MIN_POSITIVES if positives >= MIN_POSITIVES else 1
+    return np.sort(np.array([w for w, n in sorted(counted, key=lambda x: (-x[1], x[0])) if n >= enough][:MAX_FEATURES], dtype=np.int64))
+
+
+def fit(words: np.ndarray, positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], prior: float, epochs: int = EPOCHS, l1: float = L1) -> Model:
+    """words: the features. positive, unlabelled: the number of features in each document, and the indexes in words
+    of all of them, one document after another."""
     prior = min(max(prior, 1e-3), 0.999)
     start = float(np.log(prior / (1 - prior)))
-    if not positive or not unlabelled:
-        return Model(start, {})
-    words, df = np.unique(np.concatenate([*positive, np.zeros(0, np.int64)]), return_counts=True)
-    words = words[df >= MIN_POSITIVES] if len(positive) >= MIN_POSITIVES else words
-    if len(words) > MAX_FEATURES:
-        by_df = dict(zip(*np.unique(np.concatenate(positive), return_counts=True), strict=True))
-        words = np.sort(np.array(sorted(words.tolist(), key=lambda w: (-by_df[w], w))[:MAX_FEATURES], dtype=np.int64))
-    if not len(words):
+    if not len(words) or not len(positive[0]) or not len(unlabelled[0]):
         return Model(start, {})
-
-    def rows(docs):
-        at = [np.searchsorted(words, d) for d in docs]
-        cols = [a[(a < len(words)) & (words[np.minimum(a, len(words) - 1)] == d)] for a, d in zip(at, docs, strict=True)]
-        return np.repeat(np.arange(len(docs)), [len(c) for c in cols]), np.concatenate(cols).astype(np.int64)
-
-    (pr, pc), (ur, uc) = rows(positive), rows(unlabelled)
-    n_p, n_u, m = len(positive), len(unlabelled), len(words)
+    (p_size, pc), (u_size, uc) = positive, unlabelled
+    pr, ur = np.repeat(np.arange(len(p_size)), p_size), np.repeat(np.arange(len(u_size)), u_size)
+    n_p, n_u, m = len(p_size), len(u_size), len(words)
     w, b = np.zeros(m), start
     mom, vel = np.zeros(m + 1), np.zeros(m + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -128,11 +125,23 @@ def train(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] | None = Non
     texts = docs.where(use).select(id_col, text_col)
     chosen = bounded_sample(texts, id_col, max_unlabelled, seed=13).select(id_col, text_col, F.lit(False).alias("__positive"))
     marked = texts.join(F.broadcast(positive), id_col)
+    held = map_texts(marked, lambda: lambda found: [[text_features(t) for t in found]], "found array<bigint>", text_col, [])
+    n_positive = marked.count()
+    counts = held.select(F.explode("found").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    top = counts.where(F.col("n") >= (MIN_POSITIVES if n_positive >= MIN_POSITIVES else 1)).orderBy(F.desc("n"), "w").limit(MAX_FEATURES)
+    words = vocabulary([tuple(r) for r in top.collect()], n_positive)
     both = marked.select(text_col, "__positive").unionByName(chosen.select(text_col, "__positive"))
 
-    rows = map_texts(both, lambda: lambda found: [[text_features(t) for t in found]], "found array<bigint>", text_col, ["__positive"]).toPandas()
-    part = lambda flag: [np.asarray(x, dtype=np.int64) for x in rows.loc[rows["__positive"] == flag, "found"]]
-    return fit(part(True), part(False), float(prior))
+    def make():
+        place = {w: i for i, w in enumerate(words.tolist())}
+        return lambda found: [[sorted(place[h] for h in text_features(t).tolist() if h in place) for t in found]]
+
+    table = map_texts(both, make, "found array<int>", text_col, ["__positive"]).toArrow()
+    parts = []
+    for flag in (True, False):
+        lists = table.filter(table["__positive"] if flag else pa.compute.invert(table["__positive"]))["found"]
+        parts.append((pa.compute.list_value_length(lists).to_numpy(), pa.compute.list_flatten(lists).to_numpy()))
+    return fit(words, *parts, float(prior))
 
 
 def annotate(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, score_col: str = "toxicity") -> DataFrame:
