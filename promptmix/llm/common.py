@@ -53,6 +53,18 @@ def bounded_sample(df: DataFrame, key: str, bound: int, seed: int = 7) -> DataFr
     return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < cut)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written once to the shared checkpoint folder, so lost executors don't undo it.
+
+    The folder is the session's spark.checkpoint.dir; only where that is unset (as in tests) a local one is used."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        import tempfile
+
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="promptmix-"))
+    return df.checkpoint()
+
+
 def quantiles(ordered: list, parts: int) -> list:
     """At most parts - 1 distinct cuts that deal the ordered values to parts of about equal size."""
     return sorted({ordered[len(ordered) * k // parts] for k in range(1, parts)}) if ordered else []

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, html, langid, quality, toxicity
-from .common import in_fold, table
+from . import bpe, decontaminate, fingerprint, html, langid, lm, neardup, quality, toxicity
+from .common import checkpointed, in_fold, table
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, rules, image, keep=["doc_id"])
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.join(_documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_next(_documents(spark, sf_dir))
 
@@ -73,13 +77,21 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).withColumn("held_out", in_fold("doc_id", 7, 2))
+    counts = checkpointed(lm.count(docs.where(~F.col("held_out"))))
+    return lm.score(docs, counts, lm.train_tree(counts), keep=["held_out"])
+
+
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_decontaminate": op3_decontaminate,
     "op4_html_extraction": op4_html_extraction,
     "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_fingerprint": op8_fingerprint,
+    "op10_lm_scoring": op10_lm_scoring,
     "op9_quality": op9_quality,
 }
 
