@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, html, langid, lm, neardup, quality, toxicity
+from . import bpe, decontaminate, fingerprint, html, langid, lm, neardup, quality, secret_scan, toxicity
 from .common import checkpointed, in_fold, table
 
 
@@ -14,6 +14,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.annotate(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secret_scan.as_text("base_spans"), 256).alias("base_sha256"), secret_scan.as_text("spans").alias("spans"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs, fold=(4, 2))
@@ -84,6 +89,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
     "op3_decontaminate": op3_decontaminate,
     "op4_html_extraction": op4_html_extraction,
