@@ -3,6 +3,7 @@ the word rule used by matching operators, deterministic splits and bounded sampl
 
 from __future__ import annotations
 
+import tempfile
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -53,15 +54,17 @@ def bounded_sample(df: DataFrame, key: str, bound: int, seed: int = 7) -> DataFr
     return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < cut)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written once to the shared checkpoint folder, so lost executors don't undo it.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (as in tests) a local one is used."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, which all executors see; a local one only where it is unset, as in tests."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="promptmix-"))
+    return context.getCheckpointDir()
 
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="promptmix-"))
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written once to the shared checkpoint folder, so lost executors don't undo it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
