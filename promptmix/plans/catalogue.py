@@ -1,6 +1,721 @@
-"""The catalogue of registered queries and of their DuckDB equivalents."""
+"""The catalogue of registered queries and of their DuckDB equivalents. Every query covers its whole tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import rules, text
+from ..functions.held import held
+from ..functions.places import places
+from ..operators import assemble, generate, judge, metrics, sampling, spans
+from ..streaming import redact as streaming
+from . import pipeline
+from .fixtures import FAKES_SQL, NER_SQL, PATTERN, SPANS_SQL, VARIANTS, prompts, table, with_fakes
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a function of (spark, sf_dir), with its SQL if SQL can express it."""
+
+    def keep(function):
+        QUERIES[name or function.__name__] = function
+        if sql:
+            ORACLE[name or function.__name__] = sql
+        return function
+
+    return keep
+
+
+# Composition and the micro-format.
+
+
+@query(f"WITH {NER_SQL} SELECT doc_id, ner FROM ner")
+def compose_ner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prompts(spark, sf_dir)
+
+
+@query(f"WITH {SPANS_SQL} SELECT doc_id, CAST(pos AS INT) AS pos, word, type FROM spans")
+def parse_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.span_table(prompts(spark, sf_dir))
+
+
+@query(f"WITH {SPANS_SQL} SELECT doc_id, word, type, CAST(min(pos) AS INT) AS first_pos, count(*) AS n, word || '|' || type AS uid FROM spans GROUP BY doc_id, word, type")
+def group_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.grouped(spans.span_table(prompts(spark, sf_dir)))
+    return found.select("doc_id", "word", "type", F.get("positions", F.lit(0)).alias("first_pos"), F.size("positions").cast("long").alias("n"), "uid")
+
+
+@query(
+    f"""WITH {SPANS_SQL}, cut AS (
+  SELECT doc_id, CAST(pos AS INT) AS pos, word, regexp_extract(word, '^[\\p{{P}}\\p{{S}}]+') AS a, regexp_extract(word, '[\\p{{P}}\\p{{S}}]+$') AS z,
+    regexp_replace(word, '^[\\p{{P}}\\p{{S}}]+|[\\p{{P}}\\p{{S}}]+$', '', 'g') AS core FROM spans)
+SELECT doc_id, pos, CASE WHEN core = '' THEN '' ELSE a END AS prefix, CASE WHEN core = '' THEN word ELSE core END AS core, CASE WHEN core = '' THEN '' ELSE z END AS suffix FROM cut"""
+)
+def affix_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spans.span_table(prompts(spark, sf_dir)).withColumn("a", spans.affixes(F.col("word")))
+    return rows.select("doc_id", "pos", "a.prefix", "a.core", "a.suffix")
+
+
+@query(f"WITH {NER_SQL} SELECT doc_id, trim(regexp_replace(regexp_replace(ner, '{PATTERN}', '<redacted>', 'g'), '\\s+', ' ', 'g')) AS template FROM ner")
+def template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prompts(spark, sf_dir).select("doc_id", spans.template(F.col("ner")).alias("template"))
+
+
+@query(
+    f"""WITH {SPANS_SQL}, tpl AS (SELECT doc_id, string_split(trim(regexp_replace(regexp_replace(ner, '{PATTERN}', '<redacted>', 'g'), '\\s+', ' ', 'g')), '<redacted>') AS p FROM ner)
+SELECT s.doc_id, CAST(s.pos AS INT) AS pos, list_aggregate(list_transform(p[1 : CAST(s.pos AS INT) + 1], lambda x, i: x || CASE WHEN i = s.pos + 1 THEN '[TARGET]' ELSE '<redacted>' END), 'string_agg', '') AS prefix FROM spans s JOIN tpl USING (doc_id)"""
+)
+def prefix_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = prompts(spark, sf_dir).withColumn("tpl", spans.template(F.col("ner"))).withColumn("s", spans.parsed(F.col("ner")))
+    at = rows.select("doc_id", "tpl", F.transform("s", lambda x: x["word"]).alias("real"), F.posexplode("s").alias("pos", "x"))
+    return at.select("doc_id", "pos", spans.prompt_with_target(F.col("tpl"), F.col("pos"), F.col("real")).alias("prefix"))
+
+
+# Recognition, labels, overlaps.
+
+
+def _places_sql(pattern: str, kind: str) -> str:
+    """doc_id, entity_type, s, e, word of the matches of a pattern in documents."""
+    return f"""SELECT doc_id, '{kind}' AS entity_type, CAST(sum(gap + len) OVER w - len AS INT) AS s, CAST(sum(gap + len) OVER w AS INT) AS e, word FROM (
+  SELECT doc_id, i, length(p[i]) AS gap, length(m[i]) AS len, m[i] AS word FROM (
+    SELECT doc_id, p, m, unnest(generate_series(1, len(m))) AS i FROM (
+      SELECT doc_id, string_split_regex(text, '{pattern}') AS p, regexp_extract_all(text, '{pattern}') AS m FROM documents)))
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)"""
+
+
+ENTITIES_SQL = "entities AS (" + " UNION ALL ".join(_places_sql(p, k) for k, p in spans.RECOGNISERS.items()) + ")"
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.RegexRecogniser().entities(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.entity_type", F.col("x.start").alias("s"), F.col("x.end").alias("e"), F.col("x.text").alias("word"))
+
+
+@query(f"WITH {ENTITIES_SQL} SELECT doc_id, entity_type, s, e, word FROM entities")
+def regex_ner_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir)
+
+
+def _nested_replace(column: str) -> str:
+    for kind, pattern in spans.RECOGNISERS.items():
+        column = f"regexp_replace({column}, '{pattern}', '<redacted> \\0 ({kind}) </redacted>', 'g')"
+    return column
+
+
+@query(f"SELECT doc_id, md5({_nested_replace('text')}) AS redacted_md5, CAST(length({_nested_replace('text')}) AS BIGINT) AS n FROM documents")
+def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = streaming.redact(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.md5("redacted").alias("redacted_md5"), F.length("redacted").cast("long").alias("n"))
+
+
+@query(f"WITH {SPANS_SQL} SELECT doc_id, CAST(pos AS INT) AS pos, word FROM spans WHERE regexp_matches(word, '(?i)(^|[^A-Za-z])({text.CALENDAR})($|[^A-Za-z])')")
+def month_weekday_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.span_table(prompts(spark, sf_dir)).where(text.has_calendar_word(F.col("word"))).select("doc_id", "pos", "word")
+
+
+CJK_ROWS = [(-1, "你好世界"), (-2, "你好 ab"), (-3, "hello 世 world"), (-4, ""), (-5, "plain")]
+_CJK_VALUES = ", ".join(f"({i}, '{t}')" for i, t in CJK_ROWS)
+
+
+@query(
+    f"""WITH rows AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {_CJK_VALUES}) v(doc_id, text)),
+r AS (SELECT doc_id, text, coalesce(length(regexp_replace(text, '[^一-鿿]', '', 'g')) / nullif(length(regexp_replace(text, '\\s', '', 'g')), 0), 0.0) AS ratio FROM rows)
+SELECT doc_id, round(CAST(ratio AS DOUBLE), 6) AS ratio, CASE WHEN ratio >= 0.5 THEN 'drop' WHEN ratio > 0 THEN 'strip' ELSE 'keep' END AS action,
+  CAST(CASE WHEN ratio >= 0.5 THEN 0 ELSE length(regexp_replace(text, '[一-鿿]', '', 'g')) END AS BIGINT) AS n FROM r"""
+)
+def cjk_ratio_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    literal = spark.createDataFrame(CJK_ROWS, "doc_id long, text string")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(literal).withColumn("ratio", text.cjk_ratio(F.col("text")))
+    action = F.when(F.col("ratio") >= 0.5, "drop").when(F.col("ratio") > 0, "strip").otherwise("keep")
+    left = F.when(action == "drop", 0).otherwise(F.length(text.strip_cjk(F.col("text")))).cast("long")
+    return rows.select("doc_id", F.round("ratio", 6).alias("ratio"), action.alias("action"), left.alias("n"))
+
+
+RAW_LABELS = ("GIVENNAME", " city ", "ZIPCODE", "Nickname", "email")
+_LABELS_SQL = ", ".join(f"('{a}', '{b}')" for a, b in spans.LABEL_MAP.items())
+
+
+@query(
+    f"""WITH m AS (SELECT * FROM (VALUES {_LABELS_SQL}) v(raw, label)), rows AS (SELECT doc_id, upper(trim([{", ".join(f"'{x}'" for x in RAW_LABELS)}][CAST(doc_id % 5 AS INT) + 1])) AS raw FROM documents WHERE lang = 'en')
+SELECT doc_id, coalesce(label, rows.raw) AS label FROM rows LEFT JOIN m ON rows.raw = m.raw"""
+)
+def language_filter_labelmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.get(F.array(*[F.lit(x) for x in RAW_LABELS]), (F.col("doc_id") % 5).cast("int"))
+    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", spans.mapped_label(raw).alias("label"))
+
+
+OTHER = {"ADDRESS": r"[^\s@]+@[^\s@]+", "NUMBER": "[0-9]{2,}"}
+_OTHER_SQL = " UNION ALL ".join(_places_sql(p, k) for k, p in OTHER.items())
+
+
+def _other_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [table(spark, sf_dir, "documents").select("doc_id", F.lit(k).alias("entity_type"), F.explode(places(F.col("text"), p)).alias("x")) for k, p in OTHER.items()]
+    return parts[0].unionByName(parts[1]).select("doc_id", "entity_type", "x.start", "x.end", "x.word")
+
+
+@query(
+    f"""WITH {ENTITIES_SQL}, other AS ({_OTHER_SQL}), numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, entity_type) AS idx FROM entities),
+met AS (SELECT o.doc_id, o.s, o.e, o.entity_type AS kind, n.entity_type AS label, row_number() OVER (PARTITION BY o.doc_id, o.s, o.e, o.entity_type ORDER BY least(o.e, n.e) - greatest(o.s, n.s) DESC, n.idx) AS r
+  FROM other o LEFT JOIN numbered n ON o.doc_id = n.doc_id AND o.s < n.e AND n.s < o.e)
+SELECT doc_id, kind, s, e, label FROM met WHERE r = 1"""
+)
+def overlap_best_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = F.array_sort(F.transform(spans.RegexRecogniser().entities(F.col("text")), lambda x: F.struct(x["start"], x["end"], x["entity_type"])))
+    entities = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(ordered).alias("idx", "x")).select("doc_id", "idx", "x.start", "x.end", F.col("x.entity_type").alias("label"))
+    found = spans.best_labels(_other_spans(spark, sf_dir).select("doc_id", F.col("entity_type").alias("kind"), "start", "end"), entities)
+    return found.select("doc_id", "kind", F.col("start").alias("s"), F.col("end").alias("e"), "label")
+
+
+@query(
+    f"""WITH {ENTITIES_SQL}, every AS (SELECT doc_id, s, e, entity_type FROM entities UNION ALL SELECT doc_id, s, e, entity_type FROM ({_OTHER_SQL})),
+cut AS (SELECT doc_id, entity_type, e, greatest(s, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, e, entity_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS s FROM every)
+SELECT doc_id, CAST(s AS INT) AS s, e, entity_type FROM cut WHERE e > s"""
+)
+def clip_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def of(kind: str, pattern: str):
+        return F.transform(places(F.col("text"), pattern), lambda x: F.named_struct(F.lit("start"), x["start"], F.lit("end"), x["end"], F.lit("label"), F.lit(kind)))
+
+    found = [of(k, p) for k, p in (spans.RECOGNISERS | OTHER).items()]
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(spans.clipped(F.array_sort(F.concat(*found)), F.length("text"))).alias("x"))
+    return rows.select("doc_id", F.col("x.start").alias("s"), F.col("x.end").alias("e"), F.col("x.label").alias("entity_type"))
+
+
+@query()
+def deleted_spans_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = F.regexp_replace("ner", PATTERN, "$1")
+    masked = F.regexp_replace("ner", PATTERN, "<PII>")
+    rows = prompts(spark, sf_dir).select("doc_id", plain.alias("original"), masked.alias("masked"))
+    return rows.select("doc_id", F.posexplode(spans.deleted_spans("original", "masked")).alias("i", "x")).select("doc_id", "i", F.col("x.start").alias("s"), F.col("x.end").alias("e"))
+
+
+@query()
+def entity_trim_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrase = F.concat(F.lit(" the "), F.col("p_name"), F.lit(" and "), F.col("p_brand"), F.lit(" & "), F.col("p_type"), F.lit("., "))
+    rows = table(spark, sf_dir, "part").select("p_partkey", phrase.alias("text"))
+    whole = F.array(F.struct(F.lit("PRODUCT").alias("entity_type"), F.lit(0).alias("start"), F.length("text").alias("end"), F.lit(1.0).alias("score")))
+    return rows.select("p_partkey", F.explode(spans.refined_entities(F.col("text"), whole)).alias("x")).select("p_partkey", "x.entity_type", F.col("x.start").alias("s"), F.col("x.end").alias("e"), F.col("x.text").alias("word"))
+
+
+# Sampling, language model, neighbours.
+
+SAMPLE = 100
+
+
+@query(f"SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT {SAMPLE}")
+def seeded_sample_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.exact_sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SAMPLE)
+
+
+LM_SQL = r"""lists AS (SELECT regexp_extract_all(lower(text), '\S+') AS w FROM documents),
+pairs AS (SELECT w[i] AS prev, w[i + 1] AS next FROM (SELECT w, unnest(generate_series(1, len(w) - 1)) AS i FROM lists)),
+counted AS (SELECT prev, next, count(*) AS c FROM pairs GROUP BY prev, next),
+lm AS (SELECT prev, next, c, c / sum(c) OVER (PARTITION BY prev) AS p FROM counted)"""
+
+
+def _lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.bigrams(table(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {LM_SQL} SELECT prev, next, c, round(p, 6) AS p FROM lm")
+def bigram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lm(spark, sf_dir).withColumn("p", F.round("p", 6))
+
+
+_BAND_SQL = "best AS (SELECT prev, max(p) AS q FROM lm GROUP BY prev)"
+
+
+@query(f"WITH {LM_SQL}, {_BAND_SQL} SELECT prev, next, round(p, 6) AS p FROM lm JOIN best USING (prev) WHERE abs(p / q - 1) <= 0.5")
+def band_filter_rel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lm = _lm(spark, sf_dir)
+    return lm.join(sampling.best_next(lm), "prev").where(sampling.in_relative_band(F.col("p"), F.col("q"), 2)).select("prev", "next", F.round("p", 6).alias("p"))
+
+
+@query(f"WITH {LM_SQL}, {_BAND_SQL}, low AS (SELECT prev, floor(q * 10) / 10 + 0.001 AS lo FROM best) SELECT prev, next, round(p, 6) AS p FROM lm JOIN low USING (prev) WHERE p >= lo AND p < lo + 0.1")
+def band_filter_abs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lm = _lm(spark, sf_dir)
+    return lm.join(sampling.best_next(lm), "prev").where(sampling.in_absolute_band(F.col("p"), F.col("q"), 10)).select("prev", "next", F.round("p", 6).alias("p"))
+
+
+KNN_SQL = """vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+cos AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 6) AS cosine FROM vec a JOIN vec b ON a.vec_id <> b.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, neighbour) AS INT) AS rank FROM cos)"""
+TOP = 64
+
+
+@query(f"WITH {KNN_SQL} SELECT vec_id, neighbour, rank, cosine FROM ranked WHERE rank <= 10")
+def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.nearest(table(spark, sf_dir, "embeddings"), 10)
+
+
+@query(f"WITH {KNN_SQL} SELECT vec_id, neighbour, rank FROM ranked WHERE rank > floor((SELECT count(*) - 1 FROM vec) * 0.05) AND rank <= {TOP * 2}")
+def knn_excl_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return sampling.without_nearest(sampling.nearest(vectors, TOP * 2), vectors.count() - 1, 0.05, TOP * 2).select("vec_id", "neighbour", "rank")
+
+
+@query(
+    f"""WITH {LM_SQL}, {_BAND_SQL}, tiers AS (
+  SELECT prev, 1 AS tier, next AS word FROM lm JOIN best USING (prev) WHERE p < q AND abs(p / q - 1) <= 0.5
+  UNION ALL SELECT prev, 2, next FROM lm JOIN best USING (prev) WHERE p = q UNION ALL SELECT prev, 3, prev FROM best)
+SELECT prev, tier, count(*) AS n, min(word) AS first FROM tiers JOIN (SELECT prev, min(tier) AS tier FROM tiers GROUP BY prev) USING (prev, tier) GROUP BY prev, tier"""
+)
+def fallback_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lm = _lm(spark, sf_dir)
+    met = lm.join(sampling.best_next(lm), "prev")
+    band = met.where((F.col("p") < F.col("q")) & sampling.in_relative_band(F.col("p"), F.col("q"), 2)).select("prev", F.lit(1).alias("tier"), F.col("next").alias("word"))
+    best = met.where("p = q").select("prev", F.lit(2).alias("tier"), F.col("next").alias("word"))
+    itself = lm.select("prev").distinct().select("prev", F.lit(3).alias("tier"), F.col("prev").alias("word"))
+    return sampling.first_tier(band.unionByName(best).unionByName(itself), "prev").groupBy("prev", "tier").agg(F.count("*").alias("n"), F.min("word").alias("first"))
+
+
+GAMMA = 8
+
+
+def _beam_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\S+"), F.lit(0))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), words.alias("w")).where(F.size("w") >= 3)
+
+
+def _beam(spark: SparkSession, sf_dir: str, lm: DataFrame) -> DataFrame:
+    starts = _beam_starts(spark, sf_dir)
+    first = F.get("w", F.lit(0))
+    paths = starts.select("id", F.array(first).alias("path"), first.alias("last"), F.lit(1.0).alias("weight"))
+    for step in (1, 2):
+        real = starts.select("id", F.get("w", F.lit(step - 1)).alias("before"), F.get("w", F.lit(step)).alias("word"))
+        paths = sampling.beam_step(paths.join(real, "id"), lm, F.col("word"), GAMMA, 2, 42, step)
+    return paths.select(F.col("id").alias("item_id"), F.array_join("path", " ").alias("path"), F.round("weight", 6).alias("weight"))
+
+
+def _beam_sql() -> str:
+    sql, before = f"WITH {LM_SQL}, start AS (SELECT item_id AS id, regexp_extract_all(lower(text), '\\S+') AS w FROM benchmark), s0 AS (SELECT id, w, w[1] AS path, w[1] AS last, CAST(1.0 AS DOUBLE) AS weight FROM start WHERE len(w) >= 3)", "s0"
+    for k in (1, 2):
+        sql += f""", m{k} AS (SELECT b.*, q.p AS q, p.next AS candidate, p.p AS p FROM {before} b LEFT JOIN lm q ON q.prev = b.w[{k}] AND q.next = b.w[{k + 1}] LEFT JOIN lm p ON p.prev = b.last),
+ok{k} AS (SELECT id, w, path, candidate, weight * p / q AS weight FROM m{k} WHERE abs(p / q - 1) <= 0.5),
+all{k} AS (SELECT id, w, path || ' ' || candidate AS path, candidate AS last, weight FROM ok{k} UNION ALL
+  SELECT id, w, path || ' ' || w[{k + 1}], w[{k + 1}], weight FROM {before} b WHERE NOT EXISTS (SELECT 1 FROM ok{k} o WHERE o.id = b.id AND o.path = b.path)),
+s{k} AS (SELECT id, w, path, last, weight FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY md5('42:{k}:' || id || ':' || path), path) AS r FROM all{k}) WHERE r <= {GAMMA})"""
+        before = f"s{k}"
+    return sql + " SELECT id AS item_id, path, round(weight, 6) AS weight FROM s2"
+
+
+@query(_beam_sql())
+def beam_sample_gqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _beam(spark, sf_dir, _lm(spark, sf_dir))
+
+
+@query()
+def beam_sample_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same within semantic pools: the commonest words stand for the vectors in order, and a candidate must be
+    among the neighbours of the best next word; words without a vector are free."""
+    lm = _lm(spark, sf_dir)
+    vectors = table(spark, sf_dir, "embeddings")
+    top = lm.groupBy("prev").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "prev").limit(vectors.count())
+    # One row for each vector, no more, is numbered.
+    ids = top.select(F.col("prev").alias("word"), (F.row_number().over(Window.orderBy(F.desc("c"), "prev")) - 1).cast("long").alias("vec_id"))
+    near = sampling.without_nearest(sampling.nearest(vectors, TOP), 0, 0.0, TOP).select("vec_id", "neighbour")
+    pools = near.join(ids, "vec_id").join(ids.select(F.col("word").alias("next"), F.col("vec_id").alias("neighbour")), "neighbour").select(F.col("word").alias("best"), "next")
+    best = sampling.best_next(lm).select("prev", "best")
+    known = ids.select(F.col("word").alias("best"))
+    met = lm.join(best, "prev")
+    inside = met.join(pools, ["best", "next"], "left_semi").unionByName(met.join(known, "best", "left_anti")).unionByName(met.where("next = best")).dropDuplicates(["prev", "next"])
+    return _beam(spark, sf_dir, inside.select("prev", "next", "c", "p"))
+
+
+# Rules.
+
+
+@query("SELECT p_partkey, v FROM (SELECT p_partkey, unnest(list_distinct(list_transform([-5, -3, -2, -1, 1, 2, 3, 5], lambda d: least(greatest(p_size + d, 0), 100)))) AS v FROM part)")
+def rule_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(rules.percent_values(F.col("p_size"))).alias("v"))
+
+
+@query(
+    """SELECT p_partkey, v || CASE WHEN v % 100 IN (11, 12, 13) THEN 'th' WHEN v % 10 = 1 THEN 'st' WHEN v % 10 = 2 THEN 'nd' WHEN v % 10 = 3 THEN 'rd' ELSE 'th' END AS v
+FROM (SELECT p_partkey, unnest(list_distinct(list_transform([-2, -1, 1, 2], lambda d: greatest(p_size + d, 1)))) AS v FROM part)"""
+)
+def rule_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(rules.ordinal_values(F.col("p_size"))).alias("n")).select("p_partkey", rules.ordinal_text(F.col("n")).alias("v"))
+
+
+@query("SELECT p_partkey, unnest(list_distinct(list_transform([-3, -2, -1, 1, 2, 3], lambda d: greatest(p_size + d, 0)))) AS v FROM part")
+def rule_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(rules.age_values(F.col("p_size"))).alias("v"))
+
+
+@query(f"WITH {FAKES_SQL} SELECT doc_id, CAST(j AS INT) AS j, fake FROM options WHERE type = 'ID'")
+def rule_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = spans.span_table(prompts(spark, sf_dir)).where("type = 'ID'").select("doc_id", "word", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))).alias("j"))
+    return ids.select("doc_id", "j", rules.shifted_digits(F.col("word"), F.concat_ws("|", F.col("doc_id").cast("string"), "word"), F.col("j")).alias("fake"))
+
+
+def _rule_query(kind: str, name: str, word):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), word().alias("word"))
+        return rows.select("doc_id", "word", F.posexplode(rules.rule_candidates(F.col("word"), F.lit(kind), VARIANTS)).alias("i", "fake"))
+
+    QUERIES[name] = run
+
+
+_rule_query("MONEY", "rule_money", lambda: F.concat(F.lit("$"), F.format_number("o_totalprice", 2)))
+_rule_query("CARDINAL", "rule_cardinal", lambda: F.format_number(F.col("o_orderkey"), 0))
+_rule_query("QUANTITY", "rule_quantity", lambda: F.concat((F.col("o_custkey") % 90 + 10).cast("string"), F.lit(" kg")))
+_rule_query("PHONE", "rule_phone", lambda: F.concat(F.lit("+1 ("), F.lpad((F.col("o_custkey") % 1000).cast("string"), 3, "0"), F.lit(") "), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 3, "0"), F.lit("-"), F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0")))
+_rule_query("DATE", "rule_date", lambda: F.date_format("o_orderdate", "EEEE, MMM d, yyyy"))
+
+
+# Words.
+
+
+@query(
+    """SELECT c_custkey, lower(CASE WHEN array_to_string(regexp_extract_all(split_part(c_name, '@', 1), '[A-Za-z]{3,}'), '') <> '' THEN array_to_string(regexp_extract_all(split_part(c_name, '@', 1), '[A-Za-z]{3,}'), '')
+  ELSE array_to_string(regexp_extract_all(split_part(c_name, '@', 1), '[A-Za-z]+'), '') END) AS root FROM customer"""
+)
+def root_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", text.root_key(F.col("c_name")).alias("root"))
+
+
+@query()
+def casing_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", text.align_casing(F.col("p_type"), F.col("p_name")).alias("aligned"))
+
+
+@query()
+def email_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    emails = _entities(spark, sf_dir).where("entity_type = 'EMAIL'")
+    return emails.select("doc_id", "s", "word", generate.rewritten_email(F.col("word"), F.lit("Mara Quist")).alias("fake"))
+
+
+@query()
+def soft_map_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_fakes(spark, sf_dir).select("doc_id", spans.parsed(F.col("ner")).alias("s"), "fakes")
+    return rows.select("doc_id", F.posexplode(generate.soft_mapped(F.col("s"), F.col("fakes"))).alias("pos", "fakes")).select("doc_id", "pos", F.array_join("fakes", "|").alias("fakes"))
+
+
+WIDTH = 4
+
+
+@query(
+    f"""WITH {FAKES_SQL}, pool AS (SELECT DISTINCT doc_id, pos AS k, fake FROM options WHERE pos < 3),
+p0 AS (SELECT doc_id, path FROM (SELECT doc_id, fake AS path, row_number() OVER (PARTITION BY doc_id ORDER BY md5('42:0:' || doc_id || ':' || fake), fake) AS r FROM pool WHERE k = 0) WHERE r <= {WIDTH}),
+p1 AS (SELECT doc_id, path FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5('42:1:' || doc_id || ':' || path), path) AS r FROM (SELECT doc_id, path || '|' || fake AS path FROM p0 JOIN pool USING (doc_id) WHERE k = 1)) WHERE r <= {WIDTH}),
+p2 AS (SELECT doc_id, path FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5('42:2:' || doc_id || ':' || path), path) AS r FROM (SELECT doc_id, path || '|' || fake AS path FROM p1 JOIN pool USING (doc_id) WHERE k = 2)) WHERE r <= {WIDTH})
+SELECT doc_id, path FROM p2"""
+)
+def position_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pools = with_fakes(spark, sf_dir).select("doc_id", F.posexplode("fakes").alias("uid_idx", "f")).where("uid_idx < 3").select("doc_id", "uid_idx", F.explode("f").alias("option")).distinct()
+    return generate.position_beam(pools, WIDTH).select("doc_id", F.array_join("path", "|").alias("path"))
+
+
+TARGET = 8
+
+
+@query(
+    f"""WITH {FAKES_SQL}, firsts AS (SELECT doc_id, pos, fake, min(j) AS idx FROM options WHERE lower(fake) <> lower(word) GROUP BY doc_id, pos, fake),
+kept AS (SELECT doc_id, pos, list(fake ORDER BY 1 - 1 / (idx + 1), idx, fake) AS words FROM firsts GROUP BY doc_id, pos)
+SELECT doc_id, CAST(pos AS INT) AS pos, CAST(i AS INT) AS i, words[CAST(i % len(words) AS INT) + 1] AS word FROM kept, (SELECT unnest(range({TARGET})) AS i)"""
+)
+def finalise_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_fakes(spark, sf_dir).select("doc_id", F.posexplode(F.arrays_zip(spans.parsed(F.col("ner")).alias("s"), F.col("fakes").alias("f"))).alias("pos", "x"))
+    each = rows.select("doc_id", "pos", F.col("x.s.word").alias("real"), F.posexplode("x.f").alias("idx", "word")).withColumn("prob", 1 / (F.col("idx") + 1))
+    return generate.finished(each, TARGET, ["doc_id", "pos"])
+
+
+# Assembly.
+
+
+@query(f"WITH {FAKES_SQL} SELECT doc_id, CAST(sample_idx AS INT) AS sample_idx, text FROM samples")
+def assemble_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble.samples(with_fakes(spark, sf_dir), VARIANTS)
+
+
+@query(f"WITH {FAKES_SQL} SELECT doc_id, word, string_agg(fake, '|' ORDER BY j) AS fakes FROM (SELECT DISTINCT doc_id, word, fake, min(j) AS j FROM options GROUP BY doc_id, word, fake) GROUP BY doc_id, word")
+def mapping_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_fakes(spark, sf_dir)
+    return rows.select("doc_id", F.explode(assemble.mapping(rows)).alias("word", "fakes")).select("doc_id", "word", F.array_join("fakes", "|").alias("fakes"))
+
+
+def _rebuilt_sql(shift: str) -> str:
+    return f"""WITH {FAKES_SQL}, m AS (SELECT doc_id, word, list(fake ORDER BY j) AS fakes FROM (SELECT doc_id, word, fake, min(j) AS j FROM options GROUP BY doc_id, word, fake) GROUP BY doc_id, word),
+k AS (SELECT doc_id, pos, word, row_number() OVER (PARTITION BY doc_id, word ORDER BY pos) - 1 AS k FROM spans)
+SELECT k.doc_id, CAST(i AS INT) AS sample_idx, regexp_replace(any_value(p)[1] || string_agg(m.fakes[CAST((i + {shift}) % len(m.fakes) AS INT) + 1] || p[pos + 2], '' ORDER BY pos), ' {{2,}}', ' ', 'g') AS text
+FROM k JOIN m ON k.doc_id = m.doc_id AND k.word = m.word JOIN pieces ON pieces.doc_id = k.doc_id, (SELECT unnest(range({VARIANTS})) AS i) GROUP BY k.doc_id, i"""
+
+
+def _rebuilt(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    rows = with_fakes(spark, sf_dir)
+    mapped = held(rows, m=assemble.mapping(rows)).select("doc_id", "ner", "m", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))).alias("sample_idx"))
+    return mapped.select("doc_id", "sample_idx", assemble.rebuilt(F.col("ner"), F.col("m"), F.col("sample_idx"), mode).alias("text"))
+
+
+@query(_rebuilt_sql("0"))
+def rebuild_progressive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rebuilt(spark, sf_dir, "progressive")
+
+
+@query(_rebuilt_sql("k"))
+def rebuild_gqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rebuilt(spark, sf_dir, "gqs")
+
+
+# Judge.
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, original, fakes: the plain prompt and its variants."""
+    rows = with_fakes(spark, sf_dir)
+    variant = lambda i: spans.spliced(F.col("ner"), F.transform("fakes", lambda f: assemble.fake_of(f, i)))
+    original = F.regexp_replace("ner", PATTERN, "$1")
+    return held(rows, original=original, fakes=F.transform(F.sequence(F.lit(0), F.lit(VARIANTS - 1)), variant)).select("doc_id", "original", "fakes")
+
+
+RECORDS_SQL = FAKES_SQL + f", originals AS (SELECT doc_id, regexp_replace(ner, '{PATTERN}', '\\1', 'g') AS original FROM ner)"
+PAIRS_SQL = RECORDS_SQL + """, chosen AS (SELECT doc_id, sample_idx, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5('42:' || doc_id || ':0:' || sample_idx), sample_idx) AS r FROM samples) WHERE r <= 3),
+tasks AS (SELECT doc_id, doc_id || ':' || sample_idx AS pair_id, o AS "order", CASE WHEN o = 'original_first' THEN 1 ELSE 2 END AS real_option_id,
+  'Evaluate the following candidate passages.\nThe order of candidates is randomized.\n\nCandidates:\n----- Option 1 -----\n' || trim(CASE WHEN o = 'original_first' THEN original ELSE text END) || '\n\n----- Option 2 -----\n' || trim(CASE WHEN o = 'original_first' THEN text ELSE original END) || '\n\nAnswer (only the index number, e.g., 1 or 2 or -1):' AS prompt
+  FROM chosen JOIN originals USING (doc_id), (SELECT unnest(['original_first', 'fake_first']) AS o))""".replace("\\n", "' || chr(10) || '")
+MIX_SQL = RECORDS_SQL + """, chosen AS (SELECT doc_id, sample_idx, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5('42:' || doc_id || ':0:' || sample_idx), sample_idx) AS r FROM samples) WHERE r <= 3
+  UNION ALL SELECT doc_id, -1, original FROM originals),
+placed AS (SELECT doc_id, sample_idx, text, row_number() OVER (PARTITION BY doc_id ORDER BY md5('42:' || doc_id || ':0:option:' || sample_idx), sample_idx) AS o FROM chosen),
+tasks AS (SELECT doc_id, 0 AS combination_id, CAST(count(*) AS INT) AS num_options, CAST(max(CASE WHEN sample_idx = -1 THEN o END) AS INT) AS real_option_id, md5(string_agg(trim(text), '|' ORDER BY o)) AS options_md5 FROM placed GROUP BY doc_id)"""
+
+
+@query(f'WITH {PAIRS_SQL} SELECT doc_id, pair_id, "order", real_option_id, md5(prompt) AS prompt_md5 FROM tasks')
+def bir_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge.pair_tasks(_records(spark, sf_dir)).withColumn("prompt_md5", F.md5("prompt")).drop("prompt")
+
+
+@query(f"WITH {MIX_SQL} SELECT doc_id, combination_id, num_options, real_option_id FROM tasks")
+def mcmr_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge.mix_tasks(_records(spark, sf_dir)).drop("prompt")
+
+
+ANSWERS = ("1", "2", "-1", "undecided", "选项一", "none", None)
+_PHRASES = " OR ".join(f"contains(lower(a), '{p}')" for p in judge.UNDECIDED)
+_WORDS = "coalesce(" + ", ".join(f"CASE WHEN contains(a, '{c}') AND {i} <= options THEN {i} END" for i, c in enumerate(judge.NUMERALS, 1)) + ")"
+
+
+def _outcome_sql(tasks: str, key: str, options: str) -> str:
+    """CTEs from tasks with real_option_id to results with status, predicted and outcome; key is a SQL text."""
+    values = ", ".join("NULL" if a is None else f"'{a}'" for a in ANSWERS)
+    return f"""answered AS (SELECT *, trim([{values}][CAST('0x' || substr(md5('42:' || {key}), 1, 6) AS INT) % 7 + 1]) AS a, {options} AS options FROM {tasks}),
+read AS (SELECT *, regexp_extract(a, '(?:^|[^\\p{{L}}\\p{{N}}_])([1-9][0-9]*)(?:$|[^\\p{{L}}\\p{{N}}_])', 1) AS number FROM answered),
+parsed AS (SELECT *, CASE WHEN TRY_CAST(number AS INT) <= options THEN TRY_CAST(number AS INT) ELSE {_WORDS} END AS guess FROM read),
+judged AS (SELECT *, CASE WHEN a IS NULL THEN 'error' WHEN {_PHRASES} OR regexp_matches(a, '(^|[^0-9])-\\s*1($|[^0-9])') THEN 'undecided' WHEN guess IS NOT NULL THEN 'answered' ELSE 'error' END AS status FROM parsed),
+results AS (SELECT *, CASE WHEN status = 'answered' THEN guess END AS predicted, CASE WHEN status <> 'answered' THEN status WHEN guess = real_option_id THEN 'correct' ELSE 'incorrect' END AS outcome FROM judged)"""
+
+
+def _answered(tasks: DataFrame, options, *key: str) -> DataFrame:
+    answers = judge.HashJudge(ANSWERS).answers(F.lit(None), F.concat_ws(":", *key))
+    parsed = tasks.withColumn("answer", answers).withColumn("parsed", judge.parsed_answer(F.col("answer"), options))
+    return parsed.withColumn("outcome", judge.outcome(F.col("parsed"), F.col("real_option_id")))
+
+
+def _pair_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answered(judge.pair_tasks(_records(spark, sf_dir)), F.lit(2), "pair_id", "order")
+
+
+def _mix_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answered(judge.mix_tasks(_records(spark, sf_dir)), F.col("num_options"), "doc_id", "combination_id")
+
+
+_PAIR_RESULTS_SQL = PAIRS_SQL + ", " + _outcome_sql("tasks", "pair_id || ':' || \"order\"", "2")
+_MIX_RESULTS_SQL = MIX_SQL + ", " + _outcome_sql("tasks", "doc_id || ':' || combination_id", "num_options")
+
+
+@query(f'WITH {_PAIR_RESULTS_SQL} SELECT pair_id, "order", status, predicted, outcome FROM results')
+def parse_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pair_results(spark, sf_dir).select("pair_id", "order", "parsed.status", "parsed.predicted", "outcome")
+
+
+@query(
+    f"""WITH {_PAIR_RESULTS_SQL}, pairs AS (SELECT pair_id, count(*) AS n, bool_and(outcome = 'correct') AS c, bool_and(outcome = 'incorrect') AS i FROM results GROUP BY pair_id),
+v AS (SELECT n, CASE WHEN n < 2 THEN 'undecided' WHEN c THEN 'correct' WHEN i THEN 'incorrect' ELSE 'undecided' END AS v FROM pairs)
+SELECT count(*) AS pairs, count(*) FILTER (v = 'correct') AS correct, count(*) FILTER (v = 'incorrect') AS incorrect, count(*) FILTER (v = 'undecided') AS undecided, count(*) FILTER (n < 2) AS missing,
+  round(count(*) FILTER (v = 'correct') / nullif(count(*) FILTER (v IN ('correct', 'incorrect')), 0), 6) AS accuracy, round(count(*) FILTER (v = 'undecided') / nullif(count(*), 0), 6) AS undecided_rate FROM v"""
+)
+def bir_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge.pair_summary(_pair_results(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_MIX_RESULTS_SQL}, n AS (SELECT count(*) AS total, count(*) FILTER (outcome = 'correct') AS correct, count(*) FILTER (outcome = 'incorrect') AS incorrect, count(*) FILTER (outcome = 'undecided') AS undecided, count(*) FILTER (outcome = 'error') AS error FROM results)
+SELECT *, round((incorrect + undecided) / nullif(total - error, 0), 6) AS incorrect_plus_undecided_rate, round(correct / nullif(total - error, 0), 6) AS correct_rate FROM n"""
+)
+def mcmr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge.mix_summary(_mix_results(spark, sf_dir))
+
+
+@query(f"WITH {_MIX_RESULTS_SQL} SELECT num_options, count(*) AS total, count(*) FILTER (outcome = 'correct') AS correct, round(count(*) FILTER (outcome = 'correct') / count(*), 6) AS accuracy FROM results GROUP BY num_options")
+def mcmr_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge.mix_by_size(_mix_results(spark, sf_dir))
+
+
+@query(f"WITH {RECORDS_SQL} SELECT count(*) AS loaded, least(count(*), 200) AS processed, least(count(*), 200) AS valid, CAST(0 AS BIGINT) AS skipped FROM originals")
+def judge_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge.counters(_records(spark, sf_dir), 1, 200)
+
+
+# Quality.
+
+_SETS_SQL = r"""sets AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9@.]*[0-9@][a-z0-9@.]*')) AS gold, list_distinct(regexp_extract_all(lower(text), '[a-z0-9.]*@[a-z0-9.]*|[0-9]{2,}')) AS found, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9@.]+'))) AS total FROM documents),
+conf AS (SELECT doc_id, len(list_intersect(gold, found)) AS tp, len(list_filter(found, lambda x: NOT list_contains(gold, x))) AS fp, len(list_filter(gold, lambda x: NOT list_contains(found, x))) AS fn, total FROM sets),
+full_ AS (SELECT doc_id, tp, fp, fn, total - tp - fp - fn AS tn FROM conf)"""
+
+
+def _confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lambda p: F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(p), F.lit(0)))
+    gold, mine = found("[a-z0-9@.]*[0-9@][a-z0-9@.]*"), found("[a-z0-9.]*@[a-z0-9.]*|[0-9]{2,}")
+    rows = table(spark, sf_dir, "documents").select("doc_id", metrics.confusion(gold, mine, F.size(found("[a-z0-9@.]+"))).alias("c"))
+    return rows.select("doc_id", *[F.col(f"c.{n}").cast("long").alias(n) for n in ("tp", "fp", "fn", "tn")])
+
+
+@query(f"WITH {_SETS_SQL} SELECT doc_id, tp, fp, fn, tn FROM full_")
+def ner_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _confusions(spark, sf_dir)
+
+
+def _rate(a: str, b: str) -> str:
+    return f"coalesce(({a}) / nullif({b}, 0), 0.0)"
+
+
+_P, _R = _rate("tp", "tp + fp"), _rate("tp", "tp + fn")
+_RATES = {"precision": _P, "recall": _R, "f1": _rate(f"2 * {_P} * {_R}", f"{_P} + {_R}"), "accuracy": _rate("tp + tn", "tp + fp + fn + tn"), "specificity": _rate("tn", "tn + fp")}
+
+
+@query(
+    f"""WITH {_SETS_SQL}, macro AS (SELECT count(*) AS records, {", ".join(f"round(avg({c}), 6) AS macro_{n}" for n, c in _RATES.items())} FROM full_),
+sums AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn FROM full_), micro AS (SELECT {", ".join(f"round({c}, 6) AS micro_{n}" for n, c in _RATES.items())} FROM sums) SELECT * FROM macro, micro"""
+)
+def ner_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.macro_micro(_confusions(spark, sf_dir))
+
+
+@query()
+def sensitive_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = lambda c: text.words_and_signs(c)
+    rows = prompts(spark, sf_dir).select("doc_id", words(F.regexp_replace("ner", PATTERN, "$1")).alias("a"), words(F.regexp_replace("ner", PATTERN, "<PII>")).alias("b"))
+    return rows.select("doc_id", F.array_join(metrics.aligned_sensitive("a", "b"), " ").alias("sensitive"))
+
+
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, sample_idx, a, b: words of each variant and of the original."""
+    rows = _records(spark, sf_dir).select("doc_id", "original", F.posexplode("fakes").alias("sample_idx", "text"))
+    words = lambda c: F.regexp_extract_all(text.normal_text(F.lower(c)), F.lit(r"\S+"), F.lit(0))
+    return held(rows, a=words(F.col("text")), b=words(F.col("original"))).select("doc_id", "sample_idx", "a", "b")
+
+
+def _words_sql(column: str) -> str:
+    return f"regexp_extract_all(trim(regexp_replace(regexp_replace(lower({column}), '[^\\p{{L}}\\p{{N}}.,!?\\s]', ' ', 'g'), '\\s+', ' ', 'g')), '\\S+')"
+
+
+COMPARED_SQL = RECORDS_SQL + f", compared AS (SELECT doc_id, sample_idx, {_words_sql('text')} AS a, {_words_sql('original')} AS b FROM samples JOIN originals USING (doc_id))"
+
+
+def _grams_sql(n: int) -> str:
+    grams = lambda c: f"list_transform(generate_series(1, len({c}) - {n - 1}), lambda i: array_to_string({c}[i : i + {n - 1}], ' '))"
+    return f"g{n} AS (SELECT doc_id, sample_idx, {grams('a')} AS a, {grams('b')} AS b FROM compared), o{n} AS (SELECT doc_id, sample_idx, len(a) AS na, len(b) AS nb, list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))) AS m FROM g{n})"
+
+
+_F = "coalesce(2 * CAST(m AS DOUBLE) / na * (CAST(m AS DOUBLE) / nb) / nullif(CAST(m AS DOUBLE) / na + CAST(m AS DOUBLE) / nb, 0), 0.0)"
+
+
+@query(f"WITH {COMPARED_SQL}, {_grams_sql(1)}, {_grams_sql(2)} SELECT o1.doc_id, CAST(o1.sample_idx AS INT) AS sample_idx, round({_F.replace('m ', 'o1.m ').replace(' na', ' o1.na').replace(' nb', ' o1.nb')}, 6) AS rouge1, round({_F.replace('m ', 'o2.m ').replace(' na', ' o2.na').replace(' nb', ' o2.nb')}, 6) AS rouge2 FROM o1 JOIN o2 ON o1.doc_id = o2.doc_id AND o1.sample_idx = o2.sample_idx")
+def rouge_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = held(_compared(spark, sf_dir), a2=metrics.ngrams(F.col("a"), 2), b2=metrics.ngrams(F.col("b"), 2))
+    f = lambda a, b: F.round(metrics.overlap_f(F.col(a), F.col(b)), 6)
+    return rows.select("doc_id", "sample_idx", f("a", "b").alias("rouge1"), f("a2", "b2").alias("rouge2"))
+
+
+@query(
+    f"""WITH {COMPARED_SQL}, {", ".join(_grams_sql(n) for n in (1, 2, 3, 4))}, lens AS (SELECT sum(len(a)) AS c_len, sum(len(b)) AS r_len FROM compared),
+{", ".join(f"t{n} AS (SELECT sum(m) AS m{n}, sum(na) AS n{n} FROM o{n})" for n in (1, 2, 3, 4))}
+SELECT c_len, r_len, m1, m2, m3, m4, round(CASE WHEN m1 * m2 * m3 * m4 = 0 THEN 0 ELSE CASE WHEN c_len >= r_len THEN 1 ELSE exp(1 - r_len / c_len) END * exp((ln(m1 / n1) + ln(m2 / n2) + ln(m3 / n3) + ln(m4 / n4)) / 4) END, 6) AS bleu FROM lens, t1, t2, t3, t4"""
+)
+def bleu_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.corpus_bleu(_compared(spark, sf_dir), "a", "b")
+
+
+_NORMAL = lambda c: f"trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
+_TURNS_SQL = "turns AS (SELECT q.conv_id, q.turn, a.text AS prediction, q.text AS truth FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant')"
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, turn, prediction, truth: answers against the questions before them."""
+    rows = table(spark, sf_dir, "conversations")
+    questions = rows.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("truth"))
+    answers = rows.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("prediction"))
+    return questions.join(answers, ["conv_id", "turn"]).select("conv_id", "turn", "prediction", "truth")
+
+
+@query(
+    f"""WITH {COMPARED_SQL}, {_grams_sql(1)} SELECT doc_id, CAST(sample_idx AS INT) AS sample_idx, round({_F}, 6) AS f1 FROM o1"""
+)
+def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compared(spark, sf_dir).select("doc_id", "sample_idx", F.round(metrics.overlap_f(F.col("a"), F.col("b")), 6).alias("f1"))
+
+
+@query()
+def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = lambda c: F.array_join(c, " ")
+    return _compared(spark, sf_dir).select("doc_id", "sample_idx", F.round(metrics.rouge_l(joined("a"), joined("b")), 6).alias("rouge_l"))
+
+
+@query()
+def code_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _records(spark, sf_dir).select("doc_id", "original", F.posexplode("fakes").alias("sample_idx", "text"))
+    return rows.select("doc_id", "sample_idx", metrics.code_sim("text", "original").alias("code_sim"))
+
+
+_COS_SQL = """first AS (SELECT label, min(vec_id) AS real FROM embeddings GROUP BY label),
+pairs AS (SELECT e.label, round(list_inner_product(CAST(r.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) / (sqrt(list_inner_product(CAST(r.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[]))) * sqrt(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])))), 9) AS cosine
+  FROM first f JOIN embeddings r ON r.vec_id = f.real JOIN embeddings e ON e.label = f.label AND e.vec_id <> f.real)"""
+
+
+def _cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """label, cosine: each vector against the first of its label."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    first = rows.groupBy("label").agg(F.min("vec_id").alias("real"), F.min_by("embedding", "vec_id").alias("one"))
+    return rows.join(first, "label").where("vec_id <> real").select("label", F.round(metrics.cosine(F.col("one"), F.col("embedding")), 9).alias("cosine"))
+
+
+@query(f"WITH {_COS_SQL} SELECT label, round(avg(cosine), 6) AS mean, round(stddev_pop(cosine), 6) AS std, round(min(cosine), 6) AS low, round(max(cosine), 6) AS high, count(*) AS n FROM pairs GROUP BY label")
+def cosine_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.statistics(_cosines(spark, sf_dir), "cosine", "label")
+
+
+@query(f"WITH {_COS_SQL}, s AS (SELECT label, avg(cosine) AS mean, count(*) AS n FROM pairs GROUP BY label) SELECT count(*) AS records, round(avg(mean), 6) AS avg_mean, CAST(sum(n) AS BIGINT) AS total FROM s WHERE n > 0")
+def eval_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = _cosines(spark, sf_dir).groupBy("label").agg(F.avg("cosine").alias("mean"), F.count("*").alias("n"))
+    return each.where("n > 0").agg(F.count("*").alias("records"), F.round(F.avg("mean"), 6).alias("avg_mean"), F.sum("n").alias("total"))
+
+
+_NUMBERS = "regexp_extract_all(prediction, '[0-9]+')"
+_CLASSES = ("the", "of", "and", "a", "to")
+
+
+@query(
+    f"""WITH {_TURNS_SQL}, t AS (SELECT conv_id, turn, prediction, truth, {_NUMBERS} AS nums, regexp_extract(truth, '([0-9]+)', 1) AS n, split_part(trim(truth), ' ', 1) AS w FROM turns)
+SELECT conv_id, turn, round(coalesce(len(list_filter(nums, lambda x: x = n)) / nullif(len(nums), 0), 0.0), 6) AS count_score,
+  CASE WHEN contains({_NORMAL("trim(split_part(ltrim(prediction, chr(10)), chr(10), 1))")}, {_NORMAL("w")}) THEN 1.0 ELSE 0.0 END AS subspan FROM t"""
+)
+def answer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _turns(spark, sf_dir).withColumn("n", F.regexp_extract("truth", "([0-9]+)", 1)).withColumn("w", F.split_part(F.trim("truth"), F.lit(" "), F.lit(1)))
+    return rows.select("conv_id", "turn", F.round(metrics.count_score(F.col("prediction"), F.col("n")), 6).alias("count_score"), metrics.contains_any(F.col("prediction"), F.array("w")).alias("subspan"))
+
+
+# Whole pipelines and streams.
+
+
+@query()
+def pipeline_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.run(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(f"SELECT conv_id, turn, md5({_nested_replace('text')}) AS redacted_md5 FROM conversations WHERE role = 'user'")
+def stream_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The expression that the stream runs (see promptmix.streaming.redact), over the table as a whole."""
+    rows = streaming.redact(table(spark, sf_dir, "conversations").where("role = 'user'"))
+    return rows.select("conv_id", "turn", F.md5("redacted").alias("redacted_md5"))
