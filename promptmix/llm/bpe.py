@@ -25,12 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, map_texts
+from .common import ARROW_ROWS, checkpointed, map_texts
 
 MAX_WORDS = 100_000
 MIN_COUNT = 4
-#: Words remembered by a worker with their ids; beyond it the memory starts afresh.
-CACHED_WORDS = 150_000
+#: Chunks remembered by a worker with their ids; beyond it those not met again are forgotten.
+CACHED_CHUNKS = 200_000
 #: Longer words are merged one by one with a heap.
 LONG = 64
 
@@ -39,6 +39,8 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 #: The same for texts in which letters and decimal digits are all that \w means (see `plain`).
 QUICK = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
+WHITE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
 
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
@@ -47,10 +49,14 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+#: What str.split takes for white space and the tokenizer does not.
+_CONTROLS = re.compile("[\x1c-\x1f]")
 _plain: dict[str, bool] = {}
 
 
 def plain(text: str) -> bool:
+    if text.isascii():
+        return not _CONTROLS.search(text)
     for c in set(text):
         known = _plain.get(c)
         if known is None:
@@ -73,6 +79,18 @@ def pieces(text: str) -> list[str]:
     return QUICK.findall(text) if plain(text) else SPLIT.findall(text)
 
 
+def chunks(text: str) -> list[str]:
+    """The normalised text cut at white space: no word reaches over that, and chunks recur, so each is split once."""
+    text = normalised(text)
+    return WHITE.split(text) if _CONTROLS.search(text) else text.split()
+
+
+def split_chunk(chunk: str) -> list[str]:
+    if chunk.isalpha():
+        return [chunk]
+    return QUICK.findall(chunk) if plain(chunk) else SPLIT.findall(chunk)
+
+
 class Rules:
     """The tokens and merge rules of a tokenizer file, as arrays that travel well."""
 
@@ -299,53 +317,65 @@ class Coder:
     def __init__(self, rules: Rules, image: bytes):
         self.rules, self.lexicon = rules, Lexicon(image)
         self.coded: dict[str, bytes] = {}
-        self.ids = None
+        self.older: dict[str, bytes] = {}
+        self.ids = self.lexicon.ids.tobytes()
         names = [re.escape(s) for s in sorted(rules.special, key=len, reverse=True)]
         self.marks = re.compile("(" + "|".join(names) + ")") if names else None
 
-    def learn(self, words) -> None:
-        """Codes of words not met so far: from the lexicon, or else merged."""
-        if len(self.coded) > CACHED_WORDS:
-            self.coded.clear()
-        fresh = [w for w in words if w not in self.coded]
-        raw = [w.encode("utf-8", "surrogatepass") for w in fresh]
+    def learn(self, found) -> None:
+        """Codes of chunks not met so far: of their words, from the lexicon or else merged."""
+        if len(self.coded) > CACHED_CHUNKS:
+            self.older, self.coded = self.coded, {}
+        fresh = []
+        for chunk in found:
+            if chunk not in self.coded:
+                code = self.older.get(chunk)
+                if code is None:
+                    fresh.append(chunk)
+                else:
+                    self.coded[chunk] = code
+        split = [split_chunk(c) for c in fresh]
+        words = list(set().union(*split))
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
         rank = self.lexicon.find(raw)
+        offset, ids = self.lexicon.offset, self.ids
+        code: dict[str, bytes] = {}
         known = np.flatnonzero(rank >= 0)
-        offset, ids = self.lexicon.offset, self.lexicon.ids.tobytes() if self.ids is None else self.ids
-        self.ids = ids
         for i, start, end in zip(known.tolist(), (4 * offset[rank[known]]).tolist(), (4 * offset[rank[known] + 1]).tolist(), strict=True):
-            self.coded[fresh[i]] = ids[start:end]
-        unseen = np.flatnonzero(rank < 0)
+            code[words[i]] = ids[start:end]
+        unseen = np.flatnonzero(rank < 0).tolist()
         merged, counts = self.rules.merge([raw[i] for i in unseen])
-        blob, ends = merged.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
-        start = 0
-        for i, end in zip(unseen.tolist(), ends, strict=True):
-            self.coded[fresh[i]] = blob[start:end]
+        blob, start = merged.astype("<u4").tobytes(), 0
+        for i, end in zip(unseen, (4 * np.cumsum(counts)).tolist(), strict=True):
+            code[words[i]] = blob[start:end]
             start = end
+        for chunk, parts in zip(fresh, split, strict=True):
+            self.coded[chunk] = code[parts[0]] if len(parts) == 1 else b"".join(map(code.__getitem__, parts))
 
     def split(self, text: str | None) -> list[str]:
-        """The words of a text; a special token is a word of its own, marked by a leading line end."""
+        """The chunks of a text; a special token is one of its own, marked by a leading line end."""
         if not text:
             return []
         if self.marks is None or "<|" not in text and not self.marks.search(text):
-            return pieces(text)
+            return chunks(text)
         out = []
         for k, part in enumerate(self.marks.split(text)):
             if k % 2:
-                mark = "\n" + part
-                out.append(mark)
+                out.append("\n" + part)
             elif part:
-                out += pieces(part)
+                out += chunks(part)
         return out
 
     def encode(self, texts) -> list[bytes]:
         """For each text its ids as little-endian 32-bit integers."""
         split = [self.split(t) for t in texts]
         every = set().union(*split)
+        every.discard("")
         marked = {w for w in every if w[0] == "\n"}
         self.learn(every - marked)
         for w in marked:
             self.coded[w] = np.array([self.rules.special[w[1:]]], dtype="<u4").tobytes()
+        self.coded[""] = b""
         return [b"".join(map(self.coded.__getitem__, words)) for words in split]
 
     def decode(self, ids) -> str:
@@ -353,7 +383,7 @@ class Coder:
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> list[bytes]:
-    """The most frequent words of all texts (at most max_words, of at most 64 bytes), sorted.
+    """The most frequent words of all texts (at most max_words, of at most LONG bytes, ties together), sorted.
 
     Each task counts what it reads and sends each word about once; the sums are spread over the cluster, and
     only the top comes to the driver."""
@@ -365,23 +395,36 @@ def frequent_words(docs: DataFrame, text_col: str = "text", max_words: int = MAX
         counts: Counter = Counter()
 
         def out():
-            # A word that is common in no place at all can still be common in all: nothing is left out here.
-            rows = [(w.encode("utf-8", "surrogatepass"), n) for w, n in counts.items()]
+            # Words of the chunks counted; a word that is rare in every place can be common in all, so all go on.
+            words: Counter = Counter()
+            for chunk, n in counts.items():
+                for word in split_chunk(chunk):
+                    words[word] += n
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.binary()), pa.array([r[1] for r in rows], type=pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogatepass") for w in words], type=pa.binary()), pa.array(list(words.values()), type=pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    counts.update(pieces(text))
-                if len(counts) > 200_000:
+                    counts.update(chunks(text))
+                if len(counts) > 300_000:
                     yield out()
         if counts:
             yield out()
 
     counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word binary, n bigint")
-    top = counted.where(F.length("word") <= LONG).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).orderBy(F.desc("n"), "word").limit(max_words).select("word").collect()
-    return sorted(bytes(r[0]) for r in top)
+    totals = counted.where(F.length("word") <= LONG).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    totals = checkpointed(totals)
+    # The least count that no more than max_words words reach, from a histogram of the counts (finer for small ones).
+    step = F.when(F.col("n") < 1024, F.col("n").cast("double")).otherwise(F.floor(F.log2("n") * 64))
+    bars = sorted(((r["low"], r["words"]) for r in totals.groupBy(step.alias("s")).agg(F.min("n").alias("low"), F.count("*").alias("words")).collect()), reverse=True)
+    least, held = None, 0
+    for low, words in bars:
+        held += words
+        if held > max_words:
+            break
+        least = low
+    return sorted(bytes(r[0]) for r in totals.where(F.col("n") >= least).select("word").collect()) if least else []
 
 
 def compile_lexicon(rules: Rules, words: list[bytes]) -> bytes:
