@@ -9,7 +9,8 @@ they share are deleted: what a site repeats from page to page is not the article
 Lines within an explicit <article> or <main> are kept even if a neighbour has them: the page itself says what
 they are, and two articles may well quote the same sentence. Where a page has such an element, only its lines
 are taken. Pages of a host with the same lines (copies) count as one page in the pairing, so a copy does not
-delete its own text.
+delete its own text, and pages without lines are passed over; where such a run reaches a cut between buckets, it is
+compared with the neighbour on its own side.
 
 Cases: a null or empty html gives the empty text; null URLs have the empty host and path, and are paired like
 others; unclosed elements end with their parent; pages with equal URLs follow each other by id."""
@@ -194,6 +195,10 @@ class Pairing:
         self.before = self.now = None  # groups: host, path, lines, explicit, pages (rows to emit)
 
     def add(self, host, path, lines, explicit, page) -> None:
+        if not lines:  # nothing to compare with
+            if page:
+                self.emit(page, "")
+            return
         now = self.now
         if now and now[0] == host and now[2] == lines and now[3] == explicit:
             if page:

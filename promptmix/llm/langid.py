@@ -139,7 +139,7 @@ def train(docs: DataFrame, fold: tuple[int, int] | None = None, id_col: str = "d
     parts = chosen.select(F.col(text_col).cast("string"), F.col("__lang").cast("string")).mapInArrow(run, "lang string, i int, v double")
     # A row for each language and dimension.
     total = parts.groupBy("lang", "i").agg(F.sum("v").alias("v")).groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("v")).orderBy("lang").collect()
-    rows = np.array([r["v"] for r in total], dtype=np.float64).reshape(len(total), -1)
+    rows = np.array([r["v"] for r in total], dtype=np.float64).reshape(len(total), DIMENSIONS)
     if len(rows):
         rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
     return Model([r["lang"] for r in total], rows.astype(np.float32))

@@ -101,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] | None = Non
     chosen = bounded_sample(known.dropDuplicates([id_col]), id_col, max_rows, seed=17)
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
     got = map_texts(rows, lambda: lambda texts: [[features(t) for t in texts]], "x array<double>", text_col, ["__y"]).toPandas()
-    x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), -1)
+    x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(features("")))
     return fit(x, got["__y"].to_numpy())
 
 
