@@ -5,9 +5,10 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.held import held
 from .sampling import draw
 
 # Phrases of a judge that does not decide, and numerals of an answer in words.
@@ -43,21 +44,18 @@ def valid_records(records: DataFrame, least_fakes: int, limit: int | None, id_co
     return fit.orderBy(id_col).limit(limit) if limit else fit
 
 
-def chosen_fakes(records: DataFrame, n: int, seed: int, id_col: str = "doc_id", combination: Column | None = None) -> DataFrame:
-    """id (and combination), fake_index, fake, place: n fakes of each record without replacement, drawn by hash."""
-    combos = F.lit(0) if combination is None else combination
-    rows = records.select(id_col, F.posexplode("fakes").alias("fake_index", "fake")).select("*", F.explode(F.sequence(F.lit(0), combos)).alias("combination_id"))
-    place = F.row_number().over(Window.partitionBy(id_col, "combination_id").orderBy(draw(seed, F.col(id_col), F.col("combination_id"), F.col("fake_index")), "fake_index"))
-    return rows.withColumn("place", place).where(F.col("place") <= n)
+def chosen_fakes(fakes: Column, n: int, seed: int, key: Column, combination: Column) -> Column:
+    """array<struct<h, fake_index, text>>: n fakes without replacement, drawn by hash. Row-local, so nothing is shuffled."""
+    drawn = F.transform(fakes, lambda text, i: F.named_struct(F.lit("h"), draw(seed, key, combination, i), F.lit("fake_index"), i, F.lit("text"), text))
+    return F.slice(F.array_sort(drawn), 1, n)
 
 
 def pair_tasks(records: DataFrame, n: int = 3, seed: int = 42, limit: int | None = None, id_col: str = "doc_id") -> DataFrame:
     """Two tasks for each original and chosen fake, one in either order: id, pair_id, order, real_option_id, prompt."""
     base = valid_records(records, 1, limit, id_col)
-    fakes = chosen_fakes(base, n, seed, id_col)
-    met = fakes.join(base.select(id_col, "original"), id_col)
+    chosen = F.explode(chosen_fakes(F.col("fakes"), n, seed, F.col(id_col), F.lit(0))).alias("f")
     orders = F.explode(F.array(F.lit("original_first"), F.lit("fake_first"))).alias("order")
-    rows = met.select(id_col, F.concat_ws(":", id_col, "fake_index").alias("pair_id"), "original", "fake", orders)
+    rows = base.select(id_col, "original", chosen).select(id_col, F.concat_ws(":", id_col, "f.fake_index").alias("pair_id"), "original", F.col("f.text").alias("fake"), orders)
     first = F.col("order") == "original_first"
     options = F.array(F.when(first, F.col("original")).otherwise(F.col("fake")), F.when(first, F.col("fake")).otherwise(F.col("original")))
     return rows.select(id_col, "pair_id", "order", F.when(first, 1).otherwise(2).alias("real_option_id"), prompt(options).alias("prompt"))
@@ -66,11 +64,11 @@ def pair_tasks(records: DataFrame, n: int = 3, seed: int = 42, limit: int | None
 def mix_tasks(records: DataFrame, n: int = 3, combinations: int = 1, seed: int = 42, limit: int | None = None, id_col: str = "doc_id") -> DataFrame:
     """For each record and combination a task of the original among n fakes, in hash order: id, combination_id,
     num_options, real_option_id, prompt. Records with fewer fakes give none."""
-    base = valid_records(records, n, limit, id_col)
-    fakes = chosen_fakes(base, n, seed, id_col, F.lit(combinations - 1)).select(id_col, "combination_id", "fake_index", F.col("fake").alias("text"))
-    real = base.select(id_col, F.explode(F.sequence(F.lit(0), F.lit(combinations - 1))).alias("combination_id"), F.lit(-1).alias("fake_index"), F.col("original").alias("text"))
-    option = F.struct(draw(seed, F.col(id_col), F.col("combination_id"), F.lit("option"), F.col("fake_index")).alias("h"), "fake_index", "text")
-    rows = fakes.unionByName(real).groupBy(id_col, "combination_id").agg(F.array_sort(F.collect_list(option)).alias("o"))
+    base = valid_records(records, n, limit, id_col).select(id_col, "original", "fakes", F.explode(F.sequence(F.lit(0), F.lit(combinations - 1))).alias("combination_id"))
+    key, combo = F.col(id_col), F.col("combination_id")
+    option = lambda i, text: F.named_struct(F.lit("h"), draw(seed, key, combo, F.lit("option"), i), F.lit("fake_index"), i, F.lit("text"), text)
+    fakes = F.transform(chosen_fakes(F.col("fakes"), n, seed, key, combo), lambda x: option(x["fake_index"], x["text"]))
+    rows = held(base, o=F.array_sort(F.concat(fakes, F.array(option(F.lit(-1), F.col("original"))))))
     texts = F.transform("o", lambda x: x["text"])
     return rows.select(id_col, "combination_id", F.size("o").alias("num_options"), F.array_position(F.transform("o", lambda x: x["fake_index"]), F.lit(-1)).cast("int").alias("real_option_id"), prompt(texts, counted=True).alias("prompt"))
 

@@ -59,9 +59,12 @@ def ngrams(words: Column, n: int) -> Column:
 
 
 def multiset_overlap(a: Column, b: Column) -> Column:
-    """Size of the intersection of two arrays as multisets."""
+    """Size of the intersection of two arrays as multisets. Where one of them has no repeats it is that of the sets;
+    only else are occurrences counted."""
     count = lambda array, x: F.size(F.filter(array, lambda y: y == x))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda total, x: total + F.least(count(a, x), count(b, x)))
+    counted = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda total, x: total + F.least(count(a, x), count(b, x)))
+    plain = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
+    return F.when(plain, F.size(F.array_intersect(a, b))).otherwise(counted)
 
 
 def overlap_f(a: Column, b: Column) -> Column:

@@ -66,7 +66,7 @@ ENGINE_LABELS = {
 IGNORED = ("FAC", "PRODUCT", "EVENT", "WORK_OF_ART", "LAW", "LANGUAGE", "ORDINAL", "DATE_TIME", "ORGANIZATION", "O")
 #: Recognisers of the default engine.
 RECOGNISERS = {
-    "EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "EMAIL": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "PHONE": r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}",
     "IP": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
     "CARD": r"\b[0-9]{16}\b",
@@ -146,7 +146,7 @@ class RegexRecogniser:
 
         def found(kind: str, pattern: str) -> Column:
             entity = lambda x: F.named_struct(F.lit("entity_type"), F.lit(kind), F.lit("start"), x["start"], F.lit("end"), x["end"], F.lit("score"), F.lit(self.score), F.lit("text"), x["word"])
-            return F.when(text.rlike(pattern), F.transform(places(text, pattern), entity)).otherwise(empty)
+            return F.transform(places(text, pattern), entity)
 
         parts = [found(k, p) for k, p in named if k not in self.ignored]
         return F.concat(*parts) if parts else empty

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.held import held
 from ..operators.spans import RegexRecogniser, clipped, redacted
 
 
@@ -12,7 +13,9 @@ def redact(df: DataFrame, text_col: str = "text", out_col: str = "redacted", rec
     """df (static or streaming) with recognised entities marked in the text."""
     found = (recogniser or RegexRecogniser()).entities(F.col(text_col))
     spans = F.array_sort(F.transform(found, lambda x: F.named_struct(F.lit("start"), x["start"], F.lit("end"), x["end"], F.lit("label"), x["entity_type"])))
-    return df.withColumn("__spans", clipped(spans, F.length(text_col))).withColumn(out_col, redacted(F.col(text_col), F.col("__spans"))).drop("__spans")
+    # Texts without entities, most of them, stay as they are.
+    rows = held(df, __spans=clipped(spans, F.length(text_col)))
+    return held(rows, **{out_col: F.when(F.size("__spans") > 0, redacted(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col))}).drop("__spans")
 
 
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
