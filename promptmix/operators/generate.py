@@ -125,3 +125,22 @@ def finished(candidates: DataFrame, target: int, key: list[str]) -> DataFrame:
 
 def contains_root(a: Column, b: Column) -> Column:
     return (F.length(a) >= 3) & (F.length(b) >= 3) & (F.contains(a, b) | F.contains(b, a))
+
+
+def quota(target: int, paths: int) -> int:
+    """Candidates that each path gives."""
+    return max(1, target // max(1, paths))
+
+
+def oversampled(target: int, factor: float) -> int:
+    return max(target, int(target * factor))
+
+
+def without_specials(text: Column, specials: tuple[str, ...] = ("<s>", "</s>", "<pad>", "<unk>", "<|endoftext|>")) -> Column:
+    """The text without the special tokens of a tokenizer."""
+    return F.trim(F.regexp_replace(text, "|".join(map(re.escape, specials)), ""))
+
+
+def for_type(word: Column, kind: Column, real: Column) -> Column:
+    """A generated candidate in its final form: addresses keep the domain, others the casing of the real word."""
+    return F.when(F.upper(kind) == "EMAIL", rewritten_email(real, word)).otherwise(aligned_casing(word, real))

@@ -3,8 +3,11 @@ rates: of pairs (BIR) and of larger mixes (MCMR)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,30 @@ class HashJudge:
         return F.get(F.array(*[F.lit(o) for o in self.options]), at)
 
 
+class CallableJudge:
+    """Answers from a function of a prompt, called by a pool of threads in each task; a call that fails is a null."""
+
+    def __init__(self, function, threads: int = 5):
+        self.function, self.threads = function, threads
+
+    def answers(self, prompt: Column, key: Column) -> Column:
+        function, threads = self.function, self.threads
+
+        def one(text):
+            try:
+                return function(text)
+            except Exception:  # a failed call is an answer of its own
+                return None
+
+        @F.pandas_udf("string")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            with ThreadPoolExecutor(threads) as pool:
+                for batch in batches:
+                    yield pd.Series(list(pool.map(one, batch)), dtype=object)
+
+        return run(prompt)
+
+
 def after_marker(answer: Column, marker: str) -> Column:
     """What follows a reasoning marker; null without the marker."""
     return F.when(F.contains(answer, F.lit(marker)), F.substring_index(answer, marker, -1))

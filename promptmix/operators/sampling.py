@@ -123,6 +123,7 @@ def distinct_candidates(df: DataFrame, key: str, word: str, order: str, referenc
 def neighbour_words(words: Column, pools: Column, wanted: int, key: Column, seed: int = 42) -> Column:
     """`wanted` phrases for each row: every word replaced by a member of its pool (arrays of arrays), drawn by hash;
     without the phrase itself and without repeats."""
+
     def phrase(i: Column) -> Column:
         def pick(w: Column, j: Column) -> Column:
             pool = F.get(pools, j)

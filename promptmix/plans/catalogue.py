@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, text
 from ..functions.held import held
 from ..functions.places import places
-from ..operators import assemble, generate, judge, metrics, sampling, spans
+from ..operators import assemble, formats, generate, judge, metrics, sampling, spans
 from ..streaming import redact as streaming
 from . import pipeline
 from .fixtures import FAKES_SQL, NER_SQL, PATTERN, SPANS_SQL, VARIANTS, prompts, spread, table, with_fakes
@@ -197,6 +197,22 @@ def deleted_spans_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.posexplode(spans.deleted_spans("original", "masked")).alias("i", "x")).select("doc_id", "i", F.col("x.start").alias("s"), F.col("x.end").alias("e"))
 
 
+PROMPT_PATTERNS = {"PERSON": "Customer#[0-9]+", "GPE": "NATION_[0-9]+", "MONEY": r"\$[0-9,.]*[0-9]", "ID": "[0-9]+"}
+
+
+@query()
+def format_masked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = prompts(spark, sf_dir).select("doc_id", F.regexp_replace("ner", PATTERN, "$1").alias("text"), F.regexp_replace("ner", PATTERN, "<PII>").alias("masked"))
+    return formats.format_masked_pairs(pairs, "doc_id", "text", "masked", spans.RegexRecogniser(PROMPT_PATTERNS)).select("doc_id", "masked_text")
+
+
+@query(f"SELECT doc_id, md5({_nested_replace('text')}) AS masked_md5 FROM documents WHERE lang = 'en'")
+def format_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = F.transform(spans.RegexRecogniser().entities(F.col("text")), lambda x: F.named_struct(F.lit("label"), F.lower(x["entity_type"]), F.lit("start"), x["start"], F.lit("end"), x["end"]))
+    rows = held(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), given=given)
+    return formats.format_labelled(rows, "doc_id", "text", "given", "lang").select("doc_id", F.md5("masked_text").alias("masked_md5"))
+
+
 @query()
 def entity_trim_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrase = F.concat(F.lit(" the "), F.col("p_name"), F.lit(" and "), F.col("p_brand"), F.lit(" & "), F.col("p_type"), F.lit("., "))
@@ -330,6 +346,17 @@ def beam_sample_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _beam(spark, sf_dir, inside.select("prev", "next", "c", "p"))
 
 
+@query()
+def semantic_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five phrases of neighbours for every pair of vectors (id, id + 1), vector ids standing for words."""
+    near = sampling.nearest(table(spark, sf_dir, "embeddings"), 10)
+    pools = near.groupBy("vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "neighbour"))), lambda x: x["neighbour"].cast("string")).alias("pool"))
+    after = pools.select((F.col("vec_id") - 1).alias("vec_id"), F.col("pool").alias("next"))
+    words = F.array(F.col("vec_id").cast("string"), (F.col("vec_id") + 1).cast("string"))
+    rows = pools.join(after, "vec_id")
+    return rows.select("vec_id", F.posexplode(sampling.neighbour_words(words, F.array("pool", "next"), 5, F.col("vec_id"))).alias("i", "phrase"))
+
+
 # Rules.
 
 
@@ -675,6 +702,17 @@ def code_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "sample_idx", metrics.code_sim("text", "original").alias("code_sim"))
 
 
+@query()
+def evaluate_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _records(spark, sf_dir).select("original", F.explode("fakes").alias("text"))
+    return metrics.similarity_row(rows, "text", "original")
+
+
+@query()
+def evaluate_with_truths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.with_truths(_turns(spark, sf_dir).withColumn("truths", F.array("truth")), "prediction", "truths")
+
+
 _COS_SQL = """first AS (SELECT label, min(vec_id) AS real FROM embeddings GROUP BY label),
 pairs AS (SELECT e.label, round(list_inner_product(CAST(r.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) / (sqrt(list_inner_product(CAST(r.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[]))) * sqrt(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])))), 9) AS cosine
   FROM first f JOIN embeddings r ON r.vec_id = f.real JOIN embeddings e ON e.label = f.label AND e.vec_id <> f.real)"""
