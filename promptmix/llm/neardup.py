@@ -322,7 +322,8 @@ def intersections(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
 def components(edges: DataFrame, a: str = "key", b: str = "root") -> DataFrame:
     """node and least node of its component, for the nodes of the edges, by alternating stars.
 
-    Minima are pre-aggregated before any shuffle and met in a join, so a node of any degree is no bottleneck."""
+    Minima are pre-aggregated before any shuffle and met in a join. They are written first, so that both sides of the
+    join are exchanges of their own and Spark can split the rows of a node of any degree among tasks."""
     now = checkpointed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     before = None
     while True:
@@ -332,10 +333,10 @@ def components(edges: DataFrame, a: str = "key", b: str = "root") -> DataFrame:
         before = state
         # Large star: neighbours above a node go to the least of its neighbourhood.
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = checkpointed(both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # Small star: neighbours at or below a node, and itself, go to the least of these.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
         now = checkpointed(small.where("u <> v").distinct())
