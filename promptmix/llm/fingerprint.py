@@ -178,7 +178,7 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     sent = F.create_map(*[F.lit(x) for k, first in enumerate([least, *cuts]) for x in (first, k - 1 if k else len(cuts))])
     copies = F.when(F.element_at(sent, order).isNotNull(), F.array(F.struct("bucket", F.lit(False).alias("guest")), F.struct(F.element_at(sent, order).cast("int").alias("bucket"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct("bucket", F.lit(False).alias("guest"))))
     dealt = bucketed.select("doc_id", "text", F.explode(copies).alias("c")).select("c.bucket", "c.guest", "doc_id", "text")
-    dealt = dealt.repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "guest", "doc_id", "text")
+    dealt = dealt.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", "guest", "doc_id", "text")
 
     def run(batches):
         import pyarrow as pa
