@@ -68,6 +68,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def least_of_top(counts: DataFrame, bound: int) -> int | None:
+    """The least n such that no more than `bound` rows of counts have it or more; None if the top n alone has more.
+
+    It comes from a histogram of n (every value below 1024, 64 bars an octave above), not from a sort."""
+    bar = F.when(F.col("n") < 1024, F.col("n").cast("double")).otherwise(1024 + F.floor(F.log2("n") * 64))
+    least, held = None, 0
+    for low, rows in sorted(((r["low"], r["rows"]) for r in counts.groupBy(bar.alias("bar")).agg(F.min("n").alias("low"), F.count("*").alias("rows")).collect()), reverse=True):
+        held += rows
+        if held > bound:
+            break
+        least = low
+    return least
+
+
 def quantiles(ordered: list, parts: int) -> list:
     """At most parts - 1 distinct cuts that deal the ordered values to parts of about equal size."""
     return sorted({ordered[len(ordered) * k // parts] for k in range(1, parts)}) if ordered else []

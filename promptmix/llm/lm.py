@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, LOWER_BYTES, checkpointed, slices, utf8
+from .common import ARROW_ROWS, LOWER_BYTES, checkpointed, least_of_top, slices, utf8
 
 DEPTH = 5
 MIN_SHARE = 1e-6
@@ -101,6 +101,30 @@ class Tree:
         return out
 
 
+class Remembered:
+    """Log probabilities of codes, with those of recent codes in a table of fixed size (a place for each hash)."""
+
+    BITS = 20
+
+    def __init__(self, tree: Tree):
+        self.tree = tree
+        self.codes = np.full(1 << self.BITS, np.uint64((1 << 64) - 1))  # no code is that long
+        self.logs = np.zeros(1 << self.BITS)
+
+    def place(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def log_prob(self, codes: np.ndarray) -> np.ndarray:
+        place = self.place(codes)
+        out, new = self.logs[place], self.codes[place] != codes
+        fresh, inverse = np.unique(codes[new], return_inverse=True)
+        logs = self.tree.log_prob(fresh)
+        out[new] = logs[inverse]
+        place = self.place(fresh)
+        self.codes[place], self.logs[place] = fresh, logs
+        return out
+
+
 def grow(contexts: dict[int, tuple], entries: dict[int, tuple], depth: int = DEPTH, divergence: float = DIVERGENCE) -> Tree:
     """The tree from the candidates of each length.
 
@@ -227,12 +251,14 @@ def score(docs: DataFrame, counts: DataFrame, tree: Tree, id_col: str = "doc_id"
     ).first()
     tokens, distinct, ends = int(totals["tokens"] or 0), int(totals["distinct"] or 0) + (1 if totals["ends"] else 0), int(totals["ends"] or 0)
     per_token = float(np.log10(tokens + distinct + 1))
-    common = counts.where("kind = 0").orderBy(F.desc("n"), "key").limit(frequent).select("key", "n").toArrow()
+    # Words of this count or more travel to the executors; all others, if there are any, meet theirs in a join.
+    words = counts.where("kind = 0").select("key", "n")
+    least = least_of_top(words, frequent)
+    common = words.where(F.col("n") >= (least if least else 1 << 62)).toArrow()
     hashes = common["key"].to_numpy()
     order = np.argsort(hashes)
     hashes, values = hashes[order], np.log10(common["n"].to_numpy()[order].astype(float) + 1)
-    # All other words: at most as common as the last of these.
-    limit = int(common["n"].to_numpy().min(initial=1 << 62)) if common.num_rows == frequent else 0
+    joins = common.num_rows < distinct - (1 if ends else 0)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     kept = list(dict.fromkeys([id_col, *keep]))
     source = docs.select(*[F.col(c) for c in kept], F.col(text_col).cast("string").alias("__text"))
@@ -247,6 +273,7 @@ def score(docs: DataFrame, counts: DataFrame, tree: Tree, id_col: str = "doc_id"
         row = TaskContext.get().partitionId() << 40
         known: dict[bytes, int] = {}
         rare: list[int] = []
+        remembered = Remembered(tree)
         for piece in slices(batches, width, BLOCK_BYTES):
             split = [words_of(t) for t in piece.column(width).to_pylist()]
             if len(known) > HELD_WORDS:
@@ -262,9 +289,7 @@ def score(docs: DataFrame, counts: DataFrame, tree: Tree, id_col: str = "doc_id"
                 rare.extend(hashed[~common_word].tolist())
                 known.update(zip(fresh, new.tolist(), strict=True))
             codes, sizes = grams(split, tree.depth)
-            distinct_codes, inverse = np.unique(codes, return_inverse=True)
-            logs = tree.log_prob(distinct_codes)[inverse]
-            scores = np.add.reduceat(logs, np.concatenate(([0], np.cumsum(sizes)[:-1]))) / np.log(10)
+            scores = np.add.reduceat(remembered.log_prob(codes), np.concatenate(([0], np.cumsum(sizes)[:-1]))) / np.log(10)
             base, n_known, others, rows = [], [], [], []
             rare_of = np.array(rare, dtype=np.int64)
             for one in split:
@@ -292,8 +317,8 @@ def score(docs: DataFrame, counts: DataFrame, tree: Tree, id_col: str = "doc_id"
             )
 
     spread = source.mapInArrow(run, f"__row bigint, __own boolean, {types}, __n bigint, __known bigint, __base double, __score double, key bigint, __times bigint")
-    others = counts.where((F.col("kind") == 0) & (F.col("n") <= limit if limit else F.lit(True))).select("key", F.col("n").alias("__c"))
-    joined = spread.join(others, "key", "left") if limit else spread.withColumn("__c", F.lit(None).cast("bigint"))
+    others = words.where(F.col("n") < least if least else F.lit(True)).select("key", F.col("n").alias("__c"))
+    joined = spread.join(others, "key", "left") if joins else spread.withColumn("__c", F.lit(None).cast("bigint"))
     times = F.coalesce("__times", F.lit(0))
     gathered = joined.groupBy("__row").agg(
         F.max(F.when(F.col("__own"), F.struct(*kept, "__n", "__known", "__base", "__score"))).alias("r"),
