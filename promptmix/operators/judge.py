@@ -17,6 +17,14 @@ from .sampling import draw
 # Phrases of a judge that does not decide, and numerals of an answer in words.
 UNDECIDED = ("无法判断", "无法区分", "不能判断", "难以判断", "无法确定", "undecided", "cannot decide", "cannot determine", "unable to decide", "unable to determine")
 NUMERALS = "一二三四五六七八九"
+# The lines of the question.
+QUESTION = "Evaluate the following candidate passages."
+QUESTION_COUNT = "There are {} candidates below, with exactly ONE authentic (real) passage."
+QUESTION_ORDER = "The order of candidates is randomized."
+QUESTION_LIST = "Candidates:"
+QUESTION_OPTION = "----- Option {} -----"
+QUESTION_END = "Answer (only the index number, e.g., 1 or 2 or -1):"
+QUESTION_END_COUNT = "Answer (only the index number of the authentic passage, e.g., 1, 2, 3..., or -1 if unsure):"
 
 
 class Judge(Protocol):
@@ -100,16 +108,16 @@ def mix_tasks(records: DataFrame, n: int = 3, combinations: int = 1, seed: int =
     return rows.select(id_col, "combination_id", F.size("o").alias("num_options"), F.array_position(F.transform("o", lambda x: x["fake_index"]), F.lit(-1)).cast("int").alias("real_option_id"), prompt(texts, counted=True).alias("prompt"))
 
 
+def filled(line: str, value: Column) -> Column:
+    before, after = line.split("{}")
+    return F.concat(F.lit(before), value.cast("string"), F.lit(after))
+
+
 def prompt(options: Column, counted: bool = False) -> Column:
     """The question over an array of options."""
-    blocks = F.transform(options, lambda text, i: F.concat(F.lit("----- Option "), (i + 1).cast("string"), F.lit(" -----\n"), F.trim(text), F.lit("\n")))
-    head = ["Evaluate the following candidate passages."]
-    lines = [F.lit(head[0])]
-    if counted:
-        lines.append(F.concat(F.lit("There are "), F.size(options).cast("string"), F.lit(" candidates below, with exactly ONE authentic (real) passage.")))
-    lines += [F.lit("The order of candidates is randomized."), F.lit(""), F.lit("Candidates:"), F.array_join(blocks, "\n")]
-    lines.append(F.lit("Answer (only the index number of the authentic passage, e.g., 1, 2, 3..., or -1 if unsure):" if counted else "Answer (only the index number, e.g., 1 or 2 or -1):"))
-    return F.concat_ws("\n", *lines)
+    blocks = F.transform(options, lambda text, i: F.concat(filled(QUESTION_OPTION, i + 1), F.lit("\n"), F.trim(text), F.lit("\n")))
+    head = [F.lit(QUESTION), *([filled(QUESTION_COUNT, F.size(options))] if counted else []), F.lit(QUESTION_ORDER), F.lit(""), F.lit(QUESTION_LIST)]
+    return F.concat_ws("\n", *head, F.array_join(blocks, "\n"), F.lit(QUESTION_END_COUNT if counted else QUESTION_END))
 
 
 def parsed_answer(answer: Column, options: Column) -> Column:
