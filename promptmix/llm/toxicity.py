@@ -20,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, in_fold, map_texts, words_of
+from .common import bounded_sample, checkpointed, in_fold, map_texts, words_of
 
 MAX_POSITIVE = 3_000
 MAX_UNLABELLED = 8_000
@@ -122,24 +122,27 @@ def train(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] | None = Non
         return Model(0.0, {})
     # At most max_positive ids in expectation: bounded, so it can be broadcast.
     positive = bounded_sample(known.where("__y >= 0.5").select(id_col).distinct(), id_col, max_positive, seed=11).withColumn("__positive", F.lit(True))
-    texts = docs.where(use).select(id_col, text_col)
-    chosen = bounded_sample(texts, id_col, max_unlabelled, seed=13).select(id_col, text_col, F.lit(False).alias("__positive"))
-    marked = texts.join(F.broadcast(positive), id_col)
+    texts = docs.where(use).select(id_col, text_col).join(F.broadcast(positive), id_col, "left")
+    # One scan gathers both samples, which are bounded, and writes them.
+    rows = docs.where(use).select(id_col).count()
+    drawn = F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(F.lit(13), F.col(id_col)), F.lit(1 << 30)) < int(min(1.0, max_unlabelled / max(rows, 1)) * (1 << 30)))
+    sample = texts.select(text_col, F.coalesce("__positive", F.lit(False)).alias("__positive"), drawn.alias("__drawn"))
+    sample = checkpointed(sample.where("__positive or __drawn"))
+    marked = sample.where("__positive")
     held = map_texts(marked, lambda: lambda found: [[text_features(t) for t in found]], "found array<bigint>", text_col, [])
     n_positive = marked.count()
     counts = held.select(F.explode("found").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     top = counts.where(F.col("n") >= (MIN_POSITIVES if n_positive >= MIN_POSITIVES else 1)).orderBy(F.desc("n"), "w").limit(MAX_FEATURES)
     words = vocabulary([tuple(r) for r in top.collect()], n_positive)
-    both = marked.select(text_col, "__positive").unionByName(chosen.select(text_col, "__positive"))
 
     def make():
         place = {w: i for i, w in enumerate(words.tolist())}
         return lambda found: [[sorted(place[h] for h in text_features(t).tolist() if h in place) for t in found]]
 
-    table = map_texts(both, make, "found array<int>", text_col, ["__positive"]).toArrow()
+    table = map_texts(sample, make, "found array<int>", text_col, ["__positive", "__drawn"]).toArrow()
     parts = []
-    for flag in (True, False):
-        lists = table.filter(table["__positive"] if flag else pa.compute.invert(table["__positive"]))["found"]
+    for flag in ("__positive", "__drawn"):
+        lists = table.filter(table[flag])["found"]
         parts.append((pa.compute.list_value_length(lists).to_numpy(), pa.compute.list_flatten(lists).to_numpy()))
     return fit(words, *parts, float(prior))
 
