@@ -39,26 +39,34 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Elements that the start of another ends without an end tag.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}}
 #: Words of class, id and role that mark what is no article.
-MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs header masthead footer colophon comment comments commentlist reply replies respond disqus share sharing social related recommended recommendations widget widgets login search searchbox pagination pager toolbar skip contentinfo complementary form dialog alertdialog menubar toc copyright disclaimer".split())
+MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs masthead footer colophon comment comments commentlist reply replies respond disqus share sharing social related recommended recommendations widget widgets login search searchbox pagination pager toolbar skip contentinfo complementary form dialog alertdialog menubar toc copyright disclaimer".split())
 UNMARKED = frozenset("html body main".split())
+#: Words before a mark by which a class tells what else is on the page, as in has-sidebar.
+ABOUT = frozenset("has with no without is not".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
-def declared_other(name: str, attributes: str) -> bool:
-    """Whether the attributes mark an element as something other than the article."""
+def declared(name: str, attributes: str) -> str:
+    """`gone` if the attributes mark an element as something other than the article, `header` if as a header."""
+    found = ""
     if not attributes or attributes.isspace():
-        return False
+        return found
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
         if key in ("class", "id", "role") and name not in UNMARKED:
-            if any(w.lower() in MARKS for w in SPLIT.split(value)):
-                return True
+            words = [w.lower() for w in SPLIT.split(value)]
+            for before, word in zip(["", *words], words, strict=False):
+                if before not in ABOUT:
+                    if word in MARKS:
+                        return "gone"
+                    if word == "header":
+                        found = "header"
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return "gone"
+    return found
 
 
 def lines_of(html: str | None) -> tuple[list[str], bool]:
@@ -144,10 +152,13 @@ def lines_of(html: str | None) -> tuple[list[str], bool]:
             continue
         if attributes.endswith("/") and name not in BLOCKS:
             continue
-        own_gone = gone or name in GONE or declared_other(name, attributes)
+        kind = "gone" if gone or name in GONE else declared(name, attributes)
+        own_gone = kind == "gone"
         main = in_main or (not own_gone and (name in ("article", "main") or "role" in attributes and bool(re.search(r"role\s*=\s*[\"']?(main|article)\b", attributes))))
-        header = (in_header or name == "header") and name not in HEADINGS
-        if name == "header" and not main:
+        # Of a header only the headings are of the article, and of one outside of it nothing is.
+        begins = (name == "header" or kind == "header") and name not in ("article", "main")
+        header = (in_header or begins) and name not in HEADINGS
+        if begins and not main and name not in HEADINGS:
             own_gone = True
         stack.append((name, own_gone, header, main))
         gone, in_header, in_main = own_gone, header, main

@@ -78,6 +78,8 @@ def test_blocks_and_what_is_left_out():
     page = "<html><body class='has-sidebar'><header><h1>Site</h1></header><div id=cookie-notice>c</div><div class=content><h2>T &lt;a&gt;</h2><p>one<br>two&nbsp; three<p>four <b>five</b>six<ul><li>a<li>b</ul><form>f<input></form><div class='comments'><p>no</div>tail</div><script>if(a<b)\"</p>\"</script><!-- x > y --></body>"
     assert html.lines_of(page) == (["T <a>", "one two three", "four fivesix", "a", "b", "tail"], False)
     assert html.lines_of("<nav>n</nav><article><header><h1>Title</h1><span>by me</span></header><p>text</p><aside>s</aside><footer>f</footer><section id=comments>c<p>d</section>end</article><p>out") == (["Title", "text", "end"], True)
+    assert html.lines_of("<div class='layout with-sidebar'><article class='no-comments'><div class='entry-header'><h1>T</h1>by</div><p>a</p><div class=sidebar>s</div></article></div>") == (["T", "a"], True)
+    assert html.lines_of("<div class='site-header'><h1>Site</h1></div><h2 class='header'>H</h2><p>a") == (["H", "a"], False)
     assert html.lines_of(None) == html.lines_of("") == ([], False)
     assert html.lines_of("<p>a<div hidden>x</div><b>b") == (["a", "b"], False)
     assert html.lines_of("a < b &amp; c") == (["a < b & c"], False)
