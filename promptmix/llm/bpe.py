@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, checkpointed, map_texts
+from .common import ARROW_ROWS, checkpointed, least_of_top, map_texts
 
 MAX_WORDS = 100_000
 MIN_COUNT = 4
@@ -415,15 +415,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", max_words: int = MAX
     counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word binary, n bigint")
     totals = counted.where(F.length("word") <= LONG).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     totals = checkpointed(totals)
-    # The least count that no more than max_words words reach, from a histogram of the counts (finer for small ones).
-    step = F.when(F.col("n") < 1024, F.col("n").cast("double")).otherwise(F.floor(F.log2("n") * 64))
-    bars = sorted(((r["low"], r["words"]) for r in totals.groupBy(step.alias("s")).agg(F.min("n").alias("low"), F.count("*").alias("words")).collect()), reverse=True)
-    least, held = None, 0
-    for low, words in bars:
-        held += words
-        if held > max_words:
-            break
-        least = low
+    least = least_of_top(totals, max_words)
     return sorted(bytes(r[0]) for r in totals.where(F.col("n") >= least).select("word").collect()) if least else []
 
 

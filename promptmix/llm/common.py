@@ -4,7 +4,6 @@ the word rule used by matching operators, deterministic splits and bounded sampl
 from __future__ import annotations
 
 import tempfile
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -130,16 +129,3 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], list]], out_ddl
             yield pa.RecordBatch.from_arrays([piece.column(i) for i in range(width)] + arrays, names=[*kept, *added.names])
 
     return source.mapInArrow(run, schema)
-
-
-def hash_words(words, cache: dict) -> np.ndarray:
-    """Stable 32-bit hashes of byte words; `cache` remembers them and is emptied when it grows large."""
-    if len(cache) > 400_000:
-        cache.clear()
-    out = np.empty(len(words), dtype=np.uint32)
-    for i, w in enumerate(words):
-        h = cache.get(w)
-        if h is None:
-            h = cache[w] = zlib.crc32(w)
-        out[i] = h
-    return out

@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.places import PLACE, places
+
 # The base patterns.
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ASSIGN_LEAST = 6
@@ -48,23 +50,8 @@ ENCODINGS = (
 TEXT_SPREAD = 0.0056
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, token>> of the matches of a pattern, in order."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    before = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,token:string>>").alias("out"))
-
-    def step(held: Column, pair: Column) -> Column:
-        begin = held["at"] + F.length(pair["0"])
-        end = begin + F.length(pair["1"])
-        return F.struct(end.alias("at"), F.concat(held["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), pair["1"].alias("token")))).alias("out"))
-
-    pairs = F.zip_with(F.slice(before, F.lit(1), F.size(matches)), matches, lambda a, b: F.struct(a.alias("0"), b.alias("1")))
-    return F.aggregate(pairs, start, step, lambda held: held["out"])
-
-
 def _when(guard: Column, spans: Column) -> Column:
-    return F.when(guard, spans).otherwise(F.array().cast("array<struct<start:int,end:int,token:string>>"))
+    return F.when(guard, spans).otherwise(F.array().cast(PLACE))
 
 
 def _upper_tail(z: Column) -> Column:
@@ -76,8 +63,8 @@ def _upper_tail(z: Column) -> Column:
 
 
 def _tested(tokens: Column) -> Column:
-    """array<struct<start, end, n, p_random, p_text>> of tokens (start, end, token)."""
-    plain = F.transform(tokens, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.translate(F.regexp_replace(x["token"], "=+$", ""), "-_", "+/").alias("t")))
+    """array<struct<start, end, n, p_random, p_text>> of tokens (start, end, word)."""
+    plain = F.transform(tokens, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.translate(F.regexp_replace(x["word"], "=+$", ""), "-_", "+/").alias("t")))
 
     def placed(x: Column) -> Column:
         kind = F.coalesce(*[F.when(x["t"].rlike(form), F.lit(i)) for i, (_, form, _, _) in enumerate(ENCODINGS)])
@@ -144,15 +131,15 @@ def annotate(docs: DataFrame, text_col: str = "text", min_length: int = MIN_LENG
     rows = rows.withColumn("__run", F.col("__t").rlike(TOKEN % min(min_length, 24)))
     rows = rows.withColumns(
         {
-            "__assign": _when(assigned, F.filter(_located(F.col("__t"), ASSIGN), lambda x: F.length(F.regexp_extract(x["token"], "^" + ASSIGN, 2)) >= ASSIGN_LEAST)),
-            "__access": _when(F.contains("__t", F.lit("AKIA")), _located(F.col("__t"), ACCESS)),
-            "__hex": _when(F.col("__run") & F.col("__t").rlike(HEX), _located(F.col("__t"), HEX)),
-            "__tokens": _when(F.col("__run"), _located(F.col("__t"), TOKEN % min_length)),
+            "__assign": _when(assigned, F.filter(places(F.col("__t"), ASSIGN), lambda x: F.length(F.regexp_extract(x["word"], "^" + ASSIGN, 2)) >= ASSIGN_LEAST)),
+            "__access": _when(F.contains("__t", F.lit("AKIA")), places(F.col("__t"), ACCESS)),
+            "__hex": _when(F.col("__run") & F.col("__t").rlike(HEX), places(F.col("__t"), HEX)),
+            "__tokens": _when(F.col("__run"), places(F.col("__t"), TOKEN % min_length)),
         }
     )
     as_kind = lambda spans, kind: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
     rows = rows.withColumn("base_spans", F.array_sort(F.concat(*[as_kind(F.col(c), k) for k, c in enumerate(("__assign", "__access", "__hex"))])))
-    free = F.filter("__tokens", lambda x: ~F.exists("base_spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & ~x["token"].rlike("^[0-9_/+-]+=*$"))
+    free = F.filter("__tokens", lambda x: ~F.exists("base_spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & ~x["word"].rlike("^[0-9_/+-]+=*$"))
     rows = rows.withColumn("__free", free)
     found = F.when(F.size("__free") > 0, as_kind(_discovered(_tested(F.col("__free"))), 3)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
     return rows.select(
