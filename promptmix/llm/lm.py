@@ -1,13 +1,17 @@
 """Language-model scoring with a probabilistic suffix tree.
 
 A text is lower-cased (A-Z) and cut at white space; the words joined by one space and closed by an end mark are a
-sequence of bytes. The tree holds contexts of up to DEPTH bytes. A context is a candidate if it makes up at least
-MIN_SHARE of the training symbols, so there are at most 1 / MIN_SHARE of each length: the model has a proven size
-bound at any corpus size. It is retained if its next-symbol distribution diverges from that of its longest
-retained suffix by at least DIVERGENCE (count times Kullback-Leibler divergence, in nats). Distributions are
+sequence of bytes. Every context of up to DEPTH bytes that occurs in training is a candidate, whatever its count. It
+is retained if its next-symbol distribution diverges from that of its longest retained suffix by at least DIVERGENCE
+(count times Kullback-Leibler divergence, in nats), so the tree grows with the training text. Distributions are
 smoothed towards that suffix by the Witten-Bell rule, down to the uniform one over bytes. A symbol is scored by
 the longest retained suffix of what stands before it.
 
+The tree is never in one place. Contexts of up to UPPER bytes (at most 256 ** UPPER) come to the driver; longer ones
+are dealt by their nearest UPPER + 1 bytes, so a context meets all its longer suffixes in one task, which grows its
+part of the tree and scores the grams of the texts in it. The scores of the FREQUENT_GRAMS commonest grams travel to
+the executors (a bounded table), those of all others meet their texts in a join.
+
 Beside it goes the unigram score over words and the end mark, with add-one smoothing. Its counts are exact, over
 all training tokens: the FREQUENT commonest words travel to the executors (a bounded table), the counts of all
 others are met in a join. Words are told apart by 64-bit hashes.
@@ -26,9 +30,11 @@ from pyspark.sql import functions as F
 from .common import ARROW_ROWS, LOWER_BYTES, checkpointed, least_of_top, slices, utf8
 
 DEPTH = 5
-MIN_SHARE = 1e-6
 DIVERGENCE = 8.0
+#: Context bytes up to which the tree is known to every task.
+UPPER = 2
 FREQUENT = 200_000
+FREQUENT_GRAMS = 2_000_000
 BLOCK_BYTES = 2_000_000
 #: Distinct words or grams that a task holds before it sends their counts on.
 HELD_WORDS = 300_000
@@ -125,12 +131,40 @@ class Remembered:
         return out
 
 
-def grow(contexts: dict[int, tuple], entries: dict[int, tuple], depth: int = DEPTH, divergence: float = DIVERGENCE) -> Tree:
-    """The tree from the candidates of each length.
+class Listed:
+    """Natural log probabilities of listed codes (sorted), NaN for all others."""
+
+    def __init__(self, codes: np.ndarray, logs: np.ndarray):
+        self.codes, self.logs = codes, logs
+
+    def log_prob(self, codes: np.ndarray) -> np.ndarray:
+        at, there = Tree._at(self.codes, codes)
+        return np.where(there, self.logs[at], np.nan) if len(self.codes) else np.full(len(codes), np.nan)
+
+
+def by_length(codes: np.ndarray, n: np.ndarray, lengths) -> tuple[dict[int, tuple], dict[int, tuple]]:
+    """Contexts and entries of the given lengths, as `grow` takes them, from gram codes and their counts."""
+    contexts, entries = {}, {}
+    for k in lengths:
+        own, at = np.unique(codes & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        count = np.bincount(at, n, len(own)).astype(np.int64)
+        above, at = np.unique(own >> np.uint64(8), return_inverse=True)
+        contexts[k] = above, np.bincount(at, count, len(above)).astype(np.int64), np.bincount(at, minlength=len(above))
+        entries[k] = own, count
+    return contexts, entries
+
+
+def grow(contexts: dict[int, tuple], entries: dict[int, tuple], depth: int = DEPTH, divergence: float = DIVERGENCE, upper: Tree | None = None) -> Tree:
+    """The tree from the candidates of each length, or its part below an upper tree (contexts of up to UPPER bytes).
 
     contexts[k]: sorted codes, symbols seen after them, distinct symbols among these. entries[k]: sorted codes of
-    context and symbol, counts. Both may lack what is below the least share."""
+    context and symbol, counts. Both may lack some candidates."""
     tree = Tree(depth)
+    if upper:
+        tree.root = upper.root
+        for k in range(min(UPPER, depth) + 1):
+            tree.contexts[k], tree.rest[k], tree.entries[k], tree.logs[k] = upper.contexts[k], upper.rest[k], upper.entries[k], upper.logs[k]
+        return _lengthened(tree, contexts, entries, range(UPPER + 1, depth + 1), divergence)
     codes, counts = entries.get(0, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
     seen = contexts[0][1][0] if 0 in contexts and len(contexts[0][0]) else 0
     listed = np.zeros(256)
@@ -138,7 +172,11 @@ def grow(contexts: dict[int, tuple], entries: dict[int, tuple], depth: int = DEP
     left = max(0, seen - listed.sum())
     share = listed + np.where(listed > 0, 0, left / max(1, (listed == 0).sum()))
     tree.root = np.log((share + 1) / (share.sum() + 256))
-    for k in range(1, depth + 1):
+    return _lengthened(tree, contexts, entries, range(1, depth + 1), divergence)
+
+
+def _lengthened(tree: Tree, contexts: dict[int, tuple], entries: dict[int, tuple], lengths: range, divergence: float) -> Tree:
+    for k in lengths:
         if k not in contexts or not len(contexts[k][0]):
             break
         context, total, distinct = contexts[k]
@@ -161,7 +199,7 @@ def grow(contexts: dict[int, tuple], entries: dict[int, tuple], depth: int = DEP
     return tree
 
 
-def count(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) -> DataFrame:
+def count(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, only_grams: bool = False) -> DataFrame:
     """kind, key, n: counts of words (kind 0, by hash), grams (1) and texts (2) over all rows of docs.
 
     A task adds up what it reads, so a word or gram goes out about once from each; the sums are spread."""
@@ -189,7 +227,7 @@ def count(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) -> DataFr
         for piece in slices(batches, 0, BLOCK_BYTES):
             split = [words_of(t) for t in piece.column(0).to_pylist()]
             texts_seen += len(split)
-            for one in split:
+            for one in () if only_grams else split:
                 words.update(one)
             parts.append(np.unique(grams(split, depth)[0], return_counts=True))
             if len(words) > HELD_WORDS:
@@ -212,36 +250,51 @@ def count(docs: DataFrame, text_col: str = "text", depth: int = DEPTH) -> DataFr
     return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def train_tree(counts: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, divergence: float = DIVERGENCE) -> Tree:
-    """The tree from the gram counts. What comes to the driver is bounded by (depth + 1) / min_share rows twice."""
-    total = counts.where("kind = 1").agg(F.sum("n")).first()[0] or 0
-    if not total:
-        return Tree(depth)
-    least = min_share * total
-    masks = F.array(*[F.struct(F.lit(k).alias("k"), F.lit((1 << 8 * (k + 1)) - 1).alias("mask")) for k in range(depth + 1)])
-    each = counts.where("kind = 1").select("key", "n", F.explode(masks).alias("m"))
-    entries = each.groupBy(F.col("m.k").alias("k"), F.col("key").bitwiseAND(F.col("m.mask")).alias("code")).agg(F.sum("n").alias("n"))
-    entries = checkpointed(entries)
-    contexts = entries.groupBy("k", F.shiftright("code", 8).alias("code")).agg(F.sum("n").alias("n"), F.count("*").alias("u")).where(F.col("n") >= least)
-    found = entries.where(F.col("n") >= least).toArrow(), contexts.toArrow()
-
-    def by_length(table, columns):
-        out = {}
-        k = table["k"].to_numpy()
-        for length in range(depth + 1):
-            rows = np.flatnonzero(k == length)
-            code = table["code"].to_numpy()[rows].astype(np.uint64)
-            order = np.argsort(code)
-            out[length] = (code[order], *(table[c].to_numpy()[rows][order] for c in columns))
-        return out
+class Grown:
+    """A tree that is spread over tasks: the upper tree, and the gram counts from which each task grows its part."""
+
+    def __init__(self, grams: DataFrame, upper: Tree, divergence: float):
+        self.grams, self.upper, self.divergence = grams, upper, divergence
+        self.depth = upper.depth
+
+    def log_probs(self, wanted: DataFrame) -> DataFrame:
+        """key, n, log: the natural log probability of the last symbol of each gram of wanted (key, n; keys distinct)."""
+        zero = F.lit(0).cast("long")
+        both = self.grams.select("key", F.col("n").alias("t"), zero.alias("n")).unionByName(wanted.select("key", zero.alias("t"), "n"))
+        both = both.groupBy("key").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+        # All longer contexts of one place are dealt to one task.
+        dealt = both.repartition(F.shiftright("key", 8).bitwiseAND((1 << 8 * (UPPER + 1)) - 1))
+        upper, depth, divergence = self.upper, self.depth, self.divergence
+
+        def run(batches):
+            held = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+            if not held:
+                return
+            key, t, n = (np.concatenate([h[i] for h in held]) for i in range(3))
+            code, trained = key.astype(np.uint64), t > 0
+            tree = grow(*by_length(code[trained], t[trained], range(UPPER + 1, depth + 1)), depth, divergence, upper)
+            asked = np.flatnonzero(n > 0)
+            for at in range(0, len(asked), HELD_GRAMS):
+                rows = asked[at : at + HELD_GRAMS]
+                yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(n[rows]), pa.array(tree.log_prob(code[rows]))], names=["key", "n", "log"])
+
+        return dealt.mapInArrow(run, "key bigint, n bigint, log double")
+
 
-    return grow(by_length(found[1], ("n", "u")), by_length(found[0], ("n",)), depth, divergence)
+def train_tree(counts: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE) -> Grown:
+    """The tree from the gram counts. Grams of UPPER + 1 bytes come to the driver, all others stay where they are."""
+    grams_seen = counts.where("kind = 1").select("key", "n")
+    short = grams_seen.groupBy(F.col("key").bitwiseAND((1 << 8 * (UPPER + 1)) - 1).alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    code, n = short["code"].to_numpy().astype(np.uint64), short["n"].to_numpy()
+    upper = grow(*by_length(code, n, range(UPPER + 1)), depth, divergence) if len(code) else Tree(depth)
+    return Grown(grams_seen, upper, divergence)
 
 
-def score(docs: DataFrame, counts: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, counts: DataFrame, tree: Grown, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, frequent: int = FREQUENT, frequent_grams: int = FREQUENT_GRAMS) -> DataFrame:
     """id and kept columns, n_tokens, n_known, train_tokens, base_score and score for each row.
 
-    Each row is read once. Words outside the frequent ones go to a join with their counts as (row, hash, times)."""
+    Each row is read twice: for the grams to be scored, then for the scores. Words outside the frequent ones go to a
+    join with their counts as (row, hash, times), grams outside the frequent ones with their scores in the same way."""
     spark = docs.sparkSession
     keep = keep or []
     totals = counts.where("kind <> 1").agg(
@@ -258,7 +311,13 @@ def score(docs: DataFrame, counts: DataFrame, tree: Tree, id_col: str = "doc_id"
     hashes = common["key"].to_numpy()
     order = np.argsort(hashes)
     hashes, values = hashes[order], np.log10(common["n"].to_numpy()[order].astype(float) + 1)
-    joins = common.num_rows < distinct - (1 if ends else 0)
+    logs = checkpointed(tree.log_probs(count(docs, text_col, tree.depth, only_grams=True).where("kind = 1").select("key", "n")))
+    least_gram = least_of_top(logs, frequent_grams)
+    usual = logs.where(F.col("n") >= (least_gram if least_gram else 1 << 62)).select("key", "log").toArrow()
+    codes = usual["key"].to_numpy().astype(np.uint64)
+    order = np.argsort(codes)
+    listed, depth = Listed(codes[order], usual["log"].to_numpy()[order]), tree.depth
+    joins = common.num_rows < distinct - (1 if ends else 0) or usual.num_rows < logs.count()
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     kept = list(dict.fromkeys([id_col, *keep]))
     source = docs.select(*[F.col(c) for c in kept], F.col(text_col).cast("string").alias("__text"))
@@ -273,7 +332,7 @@ def score(docs: DataFrame, counts: DataFrame, tree: Tree, id_col: str = "doc_id"
         row = TaskContext.get().partitionId() << 40
         known: dict[bytes, int] = {}
         rare: list[int] = []
-        remembered = Remembered(tree)
+        remembered = Remembered(listed)
         for piece in slices(batches, width, BLOCK_BYTES):
             split = [words_of(t) for t in piece.column(width).to_pylist()]
             if len(known) > HELD_WORDS:
@@ -288,8 +347,17 @@ def score(docs: DataFrame, counts: DataFrame, tree: Tree, id_col: str = "doc_id"
                 new = np.where(common_word, at, -1 - len(rare) - np.cumsum(~common_word) + 1)
                 rare.extend(hashed[~common_word].tolist())
                 known.update(zip(fresh, new.tolist(), strict=True))
-            codes, sizes = grams(split, tree.depth)
-            scores = np.add.reduceat(remembered.log_prob(codes), np.concatenate(([0], np.cumsum(sizes)[:-1]))) / np.log(10)
+            codes, sizes = grams(split, depth)
+            logs = remembered.log_prob(codes)
+            unusual = np.flatnonzero(np.isnan(logs))
+            logs[unusual] = 0
+            scores = np.add.reduceat(logs, np.concatenate(([0], np.cumsum(sizes)[:-1]))) / np.log(10)
+            # Text and code of each other gram, once, with how often it occurs there.
+            holder, code = np.searchsorted(np.cumsum(sizes), unusual, side="right"), codes[unusual].astype(np.int64)
+            by_text = np.lexsort((code, holder))
+            holder, code = holder[by_text], code[by_text]
+            begins = np.flatnonzero(np.concatenate(([True], (holder[1:] != holder[:-1]) | (code[1:] != code[:-1])))) if len(code) else by_text
+            holder, code, gram_times = holder[begins], code[begins], np.diff(np.append(begins, len(code)))
             base, n_known, others, rows = [], [], [], []
             rare_of = np.array(rare, dtype=np.int64)
             for one in split:
@@ -302,28 +370,30 @@ def score(docs: DataFrame, counts: DataFrame, tree: Tree, id_col: str = "doc_id"
                 rows.append(row)
                 row += 1
             n = piece.num_rows
-            # One row for the text itself, then one for each other word of it.
-            at = np.concatenate([np.arange(n), np.repeat(np.arange(n), [len(k) for k, _ in others])])
-            own = np.arange(len(at)) < n
+            # One row for the text itself, then one for each other word of it, then one for each other gram.
+            at = np.concatenate([np.arange(n), np.repeat(np.arange(n), [len(k) for k, _ in others]), holder])
+            own, gram = np.arange(len(at)) < n, np.arange(len(at)) >= len(at) - len(holder)
             mask = pa.array(own)
             hidden = lambda column, kind: pa.compute.if_else(mask, pa.array(column, type=kind).take(pa.array(at)), pa.scalar(None, type=kind))
-            extra = lambda i: np.concatenate([np.zeros(n, dtype=np.int64), *[o[i] for o in others]])
+            extra = lambda i: np.concatenate([np.zeros(n, dtype=np.int64), *[o[i] for o in others], (code, gram_times)[i]])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.array(rows)[at]), pa.array(own)]
                 + [pa.compute.if_else(mask, piece.column(i).take(pa.array(at)), pa.scalar(None, type=piece.column(i).type)) for i in range(width)]
                 + [hidden([len(s) + 1 for s in split], pa.int64()), hidden(n_known, pa.int64()), hidden(base, pa.float64()), hidden(scores, pa.float64())]
-                + [pa.array(extra(0), mask=own), pa.array(extra(1), mask=own)],
-                names=["__row", "__own", *kept, "__n", "__known", "__base", "__score", "key", "__times"],
+                + [pa.array(gram, mask=own), pa.array(extra(0), mask=own), pa.array(extra(1), mask=own)],
+                names=["__row", "__own", *kept, "__n", "__known", "__base", "__score", "__gram", "key", "__times"],
             )
 
-    spread = source.mapInArrow(run, f"__row bigint, __own boolean, {types}, __n bigint, __known bigint, __base double, __score double, key bigint, __times bigint")
-    others = words.where(F.col("n") < least if least else F.lit(True)).select("key", F.col("n").alias("__c"))
-    joined = spread.join(others, "key", "left") if joins else spread.withColumn("__c", F.lit(None).cast("bigint"))
-    times = F.coalesce("__times", F.lit(0))
+    spread = source.mapInArrow(run, f"__row bigint, __own boolean, {types}, __n bigint, __known bigint, __base double, __score double, __gram boolean, key bigint, __times bigint")
+    others = words.where(F.col("n") < least if least else F.lit(True)).select(F.lit(False).alias("__gram"), "key", F.log10(F.col("n") + 1).alias("__value"))
+    others = others.unionByName(logs.where(F.col("n") < least_gram if least_gram else F.lit(True)).select(F.lit(True).alias("__gram"), "key", (F.col("log") / float(np.log(10))).alias("__value")))
+    joined = spread.join(others, ["__gram", "key"], "left") if joins else spread.withColumn("__value", F.lit(None).cast("double"))
+    times, value = F.coalesce("__times", F.lit(0)), F.coalesce("__value", F.lit(0.0))
     gathered = joined.groupBy("__row").agg(
         F.max(F.when(F.col("__own"), F.struct(*kept, "__n", "__known", "__base", "__score"))).alias("r"),
-        F.sum(times * F.log10(F.coalesce("__c", F.lit(0)) + 1)).alias("more"),
-        F.sum(F.when(F.col("__c").isNotNull(), times).otherwise(0)).alias("known"),
+        F.sum(F.when(F.col("__gram"), 0.0).otherwise(times * value)).alias("more"),
+        F.sum(F.when(F.col("__gram"), times * value).otherwise(0.0)).alias("more_score"),
+        F.sum(F.when(F.col("__value").isNotNull() & ~F.col("__gram"), times).otherwise(0)).alias("known"),
     )
     return gathered.select(
         *[F.col(f"r.{c}").alias(c) for c in kept],
@@ -331,5 +401,5 @@ def score(docs: DataFrame, counts: DataFrame, tree: Tree, id_col: str = "doc_id"
         (F.col("r.__known") + F.col("known")).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("r.__base") + F.col("more") - F.col("r.__n") * per_token).alias("base_score"),
-        F.col("r.__score").alias("score"),
+        (F.col("r.__score") + F.col("more_score")).alias("score"),
     )

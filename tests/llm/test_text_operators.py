@@ -288,6 +288,20 @@ def test_grams_do_not_reach_over_texts():
     assert codes.tolist() == sum(one, []) and sizes.tolist() == [5, 1, 2]
 
 
+def test_tree_grows_with_the_text_and_equals_one_grown_whole(spark):
+    # 3,000,000 common symbols, and a context that is seen twice among them.
+    rows = [(i, "aaaa aaaa " * 5000) for i in range(60)] + [(60, "qzxj!"), (61, "qzxj!"), (62, None), (63, "qzxj? unseen")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    training = [t for i, t in rows if i <= 61]
+    tree = tree_of(training)
+    assert ord("j") in tree.contexts[1]
+    counts = lm.count(docs.where("doc_id <= 61")).cache()
+    want = {i: tree.log_prob(lm.grams([lm.words_of(t)])[0]).sum() / math.log(10) for i, t in rows}
+    for options in ({}, {"frequent_grams": 3}):
+        got = {r.doc_id: r.score for r in lm.score(docs, counts, lm.train_tree(counts), **options).collect()}
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in got)
+
+
 def test_fold_is_crc32(spark):
     rows = queries.op10_lm_scoring(spark, DIR).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2) for r in rows) and len(rows) == 200
