@@ -8,7 +8,8 @@ Words outside the benchmark vocabulary cannot take part in a match, so the array
 begin with at least as many known words as the shortest window; nothing is lost by that.
 
 Cases: null or wordless texts have no words and are clean; an item without words has no window; an item with
-fewer words than the window is one window; equal items and equal documents are each reported in full."""
+fewer words than the window is one window; an item without an id is searched and counts as one item (its name is
+null); equal items and equal documents are each reported in full, whatever their ids."""
 
 from __future__ import annotations
 
@@ -175,7 +176,7 @@ def _one_block(docs: DataFrame, block: list, text_col: str, window: int, keep: l
             return [
                 [r[0] for r in rows],
                 [r[1] for r in rows],
-                [sorted({needles.names[i] for i in r[2]}) for r in rows],
+                [sorted({needles.names[i] for i in r[2]}, key=lambda x: (x is None, x or "")) for r in rows],
                 [r[3] for r in rows],
                 [needles.names[r[4]] if r[4] >= 0 else None for r in rows],
                 [r[5] if r[5] >= 0 else None for r in rows],
@@ -192,7 +193,7 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_words: int
     block, size = [], 0
     for row in benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator():
         words = words_of(row[1])
-        if not words or row[0] is None:
+        if not words:
             continue
         if block and size + len(words) > block_words:
             yield block
@@ -208,29 +209,32 @@ def annotate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     match (words, item, first word), and the maximal hit spans.
 
     The benchmark travels to the executors in blocks of bounded size. One block needs no shuffle; for more, the
-    hit spans of each block are gathered by document (ids must then be unique) and merged."""
+    hit spans of each block are gathered by the digest of the text, on which alone they depend, and merged: ids may
+    be null or repeat, and of equal texts one goes to the merge."""
     blocks = blocks_of(benchmark, item_id_col, item_text_col, block_words)
     first = next(blocks, [])
     second = next(blocks, None)
     if second is None:
         return _one_block(docs, first, text_col, window, keep)
-    parts = [first, second, *blocks]
+    digest = F.sha2(F.col(f"`{text_col}`").cast("string").cast("binary"), 256)
+    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("__text"), digest.alias("__key"))
     found = None
-    for block in parts:
-        one = _one_block(docs, block, text_col, window, [id_col]).where("n_hit > 0")
+    for k, block in enumerate([first, second, *blocks]):
+        one = _one_block(texts, block, "__text", window, ["__key"]).where("n_hit > 0").dropDuplicates(["__key"]).withColumn("__block", F.lit(k))
         found = one if found is None else found.unionByName(one)
-    merged = found.groupBy(id_col).agg(
+    merged = found.groupBy("__key").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.flatten(F.collect_list("hit_spans"))).alias("spans"),
-        F.min(F.struct((-F.col("longest_match")).alias("l"), F.col("longest_start").alias("s"), F.col("longest_item").alias("i"))).alias("best"),
+        F.min(F.struct((-F.col("longest_match")).alias("l"), F.col("longest_start").alias("s"), F.col("__block"), F.col("longest_item").alias("i"))).alias("best"),
     )
     # Union of sorted spans by a fold with the last span open.
     fold = "aggregate(spans, cast(array() as array<struct<start:bigint,end:bigint>>), (a, x) -> case when size(a) > 0 and x.start <= a[size(a) - 1].end then concat(slice(a, 1, size(a) - 1), array(named_struct('start', a[size(a) - 1].start, 'end', greatest(a[size(a) - 1].end, x.end)))) else concat(a, array(x)) end)"
-    merged = merged.select(F.col(id_col), F.expr(fold).alias("m_spans"), F.col("items").alias("m_items"), F.col("best").alias("m_best"))
-    base = map_texts(docs, lambda: lambda texts: [[len(words_of(t)) for t in texts]], "n_words bigint", text_col, keep if keep is None else list(dict.fromkeys([id_col, *keep])))
-    joined = base.join(merged, id_col, "left")
+    merged = merged.select("__key", F.expr(fold).alias("m_spans"), F.col("items").alias("m_items"), F.col("best").alias("m_best"))
+    base = map_texts(docs.withColumn("__key", digest), lambda: lambda texts: [[len(words_of(t)) for t in texts]], "n_words bigint", text_col, keep if keep is None else [*keep, "__key"])
+    added = {"n_hit", "items", "longest_match", "longest_item", "longest_start", "hit_spans"}
+    joined = base.join(merged, "__key", "left")
     return joined.select(
-        *base.columns,
+        *[F.col(f"`{c}`") for c in base.columns if c != "__key" and c.lower() not in added],
         F.expr("coalesce(aggregate(m_spans, 0L, (a, x) -> a + x.end - x.start), 0L)").alias("n_hit"),
         F.coalesce("m_items", F.array().cast("array<string>")).alias("items"),
         F.coalesce(-F.col("m_best.l"), F.lit(0)).alias("longest_match"),

@@ -55,6 +55,22 @@ def test_longest_match_and_blocks(spark):
         assert (row.n_words, row.n_hit, row.items, row.longest_match) == (many[i].n_words, many[i].n_hit, many[i].items, many[i].longest_match)
 
 
+def test_null_and_repeated_ids_at_any_benchmark_size(spark):
+    items = [(9, "a b c d"), (None, "e f g"), (3, "a b x y"), (4, "p q")]
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    docs = spark.createDataFrame([(None, "1 a b c d 2"), (5, "e f g here"), (5, "clean"), (5, "p q and a b x y"), (None, None), (6, "clean"), (7, "1 a b c d 2")], "doc_id long, text string").repartition(3)
+    row = lambda r: (r.doc_id, r.text, r.n_words, r.n_hit, r.items, r.longest_match, r.longest_item, r.longest_start, r.hit_spans)
+    found = [sorted((row(r) for r in decontaminate.annotate(docs, bench, window=4, block_words=n).collect()), key=repr) for n in (100, 4)]
+    assert found[0] == found[1]
+    by_text = {r[1]: r for r in found[1]}
+    want = decontaminate.brute_force(list(by_text), [(str(i), t) for i, t in items], 4)
+    assert [(r[2], r[3], len(r[4])) for r in by_text.values()] == [w[:3] for w in want]
+    assert by_text["e f g here"][4] == [None] and by_text["clean"][3] == 0 and len(found[1]) == 7
+    for n in (100, 4):
+        kept = decontaminate.remove_contaminated(docs, bench, window=4, block_words=n).collect()
+        assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == [(5, "clean"), (6, "clean"), (None, None)]
+
+
 def test_removal_keeps_columns_and_clean_rows(spark):
     item = " ".join(f"b{i}" for i in range(12))
     docs = documents(spark, [item, "clean", None]).withColumn("n_hit", F.lit("mine")).withColumn("items", F.lit(1))
