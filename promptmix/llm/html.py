@@ -9,8 +9,7 @@ they share are deleted: what a site repeats from page to page is not the article
 Lines within an explicit <article> or <main> are kept even if a neighbour has them: the page itself says what
 they are, and two articles may well quote the same sentence. Where a page has such an element, only its lines
 are taken. Pages of a host with the same lines (copies) count as one page in the pairing, so a copy does not
-delete its own text, and pages without lines are passed over; where such a run reaches a cut between buckets, it is
-compared with the neighbour on its own side.
+delete its own text, and pages without lines are passed over, however many of them there are.
 
 Cases: a null or empty html gives the empty text; null URLs have the empty host and path, and are paired like
 others; unclosed elements end with their parent; pages with equal URLs follow each other by id."""
@@ -20,12 +19,13 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_left, bisect_right
+from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, bounded_sample, quantiles, slices
+from .common import ARROW_ROWS, bounded_sample, checkpointed, quantiles, slices
 
 MAX_BUCKETS = 4_000
 SAMPLED = 50
@@ -245,9 +245,10 @@ def _key(url: str) -> "F.Column":
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", buckets: int | None = None) -> DataFrame:
     """id, url, text and n_chars for each page.
 
-    Pages are dealt by the order of (host, path, id) to buckets, so a host of any size is spread over many; the
-    first page of a bucket goes to the bucket before as well, and the last page before a cut to the next, so no
-    pair is lost. Cuts come from a bounded sample of keys."""
+    Pages are dealt by the order of (host, path, id) to buckets, so a host of any size is spread over many. A first
+    pass finds the outer groups of each bucket; each bucket is then given the first pages of the groups that stand
+    before and after it, over as many buckets as a group goes on, so the texts do not depend on the cuts. Cuts come
+    from a bounded sample of keys."""
     spark = pages.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     host, path = _key(url_col)
@@ -256,7 +257,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     keys = pages.select(key.alias("key"))
     ordered = sorted((r[0] for r in bounded_sample(keys, "key", SAMPLED * buckets, seed=29).collect()), key=lambda k: k.encode())
     cuts = sorted(quantiles(ordered, buckets), key=lambda k: k.encode())
-    lasts = _last_before(keys, cuts)
     id_type = pages.schema[id_col].dataType.simpleString()
     source = pages.select(F.col(id_col), F.col(url_col).cast("string"), host.alias("host"), path.alias("path"), key.alias("key"), F.col(html_col).cast("string"))
     encoded = [c.encode() for c in cuts]
@@ -264,22 +264,49 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def parse(batches):
         import pyarrow.compute  # noqa: F401
 
-        first, last = set(cuts), set(lasts)
         for piece in slices(batches, 5):
             rows = []
             for i, (key, page) in enumerate(zip(piece.column(4).to_pylist(), piece.column(5).to_pylist(), strict=True)):
                 lines, explicit = lines_of(page)
-                bucket = bisect_right(encoded, key.encode())
-                # Guests are only there to be compared with.
-                homes = [(bucket, False)] + [(bucket - 1, True)] * (key in first) + [(bucket + 1, True)] * (key in last)
                 packed = pa.compress("\n".join(lines).encode("utf-8", "surrogatepass"), codec="zstd", asbytes=True)
-                rows += [(i, b, guest, explicit, len("\n".join(lines).encode("utf-8", "surrogatepass")), packed) for b, guest in homes]
-            at = pa.array([r[0] for r in rows], type=pa.int64())
-            own = [pa.array([r[k] for r in rows], type=t) for k, t in ((1, pa.int32()), (2, pa.bool_()), (3, pa.bool_()), (4, pa.int64()), (5, pa.binary()))]
-            yield pa.RecordBatch.from_arrays([piece.column(k).take(at) for k in (0, 1, 2, 3, 4)] + own, names=["id", "url", "host", "path", "key", "bucket", "guest", "explicit", "size", "packed"])
+                rows.append((bisect_right(encoded, key.encode()), explicit, len("\n".join(lines).encode("utf-8", "surrogatepass")), packed))
+            own = [pa.array([r[k] for r in rows], type=t) for k, t in ((0, pa.int32()), (1, pa.bool_()), (2, pa.int64()), (3, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([piece.column(k) for k in (0, 1, 2, 3, 4)] + own, names=names)
 
-    parsed = source.mapInArrow(parse, f"id {id_type}, url string, host string, path string, key string, bucket int, guest boolean, explicit boolean, size bigint, packed binary")
-    dealt = parsed.repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "key")
+    def ends(batches):
+        """The first pages of the first two and the last two groups of each bucket."""
+        held, now = [], None  # held: (number, mark, row)
+
+        def done():
+            rows = {x[0]: x for x in held[:2] + held[-2:]}.values()
+            return [pa.RecordBatch.from_arrays([*x[2].columns, pa.array([x[0]], type=pa.int64()), pa.array([x[1]])], names=[*names, "number", "mark"]) for x in rows]
+
+        for batch in batches:
+            column = {n: batch.column(k).to_pylist() for k, n in enumerate(names) if n in ("host", "bucket", "explicit", "size", "packed")}
+            for i in range(batch.num_rows):
+                if column["bucket"][i] != now:
+                    yield from done()
+                    held, now = [], column["bucket"][i]
+                if not column["size"][i]:
+                    continue
+                mark = sha256(f"{column['host'][i]}\0{column['explicit'][i]}\0".encode() + column["packed"][i]).hexdigest()
+                if not held or held[-1][1] != mark:
+                    held.append((held[-1][0] + 1 if held else 0, mark, batch.slice(i, 1)))
+                    held[2:-2] = []
+        yield from done()
+
+    names = ["id", "url", "host", "path", "key", "bucket", "explicit", "size", "packed"]
+    kinds = f"id {id_type}, url string, host string, path string, key string, bucket int, explicit boolean, size bigint, packed binary"
+    parsed = source.mapInArrow(parse, kinds)
+    dealt = parsed.withColumn("place", F.lit(0))
+    if cuts:
+        outer = checkpointed(parsed.repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "key", "packed").mapInArrow(ends, kinds + ", number bigint, mark string"))
+        guests = _guests([tuple(r) for r in outer.select("bucket", "number", "mark").collect()])
+        given = spark.createDataFrame(guests, "bucket int, number bigint, home int, place int")
+        given = outer.join(F.broadcast(given), ["bucket", "number"])
+        dealt = dealt.unionByName(given.select(*[F.col("home" if n == "bucket" else n).alias(n) for n in names], "place"))
+    # Guests are only there to be compared with.
+    dealt = dealt.repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "place", "key", "packed")
 
     def pair(batches):
         ids, urls, texts = [], [], []
@@ -304,7 +331,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     pairing.finish()
                     pairing.before, now = None, column["bucket"][i]
                 packed = pa.decompress(column["packed"][i], column["size"][i], codec="zstd", asbytes=True).decode("utf-8", "surrogatepass") if column["size"][i] else ""
-                page = None if column["guest"][i] else (batch.column(0).slice(i, 1), column["url"][i])
+                page = None if column["place"][i] else (batch.column(0).slice(i, 1), column["url"][i])
                 pairing.add(column["host"][i], column["path"][i], packed.split("\n") if packed else [], column["explicit"][i], page)
             if ids:
                 yield done()
@@ -315,9 +342,21 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return dealt.mapInArrow(pair, f"{id_col} {id_type}, {url_col} string, text string, n_chars bigint")
 
 
-def _last_before(keys: DataFrame, cuts: list[str]) -> list[str]:
-    """For each cut the greatest key below it; one row for each bucket comes back."""
-    if not cuts:
-        return []
-    bucket = F.array_size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("key")))
-    return [r["last"] for r in keys.groupBy(bucket.alias("bucket")).agg(F.max("key").alias("last")).collect() if r["bucket"] < len(cuts)]
+def _guests(outer: list[tuple[int, int, str]]) -> list[tuple[int, int, int, int]]:
+    """(bucket, number, home, place) of the groups given to each home: the last two that begin before it (places -2 and
+    -1; it may go on with the last) and the next one that is not its own last (place 1).
+
+    outer: bucket, number and mark of the first two and the last two groups of each bucket that has any."""
+    groups: dict[int, list[tuple[int, int, str]]] = {}
+    for group in sorted(outer):
+        groups.setdefault(group[0], []).append(group)
+    out, tail, head = [], [], []
+    for home, own in groups.items():
+        out += [(*g[:2], home, k - len(tail)) for k, g in enumerate(tail)]
+        goes_on = bool(tail) and tail[-1][2] == own[0][2]
+        tail = (tail + own[goes_on:])[-2:]
+    for home, own in reversed(groups.items()):
+        out += [(*g[:2], home, 1) for g in [g for g in head if g[2] != own[-1][2]][:1]]
+        follow = head[1:] if head and head[0][2] == own[-1][2] else head
+        head = (own + follow)[:2]
+    return out

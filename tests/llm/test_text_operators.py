@@ -114,6 +114,17 @@ def test_shared_lines_go_for_any_buckets(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_copies_that_fill_buckets_meet_the_same_neighbours(spark):
+    page = lambda own: f"<div>Top</div><p>{own}</p><div>Bottom</div>"
+    rows = [(0, "https://h.test/a", page("first")), (1, "https://h.test/b", page("second"))]
+    rows += [(i, "https://h.test/c", None if i % 7 == 0 else page("copy")) for i in range(2, 60)]
+    rows += [(i, f"https://h.test/d{i}", page("other copy")) for i in range(60, 90)] + [(90, "https://h.test/e", page("last"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    want = {i: "" if h is None else h.split("<p>")[1].split("</p>")[0] for i, _, h in rows}
+    for buckets in (1, 4, 25):
+        assert {r.page_id: r.text for r in html.extract(pages, buckets=buckets).collect()} == want
+
+
 # BPE.
 
 
