@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, checkpointed, least_of_top, map_texts
+from .common import checkpointed, least_of_top, map_texts, named, slices
 
 MAX_WORDS = 100_000
 MIN_COUNT = 4
@@ -387,9 +387,9 @@ def frequent_words(docs: DataFrame, text_col: str = "text", max_words: int = MAX
 
     Each task counts what it reads and sends each word about once; the sums are spread over the cluster, and
     only the top comes to the driver."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
     def run(batches):
+        import pyarrow.compute  # noqa: F401
         from collections import Counter
 
         counts: Counter = Counter()
@@ -403,8 +403,8 @@ def frequent_words(docs: DataFrame, text_col: str = "text", max_words: int = MAX
             counts.clear()
             return pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogatepass") for w in words], type=pa.binary()), pa.array(list(words.values()), type=pa.int64())], names=["word", "n"])
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
+        for piece in slices(batches, 0):
+            for text in piece.column(0).to_pylist():
                 if text:
                     counts.update(chunks(text))
                 if len(counts) > 300_000:
@@ -412,7 +412,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", max_words: int = MAX
         if counts:
             yield out()
 
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word binary, n bigint")
+    counted = docs.select(named(text_col).cast("string")).mapInArrow(run, "word binary, n bigint")
     totals = counted.where(F.length("word") <= LONG).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     totals = checkpointed(totals)
     least = least_of_top(totals, max_words)

@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows per Arrow batch sent to Python. Texts may be long, so batches are kept well under the default.
-ARROW_ROWS = 1000
-#: Bytes of text handled at once inside a Python worker; one longer text is handled alone.
+#: Bytes of text handled at once inside a Python worker; one longer text is handled alone. Spark itself bounds the
+#: bytes of an Arrow batch (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB by default).
 SLICE_BYTES = 4_000_000
 
 #: Bytes of a word after lower-casing A-Z (digits, a-z, all of UTF-8 beyond ASCII); the rest separate.
@@ -39,7 +38,24 @@ def words_of(text: str | None) -> list[bytes]:
 
 def in_fold(doc_id, modulus: int, remainder: int):
     """Column: crc32(doc_id as text) mod modulus == remainder; false for a null id."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(modulus) == remainder, F.lit(False))
+    return F.coalesce(F.crc32(named(doc_id).cast("string").cast("binary")) % F.lit(modulus) == remainder, F.lit(False))
+
+
+def named(column: str):
+    """Column of that very name, whatever signs it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, kept: list[str] | None = None, **columns) -> DataFrame:
+    """One column `__row` that holds the kept columns of df (None: all), and the given ones beside it, so no name of the
+    caller's can clash."""
+    row = [named(c) for c in (df.columns if kept is None else kept)]
+    return df.select(F.struct(*(row or [F.lit(True).alias("none")])).alias("__row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def unpacked(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of the rows that `packed` held."""
+    return df.select(*[F.col("__row").getField(n).alias(n) for n in names])
 
 
 def bounded_sample(df: DataFrame, key: str, bound: int, seed: int = 7) -> DataFrame:
@@ -57,7 +73,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir, which all executors see; a local one only where it is unset, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="promptmix-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="promptmix-"))
     return context.getCheckpointDir()
 
 
@@ -81,6 +100,14 @@ def least_of_top(counts: DataFrame, bound: int) -> int | None:
     return least
 
 
+def bounded_rows(df: DataFrame, flag: str, bound: int, seed: int, *key: str) -> DataFrame:
+    """df with the flag taken from some rows if it is set in far more than `bound`, as where one id has many texts."""
+    rows = df.agg(F.count_if(flag)).first()[0]
+    if rows <= 2 * bound:
+        return df
+    return df.withColumn(flag, F.col(flag) & (F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 30)) < int(bound / rows * (1 << 30))))
+
+
 def quantiles(ordered: list, parts: int) -> list:
     """At most parts - 1 distinct cuts that deal the ordered values to parts of about equal size."""
     return sorted({ordered[len(ordered) * k // parts] for k in range(1, parts)}) if ordered else []
@@ -109,23 +136,20 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], list]], out_ddl
     clashes with an output column gives way to it."""
     import pyarrow.compute  # noqa: F401
 
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     added = T.StructType.fromDDL(out_ddl)
     names = {f.name.lower() for f in added}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    schema = T.StructType([source.schema[c] for c in kept] + list(added.fields))
+    source = packed(df, kept, text=named(text_col).cast("string"))
+    schema = T.StructType([source.schema["__row"], *added.fields])
     types = [f.type for f in to_arrow_schema(added)]
-    width = len(kept)
 
     def run(batches):
         import pyarrow.compute  # noqa: F401
 
         function = make()
-        for piece in slices(batches, width, limit):
-            found = function(piece.column(width).to_pylist())
+        for piece in slices(batches, 1, limit):
+            found = function(piece.column(1).to_pylist())
             arrays = [pa.array(v, type=t) for v, t in zip(found, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([piece.column(i) for i in range(width)] + arrays, names=[*kept, *added.names])
+            yield pa.RecordBatch.from_arrays([piece.column(0), *arrays], names=["__row", *added.names])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(*[F.col("__row").getField(c).alias(c) for c in kept], *added.names)

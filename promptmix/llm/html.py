@@ -2,14 +2,18 @@
 
 A page is first cut into text lines: one for each block element, without markup and without the parts whose
 element or attributes declare them to be something other than the article. Pages are then put in the order of
-their URL paths within each host, each is paired with the nearer of its two neighbours (the longer common path;
-the earlier page on a tie), the lines of the two are aligned by their longest common subsequence, and the lines
-they share are deleted: what a site repeats from page to page is not the article.
+their URL paths within each host, and the lines of neighbours are aligned by their longest common subsequence: what
+a site repeats from page to page is not the article. How much evidence that takes depends on what the page says of
+itself:
 
-Lines within an explicit <article> or <main> are kept even if a neighbour has them: the page itself says what
-they are, and two articles may well quote the same sentence. Where a page has such an element, only its lines
-are taken. Pages of a host with the same lines (copies) count as one page in the pairing, so a copy does not
-delete its own text, and pages without lines are passed over, however many of them there are.
+* Where it has no <article> or <main>, it is paired with the nearer of its two neighbours (the longer common path; the
+  earlier page on a tie), and the lines that they share are deleted.
+* Where it has, only the lines in there are taken, and as two articles may well quote the same sentence, a line goes if
+  it is aligned in all of the REACH nearest pages on either side that are different articles, two at least. A page that
+  shares more than half of the article's characters is another version of it and does not count.
+
+Pages of a host with the same lines (copies) count as one page in the pairing, so a copy does not delete its own
+text, and pages without lines are passed over, however many of them there are.
 
 Cases: a null or empty html gives the empty text; null URLs have the empty host and path, and are paired like
 others; unclosed elements end with their parent; pages with equal URLs follow each other by id."""
@@ -18,15 +22,18 @@ from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, bounded_sample, checkpointed, quantiles, slices
+from .common import bounded_sample, checkpointed, named, quantiles, slices
 
+#: Different pages looked at on either side.
+REACH = 2
 MAX_BUCKETS = 4_000
 SAMPLED = 50
 
@@ -167,26 +174,54 @@ def lines_of(html: str | None) -> tuple[list[str], bool]:
 
 
 def shared_lines(a: list[str], b: list[str]) -> set[int]:
-    """Indexes in a of a longest common subsequence of lines of a and b (by patience over matching pairs)."""
-    places: dict[str, list[int]] = {}
-    for j, line in enumerate(b):
-        places.setdefault(line, []).append(j)
-    ends: list[int] = []  # the least end in b of a common subsequence of each length
-    links: list[tuple[int, tuple | None]] = []
-    for i, line in enumerate(a):
-        for j in reversed(places.get(line, ())):
-            k = bisect_left(ends, j)
-            node = (i, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(node)
-            else:
-                ends[k], links[k] = j, node
-    found, node = set(), links[-1] if links else None
-    while node:
-        found.add(node[0])
-        node = node[1]
-    return found
+    """Indexes in a of a longest common subsequence of lines of a and b.
+
+    Lines that only one of them has are left out; the rest is cut in halves by rows of lengths that are computed for
+    all places of b at once in the bits of one number, so equal lines, however many, cost no more than others."""
+    both = set(a) & set(b)
+    number = {line: k for k, line in enumerate(both)}
+    places = [i for i, line in enumerate(a) if line in both]
+    return {places[i] for i in _aligned([number[a[i]] for i in places], [number[x] for x in b if x in both])}
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of a and each beginning of b."""
+    at: dict[int, int] = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    every = (1 << len(b)) - 1
+    open_ = every
+    for x in a:
+        met = open_ & at.get(x, 0)
+        open_ = ((open_ + met) | (open_ - met)) & every
+    taken = np.unpackbits(np.frombuffer((every ^ open_).to_bytes(len(b) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(taken, dtype=np.int64)))
+
+
+def _aligned(a: list[int], b: list[int]) -> list[int]:
+    """Indexes in a of a longest common subsequence, by halves."""
+    out, todo = [], [(0, a, b)]
+    while todo:
+        shift, a, b = todo.pop()
+        head = 0
+        while head < min(len(a), len(b)) and a[head] == b[head]:
+            head += 1
+        out += range(shift, shift + head)
+        shift, a, b = shift + head, a[head:], b[head:]
+        tail = 0
+        while tail < min(len(a), len(b)) and a[-1 - tail] == b[-1 - tail]:
+            tail += 1
+        out += range(shift + len(a) - tail, shift + len(a))
+        a, b = a[: len(a) - tail], b[: len(b) - tail]
+        if not a or not b:
+            continue
+        if len(a) == 1:
+            out += [shift] if a[0] in b else []
+            continue
+        half = len(a) // 2
+        cut = int(np.argmax(_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]))
+        todo += [(shift, a[:half], b[:cut]), (shift + half, a[half:], b[cut:])]
+    return out
 
 
 def common_path(a: str, b: str) -> int:
@@ -203,40 +238,65 @@ class Pairing:
 
     def __init__(self, emit):
         self.emit = emit
-        self.before = self.now = None  # groups: host, path, lines, explicit, pages (rows to emit)
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets the neighbours."""
+        self.groups: list[tuple] = []  # host, path, lines, explicit, pages (rows to emit)
+        self.done = 0  # of the groups held, those whose pages are out
 
     def add(self, host, path, lines, explicit, page) -> None:
         if not lines:  # nothing to compare with
             if page:
                 self.emit(page, "")
             return
-        now = self.now
-        if now and now[0] == host and now[2] == lines and now[3] == explicit:
+        last = self.groups[-1] if self.groups else None
+        if last and last[0] == host and last[2] == lines and last[3] == explicit:
             if page:
-                now[4].append(page)
+                last[4].append(page)
             return
-        group = [host, path, lines, explicit, [page] if page else []]
-        self.finish(group)
-
-    def finish(self, after=None) -> None:
-        now = self.now
-        if now and now[4]:
-            lines = now[2]
-            if not now[3]:
-                near = [g for g in (self.before, after) if g and g[0] == now[0]]
-                if near:
-                    best = max(near, key=lambda g: common_path(g[1], now[1]))
-                    gone = shared_lines(lines, best[2])
-                    lines = [x for i, x in enumerate(lines) if i not in gone]
-            text = "\n\n".join(lines)
+        self.groups.append((host, path, lines, explicit, [page] if page else []))
+        while len(self.groups) - 1 - self.done >= REACH:
+            self.settle()
+
+    def settle(self) -> None:
+        """Emits the pages of the first group that is not out."""
+        now = self.groups[self.done]
+        if now[4]:
+            before = [g for g in self.groups[max(0, self.done - REACH) : self.done] if g[0] == now[0]]
+            after = [g for g in self.groups[self.done + 1 : self.done + 1 + REACH] if g[0] == now[0]]
+            gone = repeated(now, before, after)
+            text = "\n\n".join(x for i, x in enumerate(now[2]) if i not in gone)
             for page in now[4]:
                 self.emit(page, text)
-        self.before, self.now = now, after
+            now[4].clear()
+        self.done += 1
+        if self.done > REACH:
+            del self.groups[0]
+            self.done -= 1
+
+    def finish(self) -> None:
+        while self.done < len(self.groups):
+            self.settle()
+        self.clear()
+
+
+def repeated(now: tuple, before: list[tuple], after: list[tuple]) -> set[int]:
+    """Indexes of the lines of a group (host, path, lines, explicit) that its neighbours of the host give away."""
+    lines = now[2]
+    if not now[3]:
+        near = before[-1:] + after[:1]
+        return shared_lines(lines, max(near, key=lambda g: common_path(g[1], now[1]))[2]) if near else set()
+    size = sum(map(len, lines))
+    shared = [shared_lines(lines, g[2]) for g in before + after]
+    # A neighbour that has most of the article is another version of it, and no evidence.
+    shared = [found for found in shared if 2 * sum(len(lines[i]) for i in found) <= size]
+    return set.intersection(*shared) if len(shared) >= 2 else set()
 
 
 def _key(url: str) -> "F.Column":
     """Host and path of a URL: lower-case host; the path without its end slash or .html, query and fragment."""
-    u = F.coalesce(F.col(url).cast("string"), F.lit(""))
+    u = F.coalesce(named(url).cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(u, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)", 1))
     path = F.regexp_replace(F.regexp_extract(u, r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//[^/?#]*)?([^?#]*)", 1), r"(?:\.html?|/)$", "")
     return host, path
@@ -246,19 +306,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """id, url, text and n_chars for each page.
 
     Pages are dealt by the order of (host, path, id) to buckets, so a host of any size is spread over many. A first
-    pass finds the outer groups of each bucket; each bucket is then given the first pages of the groups that stand
+    pass finds the outer groups of each bucket; each bucket is then given a page of each of the REACH groups that stand
     before and after it, over as many buckets as a group goes on, so the texts do not depend on the cuts. Cuts come
     from a bounded sample of keys."""
     spark = pages.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     host, path = _key(url_col)
-    key = F.concat_ws("\u0001", host, path, F.lpad(F.coalesce(F.col(id_col).cast("string"), F.lit("")), 24, "0"))
+    number = F.coalesce(named(id_col).cast("string"), F.lit(""))
+    key = F.concat_ws("\u0001", host, path, F.when(F.length(number) < 24, F.lpad(number, 24, "0")).otherwise(number))
     buckets = buckets or min(MAX_BUCKETS, max(4, 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     keys = pages.select(key.alias("key"))
     ordered = sorted((r[0] for r in bounded_sample(keys, "key", SAMPLED * buckets, seed=29).collect()), key=lambda k: k.encode())
     cuts = sorted(quantiles(ordered, buckets), key=lambda k: k.encode())
     id_type = pages.schema[id_col].dataType.simpleString()
-    source = pages.select(F.col(id_col), F.col(url_col).cast("string"), host.alias("host"), path.alias("path"), key.alias("key"), F.col(html_col).cast("string"))
+    source = pages.select(named(id_col), named(url_col).cast("string"), host.alias("host"), path.alias("path"), key.alias("key"), named(html_col).cast("string"))
     encoded = [c.encode() for c in cuts]
 
     def parse(batches):
@@ -274,11 +334,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([piece.column(k) for k in (0, 1, 2, 3, 4)] + own, names=names)
 
     def ends(batches):
-        """The first pages of the first two and the last two groups of each bucket."""
+        """A page of each of the first and of the last REACH + 1 groups of each bucket."""
         held, now = [], None  # held: (number, mark, row)
 
         def done():
-            rows = {x[0]: x for x in held[:2] + held[-2:]}.values()
+            rows = {x[0]: x for x in held[: REACH + 1] + held[-REACH - 1 :]}.values()
             return [pa.RecordBatch.from_arrays([*x[2].columns, pa.array([x[0]], type=pa.int64()), pa.array([x[1]])], names=[*names, "number", "mark"]) for x in rows]
 
         for batch in batches:
@@ -292,7 +352,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 mark = sha256(f"{column['host'][i]}\0{column['explicit'][i]}\0".encode() + column["packed"][i]).hexdigest()
                 if not held or held[-1][1] != mark:
                     held.append((held[-1][0] + 1 if held else 0, mark, batch.slice(i, 1)))
-                    held[2:-2] = []
+                    held[REACH + 1 : -REACH - 1] = []
         yield from done()
 
     names = ["id", "url", "host", "path", "key", "bucket", "explicit", "size", "packed"]
@@ -329,7 +389,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             for i in range(batch.num_rows):
                 if column["bucket"][i] != now:
                     pairing.finish()
-                    pairing.before, now = None, column["bucket"][i]
+                    now = column["bucket"][i]
                 packed = pa.decompress(column["packed"][i], column["size"][i], codec="zstd", asbytes=True).decode("utf-8", "surrogatepass") if column["size"][i] else ""
                 page = None if column["place"][i] else (batch.column(0).slice(i, 1), column["url"][i])
                 pairing.add(column["host"][i], column["path"][i], packed.split("\n") if packed else [], column["explicit"][i], page)
@@ -339,14 +399,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         if ids:
             yield done()
 
-    return dealt.mapInArrow(pair, f"{id_col} {id_type}, {url_col} string, text string, n_chars bigint")
+    return dealt.mapInArrow(pair, f"`{id_col}` {id_type}, `{url_col}` string, text string, n_chars bigint")
 
 
 def _guests(outer: list[tuple[int, int, str]]) -> list[tuple[int, int, int, int]]:
-    """(bucket, number, home, place) of the groups given to each home: the last two that begin before it (places -2 and
-    -1; it may go on with the last) and the next one that is not its own last (place 1).
+    """(bucket, number, home, place) of the groups given to each home: the last REACH + 1 that begin before it (places
+    below 0; it may go on with the last) and the next REACH that are not its own last (places above 0).
 
-    outer: bucket, number and mark of the first two and the last two groups of each bucket that has any."""
+    outer: bucket, number and mark of the first and the last REACH + 1 groups of each bucket that has any."""
     groups: dict[int, list[tuple[int, int, str]]] = {}
     for group in sorted(outer):
         groups.setdefault(group[0], []).append(group)
@@ -354,9 +414,9 @@ def _guests(outer: list[tuple[int, int, str]]) -> list[tuple[int, int, int, int]
     for home, own in groups.items():
         out += [(*g[:2], home, k - len(tail)) for k, g in enumerate(tail)]
         goes_on = bool(tail) and tail[-1][2] == own[0][2]
-        tail = (tail + own[goes_on:])[-2:]
+        tail = (tail + own[goes_on:])[-REACH - 1 :]
     for home, own in reversed(groups.items()):
-        out += [(*g[:2], home, 1) for g in [g for g in head if g[2] != own[-1][2]][:1]]
         follow = head[1:] if head and head[0][2] == own[-1][2] else head
-        head = (own + follow)[:2]
+        out += [(*g[:2], home, 1 + k) for k, g in enumerate(follow[:REACH])]
+        head = (own + follow)[: REACH + 1]
     return out

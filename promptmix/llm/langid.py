@@ -5,8 +5,8 @@ its characters: the vectors are rotated by their place and multiplied. A documen
 n-gram vectors, with word ends marked; a language prototype bundles the normalised profiles of its training
 documents. A document gets the language of the prototype with the largest cosine.
 
-Prototypes are trained on a bounded sample of labelled rows (MAX_ROWS in expectation); prediction covers every
-row and the whole text. Cases: a null text or one without a letter is `und` with score 0; ties go to the
+Prototypes are trained on a bounded sample of the labelled rows of each language (MAX_ROWS in expectation, so a rare
+language is not lost among common ones); prediction covers every row and the whole text. Cases: a null text or one without a letter is `und` with score 0; ties go to the
 language that sorts first; without any labelled row all is `und`."""
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, bounded_sample, in_fold, map_texts
+from .common import in_fold, map_texts, named, slices
 
 DIMENSIONS = 512
 N = 3
-MAX_ROWS = 8_000
+MAX_ROWS = 2_000
 #: Cosines are multiplied by this before the softmax that gives the score.
 SHARPNESS = 30.0
 #: n-gram vectors remembered by a worker (half a KB each); beyond it the memory starts afresh.
@@ -120,23 +120,25 @@ class Model:
 def train(docs: DataFrame, fold: tuple[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_rows: int = MAX_ROWS) -> Model:
     """fold = (modulus, remainder): rows of that crc32 remainder take no part in training."""
     use = ~in_fold(id_col, *fold) if fold else F.lit(True)
-    known = docs.where(use & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, text_col, F.col(label_col).alias("__lang"))
-    chosen = bounded_sample(known, id_col, max_rows, seed=19)
+    known = docs.where(use & named(label_col).isNotNull() & named(id_col).isNotNull()).select(named(id_col).alias("id"), named(text_col).cast("string").alias("text"), named(label_col).cast("string").alias("lang"))
+    # A row for each language. The hash is of the text too, so rows that repeat an id are drawn one by one.
+    shares = known.groupBy("lang").agg((F.least(F.lit(1.0), max_rows / F.count("*")) * (1 << 30)).cast("long").alias("cut"))
+    chosen = known.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64(F.lit(19), "id", "text"), F.lit(1 << 30)) < F.col("cut"))
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute  # noqa: F401
 
         encoder, sums = Encoder(), {}
-        for batch in batches:
-            for text, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for piece in slices(batches, 0):
+            for text, name in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
                 profile = encoder.profile(text)
                 if profile is not None:
                     sums[name] = sums.get(name, 0) + profile.astype(np.float64)
         for name, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(total)), pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["lang", "i", "v"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    parts = chosen.select(F.col(text_col).cast("string"), F.col("__lang").cast("string")).mapInArrow(run, "lang string, i int, v double")
+    parts = chosen.select("text", "lang").mapInArrow(run, "lang string, i int, v double")
     # A row for each language and dimension.
     total = parts.groupBy("lang", "i").agg(F.sum("v").alias("v")).groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("v")).orderBy("lang").collect()
     rows = np.array([r["v"] for r in total], dtype=np.float64).reshape(len(total), DIMENSIONS)

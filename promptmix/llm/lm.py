@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, LOWER_BYTES, checkpointed, least_of_top, slices, utf8
+from .common import LOWER_BYTES, checkpointed, least_of_top, named, slices, utf8
 
 DEPTH = 5
 DIVERGENCE = 8.0
@@ -203,7 +203,6 @@ def count(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, only_gram
     """kind, key, n: counts of words (kind 0, by hash), grams (1) and texts (2) over all rows of docs.
 
     A task adds up what it reads, so a word or gram goes out about once from each; the sums are spread."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
     def run(batches):
         import pyarrow.compute  # noqa: F401
@@ -246,7 +245,7 @@ def count(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, only_gram
         if texts_seen:
             yield out(2, [0], [texts_seen])
 
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "kind tinyint, key bigint, n bigint")
+    counted = docs.select(named(text_col).cast("string")).mapInArrow(run, "kind tinyint, key bigint, n bigint")
     return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -295,7 +294,6 @@ def score(docs: DataFrame, counts: DataFrame, tree: Grown, id_col: str = "doc_id
 
     Each row is read twice: for the grams to be scored, then for the scores. Words outside the frequent ones go to a
     join with their counts as (row, hash, times), grams outside the frequent ones with their scores in the same way."""
-    spark = docs.sparkSession
     keep = keep or []
     totals = counts.where("kind <> 1").agg(
         F.sum("n").alias("tokens"),
@@ -318,11 +316,10 @@ def score(docs: DataFrame, counts: DataFrame, tree: Grown, id_col: str = "doc_id
     order = np.argsort(codes)
     listed, depth = Listed(codes[order], usual["log"].to_numpy()[order]), tree.depth
     joins = common.num_rows < distinct - (1 if ends else 0) or usual.num_rows < logs.count()
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     kept = list(dict.fromkeys([id_col, *keep]))
-    source = docs.select(*[F.col(c) for c in kept], F.col(text_col).cast("string").alias("__text"))
+    source = docs.select(*map(named, kept), named(text_col).cast("string").alias("__text"))
     width = len(kept)
-    types = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in kept)
+    types = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches):
         import pyarrow.compute  # noqa: F401
@@ -390,13 +387,13 @@ def score(docs: DataFrame, counts: DataFrame, tree: Grown, id_col: str = "doc_id
     joined = spread.join(others, ["__gram", "key"], "left") if joins else spread.withColumn("__value", F.lit(None).cast("double"))
     times, value = F.coalesce("__times", F.lit(0)), F.coalesce("__value", F.lit(0.0))
     gathered = joined.groupBy("__row").agg(
-        F.max(F.when(F.col("__own"), F.struct(*kept, "__n", "__known", "__base", "__score"))).alias("r"),
+        F.max(F.when(F.col("__own"), F.struct(*map(named, kept), "__n", "__known", "__base", "__score"))).alias("r"),
         F.sum(F.when(F.col("__gram"), 0.0).otherwise(times * value)).alias("more"),
         F.sum(F.when(F.col("__gram"), times * value).otherwise(0.0)).alias("more_score"),
         F.sum(F.when(F.col("__value").isNotNull() & ~F.col("__gram"), times).otherwise(0)).alias("known"),
     )
     return gathered.select(
-        *[F.col(f"r.{c}").alias(c) for c in kept],
+        *[F.col("r").getField(c).alias(c) for c in kept],
         F.col("r.__n").alias("n_tokens"),
         (F.col("r.__known") + F.col("known")).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),

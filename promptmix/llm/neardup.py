@@ -5,17 +5,19 @@ is 0.8 or more. Documents with one set (copies) are one record with a weight, ho
 a minhash signature. Records are split recursively: at each node of a path a few signature places are sampled, by
 a hash of the path alone, and a record goes on to one child for each, named by the place and its own value there.
 The expected number of children is 1 / 0.8, so two records at the threshold share one child on average, and
-dissimilar ones soon part. Buckets small enough are compared by brute force; larger ones are split on, and what is
+dissimilar ones soon part; below the first levels, which only large buckets reach, it is BELOW. Buckets small enough are compared by brute force; larger ones are split on, and what is
 still large at the last depth is compared in pairs of blocks, so no task holds more than two blocks. Independent
-runs are repeated until the target recall for pairs at the threshold.
+runs are repeated until the target recall for pairs at the threshold, averaged over how many of the signature places
+that all runs draw from agree.
 
-In a bucket, signatures first pick the records that have a likely partner (the miss probability is about 1e-5);
+In a bucket, signatures first pick the records that have a likely partner (the miss probability is about 4e-5);
 only for these the full sets are fetched, and intersections are counted exactly. A pair is counted in the first
 bucket that both records share. Pairs never leave a task: a bucket returns for each record its number of links
 and a local root. Components are found by alternating large and small stars, with a checkpoint each round.
 
 Cases: a text of fewer than five words, but not none, is one run; a text without words (also the empty one) is
-linked to equal texts only; a null text is linked to none. Rows that repeat an id are documents of their own."""
+linked to equal texts only; a null text is linked to none. Rows that repeat an id are documents of their own; ids may be
+of any type with an order, and null."""
 
 from __future__ import annotations
 
@@ -28,16 +30,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, checkpointed, slices, words_of
+from .common import checkpointed, named, packed, slices, unpacked, words_of
 
 WORDS = 5
 #: Similarity at which documents are linked, as a fraction.
 THRESHOLD = (4, 5)
 PLACES = 64
 FIRST_DEPTH, DEPTH_STEP, LAST_DEPTH = 2, 2, 6
+#: Mean number of children below the first levels.
+BELOW = 1.5
 TARGET_RECALL = 0.998
 BUCKET = 1_000
 #: Signature agreement from which a pair is looked at; 0.8 is 4.4 standard deviations above it.
+# (0.58 of 64 places are 37.1, so 38 must agree; at a similarity of 0.8 fewer do with a probability of 4.3e-5.)
 LIKELY = 0.58
 
 _rng = np.random.default_rng(77)
@@ -97,25 +102,39 @@ def children(paths: np.ndarray, signature: np.ndarray, mean: float = THRESHOLD[1
     return row, child
 
 
-def descend(paths: np.ndarray, signature: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+def mean_children(level: int) -> float:
+    return THRESHOLD[1] / THRESHOLD[0] if level < FIRST_DEPTH else BELOW
+
+
+def descend(paths: np.ndarray, signature: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows and paths at level `last` from paths at level `first`."""
     row = np.arange(len(paths))
-    for _ in range(levels):
-        step, paths = children(paths, signature[row])
+    for level in range(first, last):
+        step, paths = children(paths, signature[row], mean_children(level))
         row = row[step]
     return row, paths
 
 
-def lost(depth: int, similarity: float = THRESHOLD[0] / THRESHOLD[1], mean: float = THRESHOLD[1] / THRESHOLD[0]) -> float:
-    """Probability that two records of the similarity share no path of the depth in one run."""
-    q, more = 0.0, mean - 1
-    for _ in range(depth):
-        x = 1 - similarity + similarity * q
+def lost(depth: int, similarity: float = THRESHOLD[0] / THRESHOLD[1]) -> float:
+    """Probability that two records, so much of whose signatures agrees, share no path of the depth in one run."""
+    q = 0.0
+    for level in reversed(range(depth)):
+        x, more = 1 - similarity + similarity * q, mean_children(level) - 1
         q = (1 - more) * x + more * x * x
     return q
 
 
+def recall(runs: int, depth: int = LAST_DEPTH, similarity: float = THRESHOLD[0] / THRESHOLD[1]) -> float:
+    """Probability that a pair of the similarity is found: some number of signature places agrees, at least LIKELY of
+    them, and a path of some run is shared."""
+    agree = range(math.ceil(LIKELY * PLACES), PLACES + 1)
+    return sum(math.comb(PLACES, k) * similarity**k * (1 - similarity) ** (PLACES - k) * (1 - lost(depth, k / PLACES) ** runs) for k in agree)
+
+
 def runs_needed(target: float = TARGET_RECALL, depth: int = LAST_DEPTH) -> int:
-    return max(1, math.ceil(math.log(1 - target) / math.log(lost(depth))))
+    if not target < recall(10_000, depth):
+        raise ValueError(f"a recall of {target} needs longer signatures")
+    return next(n for n in range(1, 10_000) if recall(n, depth) >= target)
 
 
 def roots(runs: int) -> np.ndarray:
@@ -124,7 +143,8 @@ def roots(runs: int) -> np.ndarray:
 
 def _records(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text_hash, key of the set, its size and signature, for each document."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    source = docs.select(named(id_col).alias("id"), F.xxhash64(named(text_col).cast("string")).alias("text_hash"), named(text_col).cast("string").alias("text"))
 
     def run(batches):
         import pyarrow.compute  # noqa: F401
@@ -148,12 +168,12 @@ def _records(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 names=["id", "text_hash", "key", "n", "signature"],
             )
 
-    return source.mapInArrow(run, "id bigint, text_hash bigint, key binary, n bigint, signature binary")
+    return source.mapInArrow(run, f"id {kind}, text_hash bigint, key binary, n bigint, signature binary")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """key and shingles of the wanted sets, from one of their documents (wanted: key, id, text_hash)."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(named(id_col).alias("id"), F.xxhash64(named(text_col).cast("string")).alias("text_hash"), named(text_col).cast("string").alias("text"))
     rows = source.join(wanted.select("key", "id", "text_hash"), (source["id"].eqNullSafe(wanted["id"])) & (source["text_hash"] == wanted["text_hash"])).select("key", source["text"])
 
     def run(batches):
@@ -175,20 +195,20 @@ def _paths(sets: DataFrame, runs: int) -> DataFrame:
         for batch in batches:
             n = batch.num_rows
             signature = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(n, PLACES)
-            row, path = descend(np.repeat(start, n), np.tile(signature, (runs, 1)), FIRST_DEPTH)
+            row, path = descend(np.repeat(start, n), np.tile(signature, (runs, 1)), 0, FIRST_DEPTH)
             yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column(0).take(pa.array(row % n))], names=["path", "key"])
 
     return sets.select("key", "signature").mapInArrow(run, "path bigint, key binary")
 
 
-def _deeper(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """path and key of the rows some levels further down."""
+def _deeper(rows: DataFrame, sets: DataFrame, depth: int) -> DataFrame:
+    """path and key of the rows at a depth some levels further down."""
 
     def run(batches):
         for batch in batches:
             n = batch.num_rows
             signature = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint32).reshape(n, PLACES)
-            row, path = descend(batch.column(0).to_numpy().view(np.uint64), signature, DEPTH_STEP)
+            row, path = descend(batch.column(0).to_numpy().view(np.uint64), signature, depth, depth + DEPTH_STEP)
             yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column(1).take(pa.array(row))], names=["path", "key"])
 
     return rows.select("path", "key").join(sets.select("key", "signature"), "key").select("path", "key", "signature").mapInArrow(run, "path bigint, key binary")
@@ -208,7 +228,7 @@ def _buckets(sets: DataFrame, runs: int) -> DataFrame:
         done = part if done is None else done.unionByName(part)
         if last:
             return done
-        rows = _deeper(rows.join(large.select("path"), "path"), sets)
+        rows = _deeper(rows.join(large.select("path"), "path"), sets, depth)
         depth += DEPTH_STEP
 
 
@@ -346,8 +366,6 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target
     """For each document: id, text_hash, class_id (the least id of its class), n_links (documents linked to it, copies
     counted one by one), n_copies (documents of the same set), and `kept`: the row, by id and text_hash, that
     stands for the class."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     records = checkpointed(_records(docs, id_col, text_col))
     sets = checkpointed(records.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("id", "text_hash")).alias("first"), F.max("n").alias("n"), F.max("signature").alias("signature")))
     worded = sets.where("n > 0")
@@ -371,16 +389,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target
     named = checkpointed(named)
     heads = named.groupBy("least").agg(F.min("first").alias("kept"))
     info = named.join(heads, "least").select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), "kept")
-    return records.select("key", F.col("id").alias(id_col), "text_hash").join(info, "key").select(id_col, "text_hash", F.col("kept.id").alias("class_id"), "n_links", "n_copies", F.struct(F.col("kept.id").alias("id"), F.col("kept.text_hash").alias("text_hash")).alias("kept"))
+    return records.select("key", "id", "text_hash").join(info, "key").select(F.col("id").alias(id_col), "text_hash", F.col("kept.id").alias("class_id"), "n_links", "n_copies", F.struct(F.col("kept.id").alias("id"), F.col("kept.text_hash").alias("text_hash")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each class: the least id. The columns of docs."""
-    kept = join(docs, id_col, text_col).select("kept").distinct().select(F.col("kept.id").alias("__id"), F.col("kept.text_hash").alias("__hash"))
+    """docs with one document of each class: the least id, and of rows with that id and the same text any one. Null
+    texts, which are of no class, all stay. The columns of docs, whatever their names."""
+    worded = docs.where(named(text_col).isNotNull())
+    kept = join(worded.select(named(id_col).alias("id"), named(text_col).alias("text")), "id", "text").select("kept").distinct().select(F.col("kept.id").alias("__id"), F.col("kept.text_hash").alias("__hash"))
     kept = checkpointed(kept)
-    rows = docs.withColumn("__own", F.xxhash64(F.col(text_col).cast("string")))
-    met = rows.join(kept, rows[id_col].cast("long").eqNullSafe(kept["__id"]) & (rows["__own"] == kept["__hash"]), "left_semi")
-    return met.dropDuplicates([id_col, "__own"]).select(*docs.columns)
+    rows = packed(docs, id=named(id_col), text_hash=F.xxhash64(named(text_col).cast("string")), unworded=named(text_col).isNull())
+    met = rows.where("not unworded").join(kept, F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left_semi").dropDuplicates(["id", "text_hash"])
+    return unpacked(met.select("__row").unionByName(rows.where("unworded").select("__row")), docs.columns)
 
 
 def brute_force(texts: list) -> list[tuple]:

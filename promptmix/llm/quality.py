@@ -5,8 +5,9 @@ by one Gaussian a class. Each class covariance is shrunk towards the pooled one
 the identity. Scores come from the difference of the Mahalanobis log densities through cached Cholesky factors.
 
 Training reads a bounded sample of labelled rows (MAX_ROWS in expectation); scoring covers every row and the
-whole text. Cases: null and empty texts are scored as texts of zero counts; with one class only, every row
-gets that class's share."""
+whole text. Cases: null and empty texts are scored as texts of zero counts; an id that is labelled both ways is of
+class 1; repeated rows are one example; with fewer than two examples of a class, every row gets the share of class 1
+(0.5 without any)."""
 
 from __future__ import annotations
 
@@ -16,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, in_fold, map_texts, utf8
+from .common import bounded_rows, bounded_sample, in_fold, map_texts, named, utf8
 
 MAX_ROWS = 20_000
 #: Weight of the pooled covariance in each class covariance, and of the scaled identity in the sum.
@@ -63,11 +64,12 @@ class Model:
 
     def __init__(self, means, factors, log_prior):
         self.means, self.factors, self.log_prior = means, factors, log_prior
+        self.whiten = [np.linalg.inv(f) for f in factors]  # of triangular factors of a few statistics
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         density = []
-        for mean, factor, prior in zip(self.means, self.factors, self.log_prior, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
+        for mean, factor, whiten, prior in zip(self.means, self.factors, self.whiten, self.log_prior, strict=True):
+            z = whiten @ (x - mean).T
             density.append(prior - 0.5 * (z**2).sum(axis=0) - np.log(np.diag(factor)).sum())
         return density[1] - density[0]
 
@@ -96,11 +98,13 @@ def fit(x: np.ndarray, y: np.ndarray, to_pooled: float = TO_POOLED, to_identity:
 def train(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> Model:
     """fold = (modulus, remainder): rows of that crc32 remainder take no part in training."""
     use = ~in_fold(id_col, *fold) if fold else F.lit(True)
-    known = labels.where(use & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("__y"))
-    # At most max_rows ids in expectation: bounded, so they can be broadcast.
-    chosen = bounded_sample(known.dropDuplicates([id_col]), id_col, max_rows, seed=17)
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
-    got = map_texts(rows, lambda: lambda texts: [[features(t) for t in texts]], "x array<double>", text_col, ["__y"]).toPandas()
+    known = labels.where(use & named(label_col).isNotNull() & named(id_col).isNotNull()).select(named(id_col).cast("string").alias("id"), named(label_col).cast("int").alias("__y"))
+    # At most max_rows ids in expectation: bounded, so they can be broadcast. Of an id's rows equal texts count once.
+    chosen = bounded_sample(known.groupBy("id").agg(F.max("__y").alias("__y")), "id", max_rows, seed=17)
+    texts = docs.select(named(id_col).cast("string").alias("id"), named(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    texts = texts.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["id", "__hash"]).withColumn("__used", F.lit(True))
+    rows = bounded_rows(texts, "__used", max_rows, 41, "id", "__hash").where("__used")
+    got = map_texts(rows, lambda: lambda found: [[features(t) for t in found]], "x array<double>", "text", ["__y"]).toPandas()
     x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(features("")))
     return fit(x, got["__y"].to_numpy())
 

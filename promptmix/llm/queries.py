@@ -117,8 +117,10 @@ def _secrets_sql() -> str:
     SELECT doc_id, string_split_regex(text, '{pattern}') AS p, regexp_extract_all(text, '{pattern}') AS m FROM documents WHERE text IS NOT NULL))) WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)"""
 
     encodings = secret_scan.ENCODINGS
+    kinds = f"CASE WHEN enc = {secret_scan.LETTERS} THEN translate(lower(t), '{encodings[secret_scan.LETTERS][2]}', '{secret_scan.VOWEL_OF}') ELSE translate(t, '{encodings[secret_scan.BASE64][2]}', '{secret_scan.KIND_OF}') END"
+    pairs = ", ".join(f"'{c}'" for c in secret_scan.CHANGES)
     pick = lambda values: "[" + ", ".join(values) + "][enc + 1]"
-    kind = "CASE " + " ".join(f"WHEN regexp_matches(t, '{form}') THEN {i}" for i, (_, form, _, _) in enumerate(encodings)) + " END"
+    kind = "CASE " + " ".join(f"WHEN regexp_matches(t, '{e[1]}') THEN {i}" for i, e in enumerate(encodings)) + " END"
 
     def tail(z: str) -> str:
         x = f"(abs({z}) / sqrt(2.0))"
@@ -130,16 +132,19 @@ def _secrets_sql() -> str:
 base AS (SELECT * FROM raw WHERE kind > 0 OR length(regexp_extract(word, '^{assign}', 2)) >= {secret_scan.ASSIGN_LEAST}),
 tokens AS ({located(3, "[A-Za-z0-9+/_-]{%d,}={0,2}" % secret_scan.MIN_LENGTH)}),
 free AS (SELECT doc_id, s, e, translate(regexp_replace(word, '=+$', ''), '-_', '+/') AS t FROM tokens k WHERE NOT regexp_matches(word, '^[0-9_/+-]+=*$') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = k.doc_id AND b.s < k.e AND k.s < b.e)),
-placed AS (SELECT doc_id, s, e, enc, CAST({pick([f"{len(a)}" for _, _, a, _ in encodings])} AS DOUBLE) AS k, CAST({pick([f"{c}" for _, _, _, c in encodings])} AS DOUBLE) AS text_ic,
-  list_transform(string_split(CASE WHEN enc = {len(encodings) - 1} THEN t ELSE lower(t) END, ''), lambda c: CAST(strpos({pick([f"'{a}'" for _, _, a, _ in encodings])}, c) - 1 AS DOUBLE)) AS v FROM (SELECT *, {kind} AS enc FROM free)),
-sized AS (SELECT *, CAST(len(v) AS DOUBLE) AS n, list_sum(v) / len(v) AS mean, CAST(len(list_filter(v, lambda y: y >= k / 2)) AS DOUBLE) AS high FROM placed),
+placed AS (SELECT doc_id, s, e, enc, CAST({pick([f"{len(e[2])}" for e in encodings])} AS DOUBLE) AS k, CAST({pick([f"{e[3]}" for e in encodings])} AS DOUBLE) AS text_ic,
+  CAST({pick([f"{e[4]}" for e in encodings])} AS DOUBLE) AS rate, {kinds} AS kinds,
+  list_transform(string_split(CASE WHEN enc = {secret_scan.BASE64} THEN t ELSE lower(t) END, ''), lambda c: CAST(strpos({pick([f"'{e[2]}'" for e in encodings])}, c) - 1 AS DOUBLE)) AS v FROM (SELECT *, {kind} AS enc FROM free)),
+sized AS (SELECT *, CAST(len(v) AS DOUBLE) AS n, list_sum(v) / len(v) AS mean, CAST(len(list_filter(v, lambda y: y >= k / 2)) AS DOUBLE) AS high,
+  CAST(len(list_filter(generate_series(1, len(v) - 1), lambda i: substr(kinds, i, 2) IN ({pairs}))) AS DOUBLE) AS changes FROM placed),
 counted AS (SELECT *, list_sum(list_transform(list_distinct(v), lambda x: pow(len(list_filter(v, lambda y: y = x)), 2))) AS squares,
   1 + CAST(len(list_filter(generate_series(1, len(v) - 1), lambda i: (v[i + 1] >= k / 2) <> (v[i] >= k / 2))) AS DOUBLE) AS runs,
   list_sum(list_transform(v, lambda y: (y - mean) * (y - mean))) AS about, list_sum(list_transform(generate_series(1, len(v) - 1), lambda i: (v[i + 1] - mean) * (v[i] - mean))) AS along, 2 * high * (n - high) AS both_ FROM sized),
 measured AS (SELECT doc_id, s, e, n, (pow((squares * k / n - n) / (k - 1), 1 / 3.0::DOUBLE) - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1))) AS z_chi,
   CASE WHEN both_ * (both_ - n) / (n * n * (n - 1)) > 0 THEN (runs - 1 - both_ / n) / sqrt(both_ * (both_ - n) / (n * n * (n - 1))) ELSE 9.0 END AS z_runs,
   CASE WHEN about > 0 THEN along / about * sqrt(n) ELSE 9.0 END AS z_serial,
-  (text_ic - (squares - n) / (n * (n - 1))) / sqrt(2 * text_ic * (1 - text_ic) / (n * (n - 1)) + {secret_scan.TEXT_SPREAD} / n) AS z_text FROM counted),
+  ((text_ic - (squares - n) / (n * (n - 1))) / sqrt(2 * text_ic * (1 - text_ic) / (n * (n - 1)) + {secret_scan.TEXT_SPREAD} / n)
+    + sign(rate) * (changes - (n - 1) * abs(rate)) / sqrt((n - 1) * abs(rate) * (1 - abs(rate)) * {secret_scan.CHANGE_SPREAD})) / sqrt(2.0) AS z_text FROM counted),
 judged AS (SELECT doc_id, s, e, 3 * least({tail("z_chi")}, 2 * {tail("abs(z_runs)")}, 2 * {tail("abs(z_serial)")}) AS p_random, {tail("z_text")} * sum(n) OVER d / (n * count(*) OVER d) AS q, count(*) OVER d AS m FROM measured WINDOW d AS (PARTITION BY doc_id)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY q) AS r FROM judged),
 cut AS (SELECT doc_id, max(q) AS cut FROM ranked WHERE q <= {secret_scan.FALSE_DISCOVERY} * r / m GROUP BY doc_id),

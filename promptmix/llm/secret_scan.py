@@ -9,14 +9,18 @@ ids, and lower-case hexadecimal runs. The method adds the spans of tokens that l
 * Three tests ask whether the token is random in that encoding: chi-squared uniformity over the alphabet
   (Wilson-Hilferty), runs about the middle of the alphabet, and lag-one serial correlation of places in it. A token
   that fails them (Bonferroni over the three, level BATTERY_LEVEL) is not random.
-* The index of coincidence asks whether text could repeat its symbols so little: under text it has the mean of
-  `coincidence` and a spread that shrinks with the length, so short tokens carry little evidence. These p-values,
-  weighted by length, go through the Benjamini-Hochberg step-up over the tokens of the document at level
-  FALSE_DISCOVERY; tokens that pass both are reported as kind `random`.
+* The chi-squared and the runs statistic are also asked whether text could give them. The first is, but for constants,
+  the index of coincidence, which has a known mean under text. For the second, runs are those of character kinds (capitals,
+  small letters, digits, signs; of vowels and consonants where all are letters): text changes kind about once a word, a
+  capital before small letters and what follows a sign not counted, and between vowels and consonants more often than
+  chance. Both have a spread that shrinks with the length, so short tokens carry little evidence. Their combined p-values
+  (Stouffer), weighted by length, go through the Benjamini-Hochberg step-up over the tokens of the document at level
+  FALSE_DISCOVERY; tokens that pass both questions are reported as kind `random`.
 
 Offsets are code points, ends exclusive. They come from the lengths of the matches and of the pieces between them,
 as Spark has no function for places of matches. Null texts are empty and have no spans; repeated rows are scanned
-one by one; everything is row-local, so there is no shuffle and no skew."""
+one by one; everything is row-local, so there is no shuffle and no skew. Columns of the names of the result give way in
+`annotate`; `mask` keeps all columns, whatever their names."""
 
 from __future__ import annotations
 
@@ -24,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.places import PLACE, places
+from .common import named, packed
 
 # The base patterns.
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -38,16 +43,26 @@ MIN_LENGTH = 20
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}"
 BATTERY_LEVEL = 0.001
 FALSE_DISCOVERY = 0.01
-#: For each encoding: the form of its tokens, its alphabet, and the index of coincidence of text written in it.
+#: For each encoding: the form of its tokens, its alphabet, and of text written in it the index of coincidence and the
+#: share of places where the kind of character changes (below 0: chance changes less often than text).
 ENCODINGS = (
-    ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.100),
-    ("base32", r"^[A-Z2-7]+$", "abcdefghijklmnopqrstuvwxyz234567", 0.066),
-    ("letters", r"^(?:[A-Z]?[a-z]+|[A-Z]+)$", "abcdefghijklmnopqrstuvwxyz", 0.066),
-    ("base36", r"^(?:[0-9a-z]+|[0-9A-Z]+)$", "0123456789abcdefghijklmnopqrstuvwxyz", 0.060),
-    ("base64", r"^", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.055),
+    ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.100, 0.12),
+    ("base32", r"^[A-Z2-7]+$", "abcdefghijklmnopqrstuvwxyz234567", 0.066, 0.12),
+    ("letters", r"^(?:[A-Z]?[a-z]+|[A-Z]+)$", "abcdefghijklmnopqrstuvwxyz", 0.066, -0.62),
+    ("base36", r"^(?:[0-9a-z]+|[0-9A-Z]+)$", "0123456789abcdefghijklmnopqrstuvwxyz", 0.060, 0.12),
+    ("base64", r"^", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.055, 0.20),
 )
+LETTERS, BASE64 = 2, 4
 #: Variance of the mean squared frequency of text symbols, per symbol (four times the third moment less the square).
 TEXT_SPREAD = 0.0056
+#: Variance of the number of changes under text, as a multiple of the binomial one.
+CHANGE_SPREAD = 1.5
+#: Kinds of characters: those of the base 64 alphabet, and vowels (as a) and consonants (as 0).
+KIND_OF = "A" * 26 + "a" * 26 + "0" * 10 + "//"
+VOWEL_OF = "".join("a" if c in "aeiou" else "0" for c in ENCODINGS[LETTERS][2])
+#: Pairs of kinds that count as a change.
+CHANGES = ("aA", "a0", "a/", "A0", "A/", "0A", "0a", "0/")
+CHANGE = "|".join(f"(?<={c[0]}){c[1]}" for c in CHANGES)
 
 
 def _when(guard: Column, spans: Column) -> Column:
@@ -67,22 +82,24 @@ def _tested(tokens: Column) -> Column:
     plain = F.transform(tokens, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.translate(F.regexp_replace(x["word"], "=+$", ""), "-_", "+/").alias("t")))
 
     def placed(x: Column) -> Column:
-        kind = F.coalesce(*[F.when(x["t"].rlike(form), F.lit(i)) for i, (_, form, _, _) in enumerate(ENCODINGS)])
-        alphabet = F.element_at(F.array(*[F.lit(a) for _, _, a, _ in ENCODINGS]), kind + 1)
+        kind = F.coalesce(*[F.when(x["t"].rlike(e[1]), F.lit(i)) for i, e in enumerate(ENCODINGS)])
+        alphabet = F.element_at(F.array(*[F.lit(e[2]) for e in ENCODINGS]), kind + 1)
         # Only base 64 tells cases apart.
-        letters = F.when(kind == len(ENCODINGS) - 1, x["t"]).otherwise(F.lower(x["t"]))
-        return F.struct(x["start"], x["end"], kind.alias("kind"), F.transform(F.regexp_extract_all(letters, F.lit("."), F.lit(0)), lambda c: F.instr(alphabet, c) - 1).alias("v"))
+        letters = F.when(kind == BASE64, x["t"]).otherwise(F.lower(x["t"]))
+        kinds = F.when(kind == LETTERS, F.translate(letters, ENCODINGS[LETTERS][2], VOWEL_OF)).otherwise(F.translate(x["t"], ENCODINGS[BASE64][2], KIND_OF))
+        changes = F.length(kinds) - F.length(F.regexp_replace(kinds, CHANGE, ""))
+        return F.struct(x["start"], x["end"], kind.alias("kind"), changes.cast("double").alias("changes"), F.transform(F.regexp_extract_all(letters, F.lit("."), F.lit(0)), lambda c: F.instr(alphabet, c) - 1).alias("v"))
 
     def counted(x: Column) -> Column:
         v = x["v"]
         n = F.size(v).cast("double")
-        k = F.element_at(F.array(*[F.lit(float(len(a))) for _, _, a, _ in ENCODINGS]), x["kind"] + 1)
+        k = F.element_at(F.array(*[F.lit(float(len(e[2]))) for e in ENCODINGS]), x["kind"] + 1)
         mean = F.aggregate(v, F.lit(0.0), lambda a, b: a + b) / n
         squares = F.aggregate(F.array_distinct(v), F.lit(0.0), lambda a, s: a + F.pow(F.size(F.filter(v, lambda y: y == s)).cast("double"), F.lit(2.0)))
         high = F.size(F.filter(v, lambda y: y >= k / 2)).cast("double")
         follow = F.sequence(F.lit(1), F.size(v) - 1)
         runs = F.size(F.filter(follow, lambda i: (F.get(v, i) >= k / 2) != (F.get(v, i - 1) >= k / 2))).cast("double") + 1
-        return F.struct(x["start"], x["end"], x["kind"], v.alias("v"), n.alias("n"), k.alias("k"), mean.alias("mean"), squares.alias("squares"), high.alias("high"), runs.alias("runs"), follow.alias("follow"))
+        return F.struct(x["start"], x["end"], x["kind"], x["changes"], v.alias("v"), n.alias("n"), k.alias("k"), mean.alias("mean"), squares.alias("squares"), high.alias("high"), runs.alias("runs"), follow.alias("follow"))
 
     def measured(x: Column) -> Column:
         v, n, k, mean = x["v"], x["n"], x["k"], x["mean"]
@@ -95,9 +112,13 @@ def _tested(tokens: Column) -> Column:
         about = F.aggregate(v, F.lit(0.0), lambda a, y: a + (y - mean) * (y - mean))
         along = F.aggregate(x["follow"], F.lit(0.0), lambda a, i: a + (F.get(v, i) - mean) * (F.get(v, i - 1) - mean))
         z_serial = F.when(about > 0, along / about * F.sqrt(n)).otherwise(9.0)
-        text = F.element_at(F.array(*[F.lit(c) for _, _, _, c in ENCODINGS]), x["kind"] + 1)
+        text = F.element_at(F.array(*[F.lit(e[3]) for e in ENCODINGS]), x["kind"] + 1)
         seen = (x["squares"] - n) / (n * (n - 1))
-        z_text = (text - seen) / F.sqrt(2 * text * (1 - text) / (n * (n - 1)) + TEXT_SPREAD / n)
+        z_same = (text - seen) / F.sqrt(2 * text * (1 - text) / (n * (n - 1)) + TEXT_SPREAD / n)
+        rate = F.element_at(F.array(*[F.lit(e[4]) for e in ENCODINGS]), x["kind"] + 1)
+        share = F.abs(rate)
+        z_change = F.signum(rate) * (x["changes"] - (n - 1) * share) / F.sqrt((n - 1) * share * (1 - share) * CHANGE_SPREAD)
+        z_text = (z_same + z_change) / F.sqrt(F.lit(2.0))
         return F.struct(x["start"], x["end"], n.alias("n"), z_chi.alias("chi"), z_runs.alias("runs"), z_serial.alias("serial"), z_text.alias("text"))
 
     def judged(x: Column) -> Column:
@@ -123,9 +144,9 @@ def annotate(docs: DataFrame, text_col: str = "text", min_length: int = MIN_LENG
     kind in the order of KINDS; kind is its index there). Columns of these names give way."""
     added = ("n_assign", "n_access", "n_hex", "base_spans", "spans")
     kept = [c for c in docs.columns if c.lower() not in added]
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
     value = ASSIGN.replace("+)", "{%d,})" % ASSIGN_LEAST)
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], text.alias("__t"))
+    rows = packed(docs, kept, __t=text)
     # Cheap tests first: most texts have no sign before a value, and no run as long as a token (or a hexadecimal run).
     assigned = (F.contains("__t", F.lit("=")) | F.contains("__t", F.lit(":"))) & F.col("__t").rlike(BEFORE_VALUE) & F.col("__t").rlike(value)
     rows = rows.withColumn("__run", F.col("__t").rlike(TOKEN % min(min_length, 24)))
@@ -143,7 +164,7 @@ def annotate(docs: DataFrame, text_col: str = "text", min_length: int = MIN_LENG
     rows = rows.withColumn("__free", free)
     found = F.when(F.size("__free") > 0, as_kind(_discovered(_tested(F.col("__free"))), 3)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
     return rows.select(
-        *[F.col(f"`{c}`") for c in kept],
+        *[F.col("__row").getField(c).alias(c) for c in kept],
         F.size("__assign").cast("long").alias("n_assign"),
         F.size("__access").cast("long").alias("n_access"),
         F.size("__hex").cast("long").alias("n_hex"),
@@ -160,7 +181,7 @@ def as_text(spans: str) -> Column:
 
 def mask(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span of the text replaced by a mark; overlapping spans give one mark. Null stays null."""
-    rows = annotate(docs.withColumn("__own", F.col(f"`{text_col}`")), text_col)
+    rows = annotate(packed(docs, __own=named(text_col).cast("string")), "__own").select("__row", "__own", "spans")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(held: Column, x: Column) -> Column:
@@ -171,7 +192,4 @@ def mask(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> Dat
 
     rest = lambda held: F.concat(held["out"], F.substring("__own", held["at"] + 1, F.length("__own")))
     masked = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col("__own"))
-    others = {c for c in docs.columns if c.lower() in ("n_assign", "n_access", "n_hex", "base_spans", "spans")}
-    if others:
-        raise ValueError(f"columns {sorted(others)} would be lost")
-    return rows.select(*[masked.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return rows.select(*[(masked if c == text_col else F.col("__row").getField(c)).alias(c) for c in docs.columns])

@@ -27,10 +27,40 @@ def test_suffix_arrays_find_what_brute_force_finds(seed, window):
     items = [(str(i), " ".join(rng.choices(words, k=rng.choice([0, 1, 4, 15, 30])))) for i in range(5)]
     texts = [" ".join(rng.choices([*words, "zz"], k=rng.choice([0, 5, 60]))) for _ in range(8)] + [None, "", f"{items[4][1]} x {items[3][1]}"]
     needles = decontaminate.Needles([(a, words_of(b)) for a, b in items], window)
-    got = decontaminate.search_shard(needles, texts, spans=True)
+    got = decontaminate.search_shard(needles, texts)
     want = decontaminate.brute_force(texts, items, window)
-    for g, w in zip(got, want, strict=True):
-        assert (g[0], g[1], len(g[2])) == w[:3] and sum(e - s for s, e in g[6]) == g[1]
+    for g, w, text in zip(got, want, texts, strict=True):
+        assert (g[0], sum(e - s for s, e in g[1]), len(g[2])) == w[:3]
+        assert (g[3], needles.names[g[4]] if g[3] else None, g[5]) == longest(text, items, window)
+
+
+def longest(text, items, window):
+    """The longest match of at least a window, the first in the text, of the first item; by trying all of them."""
+    words, best = words_of(text), (0, None, -1)
+    for p in range(len(words)):
+        for name, item in items:
+            held = words_of(item)
+            for j in range(len(held)):
+                k = 0
+                while p + k < len(words) and j + k < len(held) and words[p + k] == held[j + k]:
+                    k += 1
+                if k > best[0] and k >= min(window, len(held)):
+                    best = (k, name, p)
+    return best
+
+
+def test_spans_agree_as_far_as_words_do():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(1, 4, 200), rng.integers(1, 4, 90)
+    i, j = rng.integers(0, 200, 500), rng.integers(0, 90, 500)
+    got = decontaminate.agreement(decontaminate.Spans(a), i, decontaminate.Spans(b), j, np.zeros(500, dtype=np.int64), np.minimum(200 - i, 90 - j))
+    for x, y, n in zip(i.tolist(), j.tolist(), got.tolist(), strict=True):
+        k = 0
+        while x + k < 200 and y + k < 90 and a[x + k] == b[y + k]:
+            k += 1
+        assert k == n
 
 
 def test_suffix_array_order():
@@ -55,7 +85,7 @@ def test_longest_match_and_blocks(spark):
         assert (row.n_words, row.n_hit, row.items, row.longest_match) == (many[i].n_words, many[i].n_hit, many[i].items, many[i].longest_match)
 
 
-def test_null_and_repeated_ids_at_any_benchmark_size(spark):
+def test_null_and_repeated_ids_at_any_benchmark_size(spark, monkeypatch):
     items = [(9, "a b c d"), (None, "e f g"), (3, "a b x y"), (4, "p q")]
     bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
     docs = spark.createDataFrame([(None, "1 a b c d 2"), (5, "e f g here"), (5, "clean"), (5, "p q and a b x y"), (None, None), (6, "clean"), (7, "1 a b c d 2")], "doc_id long, text string").repartition(3)
@@ -66,6 +96,7 @@ def test_null_and_repeated_ids_at_any_benchmark_size(spark):
     want = decontaminate.brute_force(list(by_text), [(str(i), t) for i, t in items], 4)
     assert [(r[2], r[3], len(r[4])) for r in by_text.values()] == [w[:3] for w in want]
     assert by_text["e f g here"][4] == [None] and by_text["clean"][3] == 0 and len(found[1]) == 7
+    monkeypatch.setattr(decontaminate, "BLOCKS_A_STAGE", 2)
     for n in (100, 4):
         kept = decontaminate.remove_contaminated(docs, bench, window=4, block_words=n).collect()
         assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == [(5, "clean"), (6, "clean"), (None, None)]
@@ -75,8 +106,8 @@ def test_removal_keeps_columns_and_clean_rows(spark):
     item = " ".join(f"b{i}" for i in range(12))
     docs = documents(spark, [item, "clean", None]).withColumn("n_hit", F.lit("mine")).withColumn("items", F.lit(1))
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
-    kept = decontaminate.remove_contaminated(docs.drop("n_hit", "items"), bench)
-    assert kept.columns == ["doc_id", "text", "lang"] and sorted(r.doc_id for r in kept.collect()) == [1, 2]
+    kept = decontaminate.remove_contaminated(docs, bench)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.n_hit, r["items"]) for r in kept.collect()) == [(1, "mine", 1), (2, "mine", 1)]
     assert decontaminate.annotate(docs, bench).count() == 3  # clashing names give way
     assert decontaminate.remove_contaminated(docs.limit(0).select("doc_id", "text"), bench).count() == 0
     assert decontaminate.remove_contaminated(docs.select("doc_id", "text"), bench.limit(0)).count() == 3
@@ -85,7 +116,28 @@ def test_removal_keeps_columns_and_clean_rows(spark):
 def test_chosen_path_recall_is_what_is_asked_for():
     assert neardup.lost(0) == 0.0 and neardup.lost(1) == pytest.approx(0.75 * 0.2 + 0.25 * 0.04)
     runs = neardup.runs_needed(0.99, 6)
-    assert neardup.lost(6) ** runs <= 0.01 < neardup.lost(6) ** (runs - 1)
+    assert neardup.recall(runs, 6) >= 0.99 > neardup.recall(runs - 1, 6)
+    with pytest.raises(ValueError):
+        neardup.runs_needed(0.99999999)
+
+
+@pytest.mark.parametrize("depth", [2, 4, 6])
+def test_measured_recall_by_similarity(depth):
+    """Pairs of signatures of known similarity, sent down the paths of all runs."""
+    import numpy as np
+
+    rng = np.random.default_rng(depth)
+    runs = neardup.runs_needed()
+    for similarity in (0.8, 0.9):
+        found, tried = 0, 400
+        for _ in range(tried):
+            common = rng.integers(0, 1 << 63, 80, dtype=np.uint64)
+            own = round(80 * (1 - similarity) / (2 * similarity))
+            sets = [np.append(common, rng.integers(0, 1 << 63, own, dtype=np.uint64)) for _ in range(2)]
+            signature = neardup.signatures(sets)
+            both = [set(neardup.descend(neardup.roots(runs), np.tile(s, (runs, 1)), 0, depth)[1].tolist()) for s in signature]
+            found += bool(both[0] & both[1]) and (signature[0] == signature[1]).mean() >= neardup.LIKELY
+        assert found >= tried * 0.985
 
 
 def test_intersections_equal_sets():
@@ -135,6 +187,8 @@ def test_one_of_each_class_stays(spark):
     docs = docs.unionByName(docs.where("doc_id = 0"))  # a repeated row
     kept = neardup.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 4, 5, 6]
+    assert neardup.one_of_each(docs.unionByName(docs.where("doc_id = 4"))).where("doc_id = 4").count() == 2  # null texts stay
+    assert sorted(r.doc_id for r in neardup.one_of_each(docs.withColumn("doc_id", F.concat(F.lit("id-"), "doc_id"))).collect()) == ["id-0", "id-1", "id-4", "id-5", "id-6"]
     assert neardup.one_of_each(docs.limit(0)).count() == 0
 
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -60,6 +62,15 @@ def test_battery_finds_keys_and_leaves_words_alone(spark):
     assert all((s.start, s.end) == (2, 2 + len(keys[i])) for i in range(80) for s in got[i].spans if s.kind == 3)
 
 
+@pytest.mark.parametrize(("alphabet", "least"), [("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", (0.6, 0.85)), ("0123456789abcdefghijklmnopqrstuvwxyz", (0.6, 0.85)), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", (0.35, 0.6)), ("0123456789ABCDEF", (0.75, 0.9))])
+def test_random_keys_are_found_from_the_least_length_on(spark, alphabet, least):
+    rng = random.Random(7)
+    for n, share in zip((20, 32), least, strict=True):
+        keys = ["".join(rng.choices(alphabet, k=n)) for _ in range(150)]
+        got = scan(spark, [f"key {k} end" for k in keys])
+        assert np.mean([any(s.kind == 3 for s in r.spans) for r in got.values()]) > share
+
+
 def test_masking(spark):
     docs = spark.createDataFrame([(1, "a token=abcdef12 b " + "ab12" * 8), (2, None), (3, "clean")], "doc_id long, text string")
     assert [r.text for r in secret_scan.mask(docs).orderBy("doc_id").collect()] == ["a [SECRET] b [SECRET]", None, "clean"]
@@ -125,6 +136,99 @@ def test_copies_that_fill_buckets_meet_the_same_neighbours(spark):
         assert {r.page_id: r.text for r in html.extract(pages, buckets=buckets).collect()} == want
 
 
+def brute_gone(a, b):
+    """Indexes in a of some longest common subsequence, by the table of all lengths."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    found, i, j = set(), 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            found.add(i)
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return found
+
+
+def brute_extract(rows):
+    """id and text of each page (id, url, html): pages sorted, copies grouped, neighbours compared one by one."""
+
+    def place(url):
+        host = re.match(r"(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)", url or "")
+        path = re.match(r"[^?#]*", (url or "")[host.end() if host else 0 :])[0]
+        return (host[1].lower() if host else ""), re.sub(r"(?:\.html?|/)$", "", path)
+
+    out, groups = {}, []
+    for host, path, _, i, page in sorted((*place(u), str(i).zfill(24), i, h) for i, u, h in rows):
+        lines, explicit = html.lines_of(page)
+        if not lines:
+            out[i] = ""
+        elif groups and (groups[-1][0], groups[-1][2], groups[-1][3]) == (host, lines, explicit):
+            groups[-1][4].append(i)
+        else:
+            groups.append((host, path, lines, explicit, [i]))
+    for k, (host, path, lines, explicit, ids) in enumerate(groups):
+        before = [g for g in groups[max(0, k - 2) : k] if g[0] == host]
+        after = [g for g in groups[k + 1 : k + 3] if g[0] == host]
+        gone = set()
+        if not explicit and before + after:
+            near = max(before[-1:] + after[:1], key=lambda g: len(os.path.commonprefix([g[1], path])))
+            gone = brute_gone(lines, near[2])
+        elif explicit:
+            shared = [brute_gone(lines, g[2]) for g in before + after]
+            shared = [s for s in shared if 2 * sum(len(lines[x]) for x in s) <= sum(map(len, lines))]
+            gone = set.intersection(*shared) if len(shared) > 1 else set()
+        for i in ids:
+            out[i] = "\n\n".join(x for n, x in enumerate(lines) if n not in gone)
+    return out
+
+
+@pytest.mark.parametrize("kind", ["plain", "article"])
+def test_extraction_equals_brute_force_over_hosts(spark, kind):
+    rng = random.Random(len(kind))
+    rows = []
+    for i in range(160):
+        own = [f"line {rng.randrange(400)} of its own" for _ in range(rng.choice([0, 1, 2, 5]))]
+        lines = ["Share this", *own, *(["quoted"] if rng.random() < 0.3 else []), "All rights"] if rng.random() < 0.9 else own
+        body = "".join(f"<p>{x}</p>" for x in lines)
+        rows.append((i, f"https://h{rng.randrange(3)}.test/{rng.choice('ab')}/{rng.randrange(50)}.html", f"<article>{body}</article>" if kind == "article" and rng.random() < 0.95 else body))
+        if rng.random() < 0.2:
+            rows.append((1000 + i, rows[-1][1], rows[-1][2]))
+    want = brute_extract(rows)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    for buckets in (1, 3, 17):
+        got = {r.page_id: (r.text, r.n_chars) for r in html.extract(pages, buckets=buckets).collect()}
+        assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
+def test_extraction_of_the_test_pages_equals_brute_force(spark):
+    pages = spark.read.parquet(f"{DIR}/pages.parquet")
+    want = brute_extract([(r.page_id, r.url, r.html) for r in pages.collect()])
+    assert {r.page_id: r.text for r in queries.op4_html_extraction(spark, DIR).collect()} == want
+
+
+def test_boilerplate_inside_articles_goes_and_quotes_stay(spark):
+    page = lambda i, more="": f"<article><h1>Title {i}</h1><p>story number {i} of this site, told at some length, so that it is more than what else stands there</p>{more}<p>Share this on X</p><p>(c) site</p></article>"
+    rows = [(i, f"https://h.test/{i}", page(i, "<p>a sentence that two of them quote</p>" if i in (1, 2) else "")) for i in range(4)]
+    rows += [(9, "https://h.test/1?v=2", page(1, "<p>a sentence that two of them quote</p><p>an update</p>"))]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("Share" not in t and "(c)" not in t and f"story number {1 if i == 9 else i} of" in t for i, t in got.items())
+    assert "quote" in got[1] and "quote" in got[2] and "update" in got[9]
+
+
+def test_alignment_of_many_equal_lines_is_quick():
+    import time
+
+    start = time.time()
+    assert len(html.shared_lines(["x"] * 20_000 + ["y"], ["z"] + ["x"] * 19_000 + ["y", "x"])) == 19_001
+    assert len(html.shared_lines(["x", "y"] * 4_000, ["y", "x"] * 4_000)) == 7_999
+    assert time.time() - start < 20
+
+
 # BPE.
 
 
@@ -221,16 +325,62 @@ def test_successors(spark, buckets):
     rng = random.Random(buckets)
     rows = [(i * 3, "".join(rng.choices("abcd", k=rng.choice([0, 1, 50, 300])))) for i in range(60)] + [(9, "repeated"), (9, "repeated"), (None, "null id"), (500, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("bucket", F.lit("clash")).repartition(4)
-    ordered = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    by_hash = lambda t: (xxhash.xxh64_intdigest(t.encode(), seed=42) + (1 << 63)) % (1 << 64)
+    ordered = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, by_hash(r[1]), r[1]))
     want = Counter()
     for k, (i, text) in enumerate(ordered):
         other = ordered[(k + 1) % len(ordered)][1]
         half = len(text) // 2
         changed = text[: len(text) - half] + other[:half]
         mark = fingerprint.fingerprint(text)
-        want[i, len(text), hashlib.sha256(changed.encode()).hexdigest(), mark, fingerprint.fingerprint(changed), fingerprint.likeness(mark, fingerprint.fingerprint(other))] += 1
-    got = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_next) for r in fingerprint.with_next(docs, buckets).collect())
-    assert got == want
+        want[i, len(text), hashlib.sha256(changed.encode()).hexdigest(), mark, fingerprint.fingerprint(changed), fingerprint.likeness(mark, fingerprint.fingerprint(other)), *naive_ends(text, changed), *naive_ends(text, other)] += 1
+    fields = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_next", "begins_edited", "ends_edited", "begins_next", "ends_next")
+    assert Counter(tuple(r[f] for f in fields) for r in fingerprint.with_next(docs, buckets).collect()) == want
+    named = docs.withColumn("doc_id", F.concat(F.lit("id-"), F.lpad(F.col("doc_id").cast("string"), 4, "0")))
+    assert Counter((r.doc_id and int(r.doc_id[3:]), *[r[f] for f in fields[1:]]) for r in fingerprint.with_next(named, buckets).collect()) == want
+
+
+def naive_ends(a, b):
+    first = len(os.path.commonprefix([a, b]))
+    return first, len(os.path.commonprefix([a[first:][::-1], b[first:][::-1]]))
+
+
+def brute_fingerprint(text):
+    """The fingerprint by its definition, with whole numbers: a sum over each span, without prefix arrays."""
+    p, (x, y) = (1 << 31) - 1, fingerprint.BASES
+    hashed = lambda s: sum((ord(c) + 1) * pow(x, t, p) for t, c in enumerate(s)) % p << 31 | sum((ord(c) + 1) * pow(y, t, p) for t, c in enumerate(s)) % p
+
+    def mixed(v):
+        v = (v ^ v >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        v = (v ^ v >> 27) * 0x94D049BB133111EB % (1 << 64)
+        return (v ^ v >> 31) >> 32
+
+    out = [f"{len(text):x}", f"{hashed(text):016x}"]
+    for span in (24, 6) if len(text) < 96 else (24,):
+        least = sorted({mixed(hashed(text[i : i + span])) for i in range(max(1, len(text) - span + 1))})[:64] if text else []
+        out.append("".join(f"{v:08x}" for v in least))
+    return ".".join(out)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text(alphabet="ab é😀", max_size=160))
+def test_fingerprint_equals_its_definition(text):
+    assert fingerprint.fingerprint(text) == brute_fingerprint(text)
+
+
+def test_query_equals_its_definition(spark):
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect() if len(r.text or "") < 900)
+    assert len(docs) > 40
+    rows = {r.doc_id: r for r in queries.op8_fingerprint(spark, DIR).collect()}
+    for i, text in docs:
+        assert rows[i].fingerprint == brute_fingerprint(text) and rows[i].n_chars == len(text)
+
+
+def test_short_texts_keep_some_likeness_to_their_edit():
+    text, other = "a short text of forty-odd characters, no more", "something else entirely, and then some more of it"
+    mark = fingerprint.fingerprint(text)
+    assert 0.2 < fingerprint.likeness(mark, fingerprint.fingerprint(fingerprint.edited(text, other))) < 0.6
+    assert fingerprint.likeness(mark, fingerprint.fingerprint(other)) < 0.1
 
 
 def test_no_documents_and_one(spark):
