@@ -6,13 +6,17 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Calendar words in their long and short forms, with every accepted abbreviation.
+# Calendar words in their long and short forms.
 MONTHS = "january february march april may june july august september october november december".split()
 MONTHS_SHORT = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 WEEKDAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
 WEEKDAYS_SHORT = "mon tue wed thu fri sat sun".split()
-OTHER_SHORT = "sept tues thur thurs".split()
-CALENDAR = "|".join(sorted({*MONTHS, *MONTHS_SHORT, *WEEKDAYS, *WEEKDAYS_SHORT, *OTHER_SHORT}, key=lambda w: (-len(w), w)))
+# The words that make a text one with a date.
+CALENDAR_WORDS = (
+    "january jan february feb march mar april apr may june jun july jul august aug september sept sep october oct november nov december dec "
+    "monday mon tuesday tues tue wednesday wed thursday thurs thur thu friday fri saturday sat sunday sun"
+).split()
+CALENDAR = "|".join(CALENDAR_WORDS)
 # Punctuation of English and Chinese answers.
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 CHINESE_PUNCTUATION = "！？｡。＂＃＄％＆＇（）＊＋，－／：；＜＝＞＠［＼］＾＿｀｛｜｝～｟｠｢｣､、〃》「」『』【】〔〕〖〗〘〙〚〛〜〝〞〟〰〾〿–—‘’‛“”„‟…‧﹏."
@@ -127,5 +131,10 @@ def by_row(function, returns: str):
     return call
 
 
+def kept_as(real: Column, fakes: Column) -> Column:
+    """Candidates without signs where the real word has none, and without repeats that this makes (the first wins)."""
+    return F.array_distinct(F.transform(fakes, lambda f: strip_special_if_plain(f, real)))
+
+
 #: Title case differs from initcap at apostrophes and hyphens, hence no built-in.
 align_casing = by_row(cased_word_by_word, "string")

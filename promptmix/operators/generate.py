@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import by_row, cased_like, cased_word_by_word, looks_like_email
-from .sampling import draw
 
 LETTERS = re.compile("[A-Za-z]+")
 
@@ -23,18 +23,15 @@ def rewrite_email(real: str, fake: str, *key) -> str:
     """The address with letters of its local part from the fake's tokens in turn (casing kept) and other digits."""
     if "@" not in real:
         return real
-    rng = rules.generator("email", real, fake, *key)
     local, domain = real.split("@", 1)
     tokens = LETTERS.findall(fake.split("@", 1)[0] if looks_like_email(fake) else fake) or ["user"]
-    turn = iter(range(len(local)))
+    turn = itertools.cycle(tokens)
 
     def letters(m: re.Match) -> str:
-        token = tokens[next(turn) % len(tokens)]
-        return token.upper() if m[0].isupper() else token.title() if m[0].istitle() and not m[0].islower() else token.lower()
+        token = next(turn)
+        return token.upper() if m[0].isupper() else token.title() if m[0].istitle() else token.lower()
 
-    changed = LETTERS.sub(letters, local)
-    digit = lambda m: rng.choice([d for d in "0123456789" if d != m[0]])
-    return re.sub("[0-9]", digit, changed) + "@" + domain
+    return rules.shifted(LETTERS.sub(letters, local), rules.digest("email", real, fake, *key)) + "@" + domain
 
 
 def fit_casing(text: str, like: str) -> str:
@@ -46,35 +43,28 @@ def fit_casing(text: str, like: str) -> str:
 def replace_root(real: str, root: str, fake: str) -> str:
     """real with the letters of its root, which signs may interrupt, replaced by the fake in the same casing and with
     the same signs between parts of the same lengths (the last part takes the rest); without the root, all of it."""
-    found = re.search("[^A-Za-z]*".join(map(re.escape, root)), real.lower()) if root else None
-    if not found:
+    met = re.search("[^A-Za-z]*".join(map(re.escape, root)), real.lower()) if root else None
+    if not met:
         return cased_like(fake, real)
-    segment = real[found.start() : found.end()]
-    body = fit_casing("".join(fake.split()), segment)
-    parts = [m.end() - m.start() for m in LETTERS.finditer(segment)]
-    signs = re.findall("[^A-Za-z]+", segment)
-    out, at = "", 0
-    for k, n in enumerate(parts):
-        last = k == len(parts) - 1
-        out += body[at:] if last else body[at : at + n]
-        at += n
-        if not last and k < len(signs):
-            out += signs[k]
-    return real[: found.start()] + out + real[found.end() :]
+    before, segment, behind = real[: met.start()], real[met.start() : met.end()], real[met.end() :]
+    tokens = re.findall("[A-Za-z]+|[^A-Za-z]+", segment)
+    body = iter(fit_casing("".join(fake.split()), segment))
+    # Parts of letters, at the even places, take as many letters as they had.
+    filled = [t if k % 2 else "".join(itertools.islice(body, len(t) if k < len(tokens) - 1 else None)) for k, t in enumerate(tokens)]
+    return before + "".join(filled) + behind
 
 
 def adapt(real: str, root: str, fake: str, met_root: str) -> str:
-    """A fake of another word fitted to a word whose root overlaps with that word's."""
+    """A fake of another word fitted to a word whose root overlaps with that word's: an address is rewritten, several
+    words take as many of its tokens, and one word takes the first if it begins that other root, else the last."""
     if looks_like_email(real):
         return rewrite_email(real, fake)
-    tokens = LETTERS.findall(fake.split("@", 1)[0] if looks_like_email(fake) else fake) or [t for t in [root_of(fake)] if t]
-    own = LETTERS.findall(real)
+    words = len(LETTERS.findall(real))
+    tokens = LETTERS.findall(fake.split("@", 1)[0] if looks_like_email(fake) else fake) or list(filter(None, [root_of(fake)]))
     if not tokens:
         return cased_like(fake, real)
-    if len(own) <= 1:
-        chosen = tokens[0] if root and met_root and not met_root.endswith(root) and met_root.startswith(root) else tokens[-1]
-        return replace_root(real, root, chosen)
-    return replace_root(real, root, " ".join(tokens[: min(len(tokens), len(own))]))
+    begins = bool(root) and met_root.startswith(root) and not met_root.endswith(root)
+    return replace_root(real, root, " ".join(tokens[:words] if words > 1 else tokens[:1] if begins else tokens[-1:]))
 
 
 def soft_chain(spans, pools) -> list[list[str]]:
@@ -100,36 +90,37 @@ rewritten_email = by_row(rewrite_email, "string")
 aligned_casing = by_row(cased_word_by_word, "string")
 
 
-def position_beam(pools: DataFrame, width: int, seed: int = 42, id_col: str = "doc_id", steps: int = 3) -> DataFrame:
-    """Paths over the pools (id, uid_idx, option) of a document's first `steps` words: each path takes every option of
-    the next word, and `width` of them are kept, drawn by hash. Joined by document and word, never across documents."""
-    start = pools.where("uid_idx = 0").select(id_col, F.array("option").alias("path"))
-    rank = lambda k: F.row_number().over(Window.partitionBy(id_col).orderBy(draw(f"{seed}:{k}", F.col(id_col), F.array_join("path", "|")), F.array_join("path", "|")))
-    keep = lambda df, k: df.withColumn("__r", rank(k)).where(F.col("__r") <= width).drop("__r")
-    paths = keep(start, 0)
-    for k in range(1, steps):
-        following = pools.where(F.col("uid_idx") == k).select(id_col, "option")
-        paths = keep(paths.join(following, id_col, "left").select(id_col, F.when(F.col("option").isNull(), F.col("path")).otherwise(F.concat("path", F.array("option"))).alias("path")), k)
-    return paths
+def position_beam(pools: Column, key: Column, width: int, seed: int = 42) -> Column:
+    """Paths over a document's pools (an array of options for each of its words, in order): each path takes every option of
+    the next word, and `width` of them are kept, drawn by a hash with the document's key. Row-local."""
 
+    def step(held: Column, options: Column) -> Column:
+        longer = F.flatten(F.transform(held["paths"], lambda p: F.transform(F.array_distinct(options), lambda o: F.concat(p, F.array(o)))))
+        mark = lambda p: F.md5(F.concat_ws(":", F.lit(str(seed)), held["k"].cast("string"), key.cast("string"), F.array_join(p, "|")))
+        drawn = F.array_sort(F.transform(longer, lambda p: F.named_struct(F.lit("h"), mark(p), F.lit("p"), p)))
+        return F.named_struct(F.lit("k"), held["k"] + 1, F.lit("paths"), F.transform(F.slice(drawn, 1, width), lambda x: x["p"]))
 
-def finished(candidates: DataFrame, target: int, key: list[str]) -> DataFrame:
-    """Lists of exactly `target`: rows (key, word, real, idx, prob) without the real word and without repeats (the first
-    wins), by nearness of prob to 1, cut or padded in turn; only the real word if nothing is left."""
-    first = candidates.where(F.lower("word") != F.lower("real")).groupBy(*key, "word").agg(F.min(F.struct("idx", "prob")).alias("f"))
-    lists = first.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.abs(F.col("f.prob") - 1).alias("d"), F.col("f.idx").alias("idx"), "word"))), lambda x: x["word"]).alias("words"))
-    every = candidates.groupBy(*key).agg(F.min("real").alias("real")).join(lists, key, "left")
-    words = F.coalesce("words", F.array("real"))
-    return every.select(*key, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(target - 1)), lambda i: F.get(words, i % F.size(words)))).alias("i", "word"))
+    start = F.named_struct(F.lit("k"), F.lit(0), F.lit("paths"), F.array(F.array().cast("array<string>")))
+    return F.aggregate(F.filter(pools, lambda p: F.size(p) > 0), start, step, lambda held: held["paths"])
+
+
+def finished(words: Column, real: Column, probs: Column, target: int) -> Column:
+    """A list of exactly `target`: candidates without the real word and without repeats (the first wins), by nearness of
+    their probability to 1, cut or padded in turn; only the real word if nothing is left. Row-local."""
+    first = F.filter(F.array_distinct(words), lambda w: F.lower(w) != F.lower(real))
+    near = F.array_sort(F.transform(first, lambda w: F.struct(F.abs(F.get(probs, F.array_position(words, w).cast("int") - 1) - 1).alias("d"), F.array_position(words, w).alias("idx"), w.alias("word"))))
+    filled = lambda kept: F.transform(F.sequence(F.lit(0), F.lit(target - 1)), lambda i: F.get(kept, i % F.size(kept))["word"])
+    # The list is computed once and handed on as the start of an aggregate.
+    return F.aggregate(F.array(F.lit(0)), near, lambda held, _: held, lambda kept: F.when(F.size(kept) > 0, filled(kept)).otherwise(F.array_repeat(real, target)))
 
 
 def contains_root(a: Column, b: Column) -> Column:
     return (F.length(a) >= 3) & (F.length(b) >= 3) & (F.contains(a, b) | F.contains(b, a))
 
 
-def quota(target: int, paths: int) -> int:
-    """Candidates that each path gives."""
-    return max(1, target // max(1, paths))
+def quota(target: int, paths: Column) -> Column:
+    """Candidates that each of so many paths gives."""
+    return F.greatest(F.lit(1), F.floor(target / F.greatest(paths, F.lit(1)))).cast("int")
 
 
 def oversampled(target: int, factor: float) -> int:

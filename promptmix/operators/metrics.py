@@ -58,13 +58,26 @@ def ngrams(words: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
 
 
+def gram_hashes(words: Column, n: int) -> Column:
+    """64-bit hashes of the n-grams of an array of words."""
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))
+
+
 def multiset_overlap(a: Column, b: Column) -> Column:
-    """Size of the intersection of two arrays as multisets. Where one of them has no repeats it is that of the sets;
-    only else are occurrences counted."""
-    count = lambda array, x: F.size(F.filter(array, lambda y: y == x))
-    counted = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda total, x: total + F.least(count(a, x), count(b, x)))
+    """Size of the intersection of two arrays as multisets. Where one of them has no repeats it is that of the sets; else
+    the sorted arrays, which the fold carries along, are merged in one walk."""
+    start = F.named_struct(F.lit("a"), F.array_sort(a), F.lit("b"), F.array_sort(b), F.lit("i"), F.lit(0), F.lit("j"), F.lit(0), F.lit("n"), F.lit(0))
+
+    def step(held: Column, _: Column) -> Column:
+        x, y = F.get(held["a"], held["i"]), F.get(held["b"], held["j"])
+        to = lambda i, j, n: F.named_struct(F.lit("a"), held["a"], F.lit("b"), held["b"], F.lit("i"), held["i"] + i, F.lit("j"), held["j"] + j, F.lit("n"), held["n"] + n)
+        return F.when(x == y, to(1, 1, 1)).when(x < y, to(1, 0, 0)).when(x > y, to(0, 1, 0)).otherwise(held)
+
+    places = F.when(F.size(a) + F.size(b) > 0, F.sequence(F.lit(1), F.size(a) + F.size(b))).otherwise(F.array().cast("array<int>"))
+    merged = F.aggregate(places, start, step, lambda held: held["n"])
     plain = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
-    return F.when(plain, F.size(F.array_intersect(a, b))).otherwise(counted)
+    return F.when(plain, F.size(F.array_intersect(a, b))).otherwise(merged)
 
 
 def overlap_f(a: Column, b: Column) -> Column:
@@ -73,22 +86,25 @@ def overlap_f(a: Column, b: Column) -> Column:
     return harmonic(ratio(common, F.size(a)), ratio(common, F.size(b)))
 
 
-def corpus_bleu(df: DataFrame, candidate: str, reference: str, most: int = 4) -> DataFrame:
-    """One row: corpus BLEU with clipped n-gram precisions and the brevity penalty; 0 if any precision is."""
+def corpus_bleu(df: DataFrame, candidate: str, reference: str, most: int = 4, more: list[Column] = ()) -> DataFrame:
+    """One row: corpus BLEU with clipped n-gram precisions and the brevity penalty; 0 if any precision is. Further
+    aggregates over the rows may come beside it."""
     sizes = range(1, most + 1)
-    rows = df.select(F.col(candidate).alias("c"), F.col(reference).alias("r"))
-    rows = held(rows, **{f"c{n}": ngrams(F.col("c"), n) for n in sizes}, **{f"r{n}": ngrams(F.col("r"), n) for n in sizes})
+    rows = df.withColumns({"c": F.col(candidate), "r": F.col(reference)}) if more else df.select(F.col(candidate).alias("c"), F.col(reference).alias("r"))
+    rows = held(rows, **{f"c{n}": gram_hashes(F.col("c"), n) for n in sizes}, **{f"r{n}": gram_hashes(F.col("r"), n) for n in sizes})
     sums = rows.agg(
         F.sum(F.size("c")).alias("c_len"),
         F.sum(F.size("r")).alias("r_len"),
         *[F.sum(multiset_overlap(F.col(f"c{n}"), F.col(f"r{n}"))).alias(f"m{n}") for n in sizes],
         *[F.sum(F.size(f"c{n}")).alias(f"t{n}") for n in sizes],
+        *more,
     )
+    made = ("c_len", "r_len", *[f"{x}{n}" for n in sizes for x in "mt"])
     precision = lambda n: F.try_divide(F.col(f"m{n}"), F.col(f"t{n}"))
     mean_log = F.aggregate(F.array(*[F.ln(precision(n)) for n in sizes]), F.lit(0.0), lambda a, x: a + x) / most
     brief = F.when(F.col("c_len") >= F.col("r_len"), 1.0).otherwise(F.exp(1 - F.col("r_len") / F.col("c_len")))
     some = F.least(*[F.coalesce(precision(n), F.lit(0.0)) for n in sizes]) > 0
-    return sums.select("c_len", "r_len", *[F.col(f"m{n}") for n in sizes], F.round(F.when(some, brief * F.exp(mean_log)).otherwise(0.0), 6).alias("bleu"))
+    return sums.select("c_len", "r_len", *[F.col(f"m{n}") for n in sizes], F.round(F.when(some, brief * F.exp(mean_log)).otherwise(0.0), 6).alias("bleu"), *[F.col(c) for c in sums.columns if c not in made])
 
 
 def common_subsequence(a: list, b: list) -> int:
@@ -167,27 +183,45 @@ def contains_any(prediction: Column, truths: Column) -> Column:
     return F.exists(truths, lambda t: F.contains(line, normal_answer(t))).cast("double")
 
 
-def text_vector(text: str, size: int = 256) -> list[float]:
-    """A stand-in for a sentence encoder: counts of hashed character 3-grams, at unit length."""
-    import zlib
+def trigrams(text: Column) -> Column:
+    """A stand-in for a sentence encoder: the hashed character 3-grams of a text. See `trigram_cosine`."""
+    padded = F.concat(F.lit("  "), F.lower(text), F.lit("  "))
+    return F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.xxhash64(F.substring(padded, i, F.lit(3))))
+
+
+def multiset_dot(a: Column, b: Column) -> Column:
+    """Dot product of two sorted arrays as vectors of counts, in one walk over their runs."""
+    of = lambda i, j, n, m, dot: F.named_struct(*[x for pair in zip(map(F.lit, ("i", "j", "n", "m", "dot")), (i, j, n, m, dot), strict=True) for x in pair])
+    # n and m: equal values met so far on either side of the present one.
+    start = of(F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(0).cast("long"))
+
+    def step(held: Column, _: Column) -> Column:
+        x, y = F.get(a, held["i"]), F.get(b, held["j"])
+        last = F.get(a, held["i"] - 1)
+        done = held["dot"] + held["n"].cast("long") * held["m"]
+        mine, theirs = x == last, y == last
+        return (
+            F.when((held["n"] > 0) & mine, of(held["i"] + 1, held["j"], held["n"] + 1, held["m"], held["dot"]))
+            .when((held["n"] > 0) & theirs, of(held["i"], held["j"] + 1, held["n"], held["m"] + 1, held["dot"]))
+            .when(x.isNotNull() & (y.isNull() | (x <= y)), of(held["i"] + 1, held["j"], F.lit(1), F.lit(0), done))
+            .otherwise(of(held["i"], held["j"] + 1, F.lit(0), F.lit(0), done))
+        )
 
-    out = [0.0] * size
-    padded = f"  {text.lower()}  "
-    for i in range(len(padded) - 2):
-        out[zlib.crc32(padded[i : i + 3].encode()) % size] += 1
-    norm = sum(x * x for x in out) ** 0.5
-    return [x / norm for x in out]
+    places = F.when(F.size(a) + F.size(b) > 0, F.sequence(F.lit(1), F.size(a) + F.size(b))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, start, step, lambda held: held["dot"] + held["n"].cast("long") * held["m"])
 
 
-text_vectors = by_row(text_vector, "array<double>")
+def trigram_cosine(a: Column, b: Column) -> Column:
+    """Cosine of the counts of two sorted arrays."""
+    return ratio(multiset_dot(a, b).cast("double"), F.sqrt(multiset_dot(a, a).cast("double")) * F.sqrt(multiset_dot(b, b).cast("double")))
 
 
 def similarity_row(df: DataFrame, candidate: str, reference: str) -> DataFrame:
     """One row over pairs of texts: corpus BLEU and means of ROUGE-1, 2, L, of token precision, recall and F1, and of the
-    cosine of the stand-in vectors."""
+    cosine of the stand-in vectors; the texts are read once."""
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"\S+"), F.lit(0))
-    rows = held(df.select(F.col(candidate).alias("x"), F.col(reference).alias("y")), a=words("x"), b=words("y"))
-    rows = held(rows, a2=ngrams(F.col("a"), 2), b2=ngrams(F.col("b"), 2))
+    rows = held(df.select(F.col(candidate).alias("x"), F.col(reference).alias("y")), a=words("x"), b=words("y"), ta=F.array_sort(trigrams(F.col("x"))), tb=F.array_sort(trigrams(F.col("y"))))
+    rows = held(rows, a2=gram_hashes(F.col("a"), 2), b2=gram_hashes(F.col("b"), 2))
     common = multiset_overlap(F.col("a"), F.col("b")).cast("double")
     each = {
         "rouge1": overlap_f(F.col("a"), F.col("b")),
@@ -196,10 +230,10 @@ def similarity_row(df: DataFrame, candidate: str, reference: str) -> DataFrame:
         "precision": ratio(common, F.size("a")),
         "recall": ratio(common, F.size("b")),
         "f1": overlap_f(F.col("a"), F.col("b")),
-        "cosine": cosine(text_vectors("x"), text_vectors("y")),
+        "cosine": trigram_cosine(F.col("ta"), F.col("tb")),
     }
-    means = rows.agg(*[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(n) for n, c in each.items()])
-    return corpus_bleu(rows, "a", "b").select("bleu").crossJoin(F.broadcast(means))  # one row each
+    means = [F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(n) for n, c in each.items()]
+    return corpus_bleu(rows, "a", "b", more=means).select("bleu", *each)
 
 
 def with_truths(df: DataFrame, prediction: str, truths: str) -> DataFrame:

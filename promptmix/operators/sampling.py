@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def draw(seed, *key: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in key]))
@@ -25,7 +27,7 @@ def exact_sample(df: DataFrame, id_col: str, k: int, seed: int = 42) -> DataFram
 
 def bigrams(df: DataFrame, text_col: str = "text") -> DataFrame:
     """prev, next, c, p over all texts, words being lower-cased and cut at white space. The totals come from an
-    aggregate of the counted pairs, so no word, however common, is one task's work."""
+    aggregate of the counted pairs; where a word has very many successors, Spark splits the rows of its join."""
     words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"\S+"), F.lit(0))
     pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("prev"), b.alias("next")))
     counted = df.select(F.explode(pairs).alias("x")).groupBy("x.prev", "x.next").agg(F.count("*").alias("c"))
@@ -56,14 +58,14 @@ def first_tier(tiers: DataFrame, key: str) -> DataFrame:
 
 
 def nearest(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = 2_000) -> DataFrame:
-    """id, neighbour, rank, cosine: the k nearest others of every row. Exact: blocks of rows meet in a grid, each task
-    multiplies two blocks, and only its k best a row go on to the merge. Zero vectors and null ones have cosine 0."""
+    """id, neighbour, rank, cosine: the k nearest others of every row. Exact: blocks of rows meet once in half a grid, each
+    task multiplies two blocks, and only its k best a row, of either, go on to the merge. The work grows with the square of
+    the rows, as an exact answer for all of them asks for. Zero vectors and null ones have cosine 0."""
     n = df.count()
     blocks = max(1, -(-n // block_rows))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null").withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    grid = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select("id", "v", F.col("b").alias("i"), grid.alias("j"))
-    right = rows.select("id", "v", grid.alias("i"), F.col("b").alias("j"))
+    left = rows.select("id", "v", F.col("b").alias("i"), F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))).alias("j"))
+    right = rows.select("id", "v", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("i"), F.col("b").alias("j"))
 
     def unit(frame: pd.DataFrame) -> np.ndarray:
         m = np.nan_to_num(np.array(frame["v"].tolist(), dtype=float))
@@ -75,7 +77,11 @@ def nearest(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embed
             return pd.DataFrame({"id": [], "neighbour": [], "cosine": []})
         cosine = np.round(unit(a) @ unit(b).T, 6) + 0.0
         mine, theirs = a["id"].to_numpy(), b["id"].to_numpy()
-        cosine[mine[:, None] == theirs] = -np.inf
+        same = a["i"].iloc[0] == a["j"].iloc[0]
+        return pd.concat([top(mine, theirs, cosine), *([] if same else [top(theirs, mine, cosine.T)])])
+
+    def top(mine: np.ndarray, theirs: np.ndarray, cosine: np.ndarray) -> pd.DataFrame:
+        cosine = np.where(mine[:, None] == theirs, -np.inf, cosine)
         order = np.lexsort((np.broadcast_to(theirs, cosine.shape), -cosine), axis=1)[:, :k]
         kept = np.take_along_axis(cosine, order, axis=1)
         out = pd.DataFrame({"id": np.repeat(mine, order.shape[1]), "neighbour": theirs[order].ravel(), "cosine": kept.ravel()})
@@ -86,31 +92,82 @@ def nearest(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embed
     return ranked.where(F.col("rank") <= k).select(F.col("id").alias(id_col), "neighbour", "rank", "cosine")
 
 
-def without_nearest(neighbours: DataFrame, count: int, ratio: float, top: int) -> DataFrame:
-    """Neighbours from beyond the nearest share of all `count` others up to rank `top`."""
-    return neighbours.where((F.col("rank") > int(count * ratio)) & (F.col("rank") <= top))
+def numbered(df: DataFrame, order: list[str], name: str, bound: int | None = None) -> DataFrame:
+    """df (its first `bound` rows) with its places in the order, from 0: rows are dealt by ranges and counted range by range,
+    so no task holds them all."""
+    ordered = df.orderBy(*ordered_columns(order))
+    placed = ordered if bound is None else ordered.limit(bound).orderBy(*ordered_columns(order))
+    part = written(placed.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
+    sizes = part.groupBy("__part").agg(F.count("*").alias("n")).collect()
+    before, total = {}, 0
+    for row in sorted(sizes):
+        before[row["__part"]], total = total, total + row["n"]
+    if not before:
+        return part.withColumn(name, F.lit(0).cast("long")).drop("__part", "__at")
+    start = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("__part")).cast("long")
+    return part.withColumn(name, start + F.col("__at") - F.col("__part").cast("long") * F.lit(1 << 33)).drop("__part", "__at")
+
+
+def ordered_columns(order: list[str]) -> list[Column]:
+    return [F.col(x.split()[0]).desc() if x.endswith(" DESC") else F.col(x).asc() for x in order]
+
+
+def without_nearest(neighbours: DataFrame, ratio: float, id_col: str = "vec_id") -> DataFrame:
+    """Lists of neighbours (id, rank) without the nearest share of each; the last one of a list always stays."""
+    length = F.max("rank").over(Window.partitionBy(id_col))
+    return neighbours.withColumn("__n", length).where(F.col("rank") > F.least(F.floor(F.col("__n") * ratio), F.col("__n") - 1)).drop("__n")
 
 
 # Beam sampling.
 
 
-def beam_step(paths: DataFrame, lm: DataFrame, real: Column, gamma: int, intervals: float, seed: int, step: int) -> DataFrame:
-    """One word further: paths (id, path, last, weight, real) take candidates whose probability after `last` is in the
-    band about that of the real word after its own predecessor, weighted by their ratio; a path without any takes the
+def beam_step(paths: DataFrame, lm: DataFrame, gamma: int, intervals: float, seed: int, step: int) -> DataFrame:
+    """One word further: paths (id, path, last, weight, before, word) take candidates whose probability after `last` is in
+    the band about that of the real word after its own predecessor, weighted by their ratio; a path without any takes the
     real word. At most gamma paths a text are kept, drawn by hash.
 
-    paths also has `before`, the real predecessor, and `word`, the real word, of this step."""
+    before: the real predecessor; word: the real word of this step. Only words of the band come out of the join."""
     q = lm.select(F.col("prev").alias("before"), F.col("next").alias("word"), F.col("p").alias("q"))
-    p = lm.select(F.col("prev").alias("last"), F.col("next").alias("candidate"), "p")
-    met = paths.join(q, ["before", "word"], "left").join(p, "last", "left")
-    ok = F.coalesce(in_relative_band(F.col("p"), F.col("q"), intervals), F.lit(False))
-    chosen = met.where(ok).select("id", "path", "candidate", (F.col("weight") * F.col("p") / F.col("q")).alias("weight"))
-    lone = paths.join(chosen.select("id", "path").distinct(), ["id", "path"], "left_anti").select("id", "path", F.col("word").alias("candidate"), "weight")
-    every = chosen.unionByName(lone).select("id", F.concat(F.col("path"), F.array("candidate")).alias("path"), F.col("candidate").alias("last"), "weight")
+    p = lm.select(F.col("prev").alias("__last"), F.col("next").alias("candidate"), "p")
+    band = (F.col("last") == F.col("__last")) & (F.col("p") >= F.col("q") * (1 - 1 / intervals)) & (F.col("p") <= F.col("q") * (1 + 1 / intervals)) & in_relative_band(F.col("p"), F.col("q"), intervals)
+    met = paths.join(q, ["before", "word"], "left").join(p, band, "left")
+    every = met.select("id", F.concat(F.col("path"), F.array(F.coalesce("candidate", "word"))).alias("path"), F.coalesce("candidate", "word").alias("last"), F.when(F.col("candidate").isNull(), F.col("weight")).otherwise(F.col("weight") * F.col("p") / F.col("q")).alias("weight"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(draw(f"{seed}:{step}", F.col("id"), F.array_join("path", " ")), F.array_join("path", " ")))
     return every.withColumn("__r", rank).where(F.col("__r") <= gamma).drop("__r")
 
 
+def beams(texts: DataFrame, lm: DataFrame, gamma: int, intervals: float, seed: int = 42, stops: tuple[str, ...] = (), reference_first: bool = False, pad: bool = False) -> DataFrame:
+    """id, path, weight: at most gamma look-alikes of each text (id, w: its words), word by word to its end. A path that has
+    taken a stop word ends there. The driver loops over places, never over rows; each step is written, so lost executors
+    undo one step at most. reference_first puts the real words in front, pad repeats paths in turn up to gamma."""
+    words = texts.where(F.size("w") > 0).select("id", "w")
+    first = F.get("w", F.lit(0))
+    now = words.select("id", F.array(first).alias("path"), first.alias("last"), F.lit(1.0).alias("weight"))
+    longest = words.agg(F.max(F.size("w"))).first()[0] or 0
+    done = None
+    for step in range(1, longest):
+        real = words.where(F.size("w") > step).select("id", F.get("w", F.lit(step - 1)).alias("before"), F.get("w", F.lit(step)).alias("word"))
+        met = now.join(real, "id", "left")
+        ended = F.col("word").isNull() | F.col("last").isin(*stops) if stops else F.col("word").isNull()
+        ready = met.where(ended).select("id", "path", "weight")
+        done = ready if done is None else done.unionByName(ready)
+        now = written(beam_step(met.where(~ended), lm, gamma, intervals, seed, step))
+        if step % 8 == 0:
+            done = written(done)
+    every = now.select("id", "path", "weight") if done is None else done.unionByName(now.select("id", "path", "weight"))
+    if not (reference_first or pad):
+        return every
+    order = F.row_number().over(Window.partitionBy("id").orderBy("front", F.array_join("path", " "))) - 1
+    front = words.select("id", F.col("w").alias("path"), F.lit(1.0).alias("weight"), F.lit(0).alias("front"))
+    every = every.withColumn("front", F.lit(1))
+    ranked = (every.unionByName(front) if reference_first else every).withColumn("i", order).where(F.col("i") < gamma).drop("front")
+    if not pad:
+        return ranked.drop("i")
+    sizes = ranked.groupBy("id").agg(F.count("*").alias("n"))
+    turns = ranked.join(sizes, "id").withColumn("i", F.explode(F.sequence(F.col("i"), F.lit(gamma - 1), F.col("n"))))
+    return turns.select("id", "path", "weight")
+
+
 def distinct_candidates(df: DataFrame, key: str, word: str, order: str, reference: Column, prob: str, gamma: int) -> DataFrame:
     """Candidates without repeats (by their ASCII letters and digits, the first wins), nearest to the reference
     probability, at most gamma for each key."""

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..functions.held import held
 from ..functions.places import places
 from ..operators import assemble, formats, generate, judge, metrics, sampling, spans
+from ..sources.shared import shared_folder, written
 from ..streaming import redact as streaming
 from . import pipeline
 from .fixtures import FAKES_SQL, NER_SQL, PATTERN, SPANS_SQL, VARIANTS, prompts, spread, table, with_fakes
@@ -213,7 +216,11 @@ def format_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.format_labelled(rows, "doc_id", "text", "given", "lang").select("doc_id", F.md5("masked_text").alias("masked_md5"))
 
 
-@query()
+@query(
+    """WITH t AS (SELECT p_partkey, ' the ' || p_name || ' and ' || p_brand || ' & ' || p_type || '., ' AS text, p_name, p_brand, p_type FROM part),
+parts AS (SELECT p_partkey, 5 AS s, p_name AS word FROM t UNION ALL SELECT p_partkey, 10 + length(p_name), p_brand FROM t UNION ALL SELECT p_partkey, 13 + length(p_name) + length(p_brand), p_type FROM t)
+SELECT p_partkey, 'PRODUCT' AS entity_type, CAST(s AS INT) AS s, CAST(s + length(word) AS INT) AS e, word FROM parts"""
+)
 def entity_trim_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrase = F.concat(F.lit(" the "), F.col("p_name"), F.lit(" and "), F.col("p_brand"), F.lit(" & "), F.col("p_type"), F.lit("., "))
     rows = table(spark, sf_dir, "part").select("p_partkey", phrase.alias("text"))
@@ -238,6 +245,7 @@ lm AS (SELECT prev, next, c, c / sum(c) OVER (PARTITION BY prev) AS p FROM count
 
 
 def _lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model; what uses it more than once writes it first."""
     return sampling.bigrams(spread(table(spark, sf_dir, "documents").select("text")))
 
 
@@ -251,13 +259,13 @@ _BAND_SQL = "best AS (SELECT prev, max(p) AS q FROM lm GROUP BY prev)"
 
 @query(f"WITH {LM_SQL}, {_BAND_SQL} SELECT prev, next, round(p, 6) AS p FROM lm JOIN best USING (prev) WHERE abs(p / q - 1) <= 0.5")
 def band_filter_rel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lm = _lm(spark, sf_dir)
+    lm = written(_lm(spark, sf_dir))
     return lm.join(sampling.best_next(lm), "prev").where(sampling.in_relative_band(F.col("p"), F.col("q"), 2)).select("prev", "next", F.round("p", 6).alias("p"))
 
 
 @query(f"WITH {LM_SQL}, {_BAND_SQL}, low AS (SELECT prev, floor(q * 10) / 10 + 0.001 AS lo FROM best) SELECT prev, next, round(p, 6) AS p FROM lm JOIN low USING (prev) WHERE p >= lo AND p < lo + 0.1")
 def band_filter_abs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lm = _lm(spark, sf_dir)
+    lm = written(_lm(spark, sf_dir))
     return lm.join(sampling.best_next(lm), "prev").where(sampling.in_absolute_band(F.col("p"), F.col("q"), 10)).select("prev", "next", F.round("p", 6).alias("p"))
 
 
@@ -265,6 +273,8 @@ KNN_SQL = """vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embedd
 cos AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 6) AS cosine FROM vec a JOIN vec b ON a.vec_id <> b.vec_id),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, neighbour) AS INT) AS rank FROM cos)"""
 TOP = 64
+#: Neighbours retrieved before the nearest of them are left out, and their share.
+RETRIEVED, NEAREST = 200, 0.05
 
 
 @query(f"WITH {KNN_SQL} SELECT vec_id, neighbour, rank, cosine FROM ranked WHERE rank <= 10")
@@ -272,10 +282,10 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.nearest(table(spark, sf_dir, "embeddings"), 10)
 
 
-@query(f"WITH {KNN_SQL} SELECT vec_id, neighbour, rank FROM ranked WHERE rank > floor((SELECT count(*) - 1 FROM vec) * 0.05) AND rank <= {TOP * 2}")
+@query(f"WITH {KNN_SQL} SELECT vec_id, neighbour, rank FROM (SELECT *, max(rank) OVER (PARTITION BY vec_id) AS n FROM ranked WHERE rank <= {RETRIEVED}) WHERE rank > least(floor(n * {NEAREST}), n - 1)")
 def knn_excl_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    return sampling.without_nearest(sampling.nearest(vectors, TOP * 2), vectors.count() - 1, 0.05, TOP * 2).select("vec_id", "neighbour", "rank")
+    near = sampling.nearest(table(spark, sf_dir, "embeddings"), RETRIEVED)
+    return sampling.without_nearest(near, NEAREST).select("vec_id", "neighbour", "rank")
 
 
 @query(
@@ -285,7 +295,7 @@ def knn_excl_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT prev, tier, count(*) AS n, min(word) AS first FROM tiers JOIN (SELECT prev, min(tier) AS tier FROM tiers GROUP BY prev) USING (prev, tier) GROUP BY prev, tier"""
 )
 def fallback_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lm = _lm(spark, sf_dir)
+    lm = written(_lm(spark, sf_dir))
     met = lm.join(sampling.best_next(lm), "prev")
     band = met.where((F.col("p") < F.col("q")) & sampling.in_relative_band(F.col("p"), F.col("q"), 2)).select("prev", F.lit(1).alias("tier"), F.col("next").alias("word"))
     best = met.where("p = q").select("prev", F.lit(2).alias("tier"), F.col("next").alias("word"))
@@ -296,107 +306,153 @@ def fallback_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 GAMMA = 8
 
 
-def _beam_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\S+"), F.lit(0))
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), words.alias("w")).where(F.size("w") >= 3)
-
-
 def _beam(spark: SparkSession, sf_dir: str, lm: DataFrame) -> DataFrame:
-    starts = _beam_starts(spark, sf_dir)
-    first = F.get("w", F.lit(0))
-    paths = starts.select("id", F.array(first).alias("path"), first.alias("last"), F.lit(1.0).alias("weight"))
-    for step in (1, 2):
-        real = starts.select("id", F.get("w", F.lit(step - 1)).alias("before"), F.get("w", F.lit(step)).alias("word"))
-        paths = sampling.beam_step(paths.join(real, "id"), lm, F.col("word"), GAMMA, 2, 42, step)
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\S+"), F.lit(0))
+    texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), words.alias("w"))
+    paths = sampling.beams(texts, written(lm), GAMMA, 2)
     return paths.select(F.col("id").alias("item_id"), F.array_join("path", " ").alias("path"), F.round("weight", 6).alias("weight"))
 
 
-def _beam_sql() -> str:
-    sql, before = f"WITH {LM_SQL}, start AS (SELECT item_id AS id, regexp_extract_all(lower(text), '\\S+') AS w FROM benchmark), s0 AS (SELECT id, w, w[1] AS path, w[1] AS last, CAST(1.0 AS DOUBLE) AS weight FROM start WHERE len(w) >= 3)", "s0"
-    for k in (1, 2):
-        sql += f""", m{k} AS (SELECT b.*, q.p AS q, p.next AS candidate, p.p AS p FROM {before} b LEFT JOIN lm q ON q.prev = b.w[{k}] AND q.next = b.w[{k + 1}] LEFT JOIN lm p ON p.prev = b.last),
-ok{k} AS (SELECT id, w, path, candidate, weight * p / q AS weight FROM m{k} WHERE abs(p / q - 1) <= 0.5),
-all{k} AS (SELECT id, w, path || ' ' || candidate AS path, candidate AS last, weight FROM ok{k} UNION ALL
-  SELECT id, w, path || ' ' || w[{k + 1}], w[{k + 1}], weight FROM {before} b WHERE NOT EXISTS (SELECT 1 FROM ok{k} o WHERE o.id = b.id AND o.path = b.path)),
-s{k} AS (SELECT id, w, path, last, weight FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY md5('42:{k}:' || id || ':' || path), path) AS r FROM all{k}) WHERE r <= {GAMMA})"""
-        before = f"s{k}"
-    return sql + " SELECT id AS item_id, path, round(weight, 6) AS weight FROM s2"
+def _beam_sql(before: str, lm: str) -> str:
+    """The beams of whole texts over a model, by recursion over the words."""
+    word = "coalesce(p.next, b.w[b.k + 1])"
+    return f"""WITH RECURSIVE {LM_SQL}{before}, start AS (SELECT item_id AS id, regexp_extract_all(lower(text), '\\S+') AS w FROM benchmark),
+beam AS (SELECT id, 1 AS k, w[1] AS path, w[1] AS last, CAST(1.0 AS DOUBLE) AS weight, w FROM start WHERE len(w) > 0
+  UNION ALL SELECT id, k + 1 AS k, path, last, weight, w FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY md5('42:' || k || ':' || id || ':' || path), path) AS r FROM (
+    SELECT b.id, b.k, b.w, b.path || ' ' || {word} AS path, {word} AS last, CASE WHEN p.next IS NULL THEN b.weight ELSE b.weight * p.p / q.p END AS weight
+    FROM beam b LEFT JOIN {lm} q ON q.prev = b.w[b.k] AND q.next = b.w[b.k + 1] LEFT JOIN {lm} p ON p.prev = b.last AND abs(p.p / q.p - 1) <= 0.5 WHERE len(b.w) > b.k)) WHERE r <= {GAMMA})
+SELECT id AS item_id, path, round(weight, 6) AS weight FROM beam WHERE k = len(w)"""
 
 
-@query(_beam_sql())
+@query(_beam_sql("", "lm"))
 def beam_sample_gqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _beam(spark, sf_dir, _lm(spark, sf_dir))
 
 
-@query()
+_POOLS_SQL = f""", {KNN_SQL}, words AS (SELECT prev, sum(c) AS c FROM counted GROUP BY prev),
+ids AS (SELECT prev AS word, row_number() OVER (ORDER BY c DESC, prev) - 1 AS place FROM words),
+vectors AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings), named AS (SELECT word, vec_id FROM ids JOIN vectors USING (place)),
+pools AS (SELECT a.word AS best, b.word AS next FROM ranked JOIN named a USING (vec_id) JOIN named b ON b.vec_id = ranked.neighbour WHERE rank <= {TOP}),
+best AS (SELECT prev, arg_min(next, (-p, next)) AS best FROM lm GROUP BY prev),
+inside AS (SELECT lm.* FROM lm JOIN best USING (prev) WHERE next = best OR best NOT IN (SELECT word FROM named) OR EXISTS (SELECT 1 FROM pools WHERE pools.best = best.best AND pools.next = lm.next))"""
+
+
+@query(_beam_sql(_POOLS_SQL, "inside"))
 def beam_sample_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same within semantic pools: the commonest words stand for the vectors in order, and a candidate must be
     among the neighbours of the best next word; words without a vector are free."""
-    lm = _lm(spark, sf_dir)
+    lm = written(_lm(spark, sf_dir))
     vectors = table(spark, sf_dir, "embeddings")
-    top = lm.groupBy("prev").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "prev").limit(vectors.count())
-    # One row for each vector, no more, is numbered.
-    ids = top.select(F.col("prev").alias("word"), (F.row_number().over(Window.orderBy(F.desc("c"), "prev")) - 1).cast("long").alias("vec_id"))
-    near = sampling.without_nearest(sampling.nearest(vectors, TOP), 0, 0.0, TOP).select("vec_id", "neighbour")
-    pools = near.join(ids, "vec_id").join(ids.select(F.col("word").alias("next"), F.col("vec_id").alias("neighbour")), "neighbour").select(F.col("word").alias("best"), "next")
-    best = sampling.best_next(lm).select("prev", "best")
-    known = ids.select(F.col("word").alias("best"))
-    met = lm.join(best, "prev")
-    inside = met.join(pools, ["best", "next"], "left_semi").unionByName(met.join(known, "best", "left_anti")).unionByName(met.where("next = best")).dropDuplicates(["prev", "next"])
-    return _beam(spark, sf_dir, inside.select("prev", "next", "c", "p"))
+    counts = lm.groupBy("prev").agg(F.sum("c").alias("c"))
+    ids = sampling.numbered(counts, ["c DESC", "prev"], "place", vectors.count()).join(sampling.numbered(vectors.select("vec_id"), ["vec_id"], "place"), "place").select(F.col("prev").alias("word"), "vec_id")
+    near = sampling.nearest(vectors, TOP).select("vec_id", "neighbour")
+    pools = near.join(ids, "vec_id").join(ids.select(F.col("word").alias("next"), F.col("vec_id").alias("neighbour")), "neighbour").select(F.col("word").alias("best"), "next", F.lit(True).alias("near"))
+    met = lm.join(sampling.best_next(lm).select("prev", "best"), "prev").join(ids.select(F.col("word").alias("best"), F.lit(True).alias("known")), "best", "left").join(pools, ["best", "next"], "left")
+    return _beam(spark, sf_dir, met.where("next = best or known is null or near is not null").select("prev", "next", "c", "p"))
 
 
 @query()
 def semantic_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five phrases of neighbours for every pair of vectors (id, id + 1), vector ids standing for words."""
-    near = sampling.nearest(table(spark, sf_dir, "embeddings"), 10)
+    """Five phrases of neighbours for every vector and the next one in order (the last with the first), ids standing for
+    words."""
+    vectors = table(spark, sf_dir, "embeddings")
+    near = sampling.nearest(vectors, 10)
     pools = near.groupBy("vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "neighbour"))), lambda x: x["neighbour"].cast("string")).alias("pool"))
-    after = pools.select((F.col("vec_id") - 1).alias("vec_id"), F.col("pool").alias("next"))
-    words = F.array(F.col("vec_id").cast("string"), (F.col("vec_id") + 1).cast("string"))
-    rows = pools.join(after, "vec_id")
+    count = pools.count()
+    placed = sampling.numbered(pools, ["vec_id"], "place")
+    after = placed.select(F.pmod(F.col("place") - 1, F.lit(max(1, count))).alias("place"), F.col("vec_id").alias("next_id"), F.col("pool").alias("next"))
+    rows = placed.join(after, "place")
+    words = F.array(F.col("vec_id").cast("string"), F.col("next_id").cast("string"))
     return rows.select("vec_id", F.posexplode(sampling.neighbour_words(words, F.array("pool", "next"), 5, F.col("vec_id"))).alias("i", "phrase"))
 
 
-# Rules.
+# Rules. The words are made from the tables, the candidates by the rules for texts.
+
 
+def _ruled(spark: SparkSession, sf_dir: str, name: str, key: str, kind: str, word, k: int = VARIANTS) -> DataFrame:
+    rows = spread(table(spark, sf_dir, name)).select(F.col(key).alias("key"), word.alias("word"))
+    return rows.select("key", "word", F.posexplode(rules.rule_candidates(F.col("word"), F.lit(kind), k)).alias("i", "fake"))
 
-@query("SELECT p_partkey, v FROM (SELECT p_partkey, unnest(list_distinct(list_transform([-5, -3, -2, -1, 1, 2, 3, 5], lambda d: least(greatest(p_size + d, 0), 100)))) AS v FROM part)")
+
+def _listed_sql(name: str, key: str, word: str, values: str, fake: str) -> str:
+    """Candidates from a list of numbers v in order, the first of equal ones."""
+    return f"""SELECT key, word, CAST(i - 1 AS INT) AS i, {fake} AS fake FROM (SELECT key, word, vs, unnest(generate_series(1, len(vs))) AS i, unnest(vs) AS v FROM (
+  SELECT key, word, list_sort(list_distinct({values})) AS vs FROM (SELECT {key} AS key, p_size AS n, {word} AS word FROM {name})))"""
+
+
+_ENDING = "CASE WHEN {0} % 100 IN (11, 12, 13) THEN 'th' WHEN {0} % 10 = 1 THEN 'st' WHEN {0} % 10 = 2 THEN 'nd' WHEN {0} % 10 = 3 THEN 'rd' ELSE 'th' END"
+
+
+@query(_listed_sql("part", "p_partkey", "p_size || '%'", "list_transform([-5, -3, -2, -1, 1, 2, 3, 5], lambda d: least(greatest(n + d, 0), 100))", "v || '%'"))
 def rule_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.explode(rules.percent_values(F.col("p_size"))).alias("v"))
+    return _ruled(spark, sf_dir, "part", "p_partkey", "PERCENT", F.concat(F.col("p_size").cast("string"), F.lit("%")), 8)
 
 
-@query(
-    """SELECT p_partkey, v || CASE WHEN v % 100 IN (11, 12, 13) THEN 'th' WHEN v % 10 = 1 THEN 'st' WHEN v % 10 = 2 THEN 'nd' WHEN v % 10 = 3 THEN 'rd' ELSE 'th' END AS v
-FROM (SELECT p_partkey, unnest(list_distinct(list_transform([-2, -1, 1, 2], lambda d: greatest(p_size + d, 1)))) AS v FROM part)"""
-)
+@query(_listed_sql("part", "p_partkey", f"p_size || {_ENDING.format('p_size')}", "list_transform([-2, -1, 1, 2], lambda d: greatest(n + d, 1))", f"v || {_ENDING.format('v')}"))
 def rule_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.explode(rules.ordinal_values(F.col("p_size"))).alias("n")).select("p_partkey", rules.ordinal_text(F.col("n")).alias("v"))
+    n = F.col("p_size")
+    ending = F.when((n % 100).isin(11, 12, 13), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
+    return _ruled(spark, sf_dir, "part", "p_partkey", "ORDINAL", F.concat(n.cast("string"), ending))
 
 
-@query("SELECT p_partkey, unnest(list_distinct(list_transform([-3, -2, -1, 1, 2, 3], lambda d: greatest(p_size + d, 0)))) AS v FROM part")
+@query(_listed_sql("part", "p_partkey", "p_size || ' years old'", "list_transform([-3, -2, -1, 1, 2, 3], lambda d: greatest(n + d, 0))", "v || ' years old'"))
 def rule_age(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.explode(rules.age_values(F.col("p_size"))).alias("v"))
+    return _ruled(spark, sf_dir, "part", "p_partkey", "AGE", F.concat(F.col("p_size").cast("string"), F.lit(" years old")), 6)
 
 
-@query(f"WITH {FAKES_SQL} SELECT doc_id, CAST(j AS INT) AS j, fake FROM options WHERE type = 'ID'")
+def _hashed_sql(kind: str, word: str, fake: str, tries: int) -> str:
+    """Candidates of orders, each made from a hash h of the word and the try j: the first of equal ones, VARIANTS of them."""
+    return f"""WITH words AS (SELECT o_orderkey AS key, {word} AS word, o_orderdate FROM orders),
+tries AS (SELECT key, word, o_orderdate, j, md5('42|{kind}|' || word || '|' || j) AS h FROM words, (SELECT unnest(range({tries})) AS j)),
+made AS (SELECT key, word, {fake} AS fake, min(j) AS j FROM tries GROUP BY key, word, fake)
+SELECT key, word, CAST(i AS INT) AS i, fake FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY j) - 1 AS i FROM made) WHERE i < {VARIANTS}"""
+
+
+def _moved_sql(last: str) -> str:
+    """The word with its last so many digits moved on as the hash h says."""
+    digits = "length(regexp_replace({}, '[^0-9]', '', 'g'))"
+    return f"""list_aggregate(list_transform(string_split(word, ''), lambda c, i: CASE WHEN c BETWEEN '0' AND '9' AND {digits.format("substr(word, i)")} <= {last}
+  THEN CAST((TRY_CAST(c AS INT) + 1 + (strpos('0123456789abcdef', substr(h, CAST((i - 1) % 32 + 1 AS BIGINT), 1)) - 1) % 9) % 10 AS VARCHAR) ELSE c END), 'string_agg', '')"""
+
+
+@query(_hashed_sql("ID", "CAST(o_orderkey AS VARCHAR)", _moved_sql("99"), 25))
 def rule_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = spans.span_table(prompts(spark, sf_dir)).where("type = 'ID'").select("doc_id", "word", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))).alias("j"))
-    return ids.select("doc_id", "j", rules.shifted_digits(F.col("word"), F.concat_ws("|", F.col("doc_id").cast("string"), "word"), F.col("j")).alias("fake"))
+    return _ruled(spark, sf_dir, "orders", "o_orderkey", "ID", F.col("o_orderkey").cast("string"))
+
+
+_PHONE = "'+1 (' || lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') || ') ' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') || '-' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0')"
+
 
+@query(_hashed_sql("PHONE", _PHONE, _moved_sql("CASE WHEN substr(h, 32, 1) BETWEEN '0' AND '9' THEN 3 ELSE 2 END"), 25))
+def rule_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = lambda c, n: F.lpad((F.col(c) % 10**n).cast("string"), n, "0")
+    return _ruled(spark, sf_dir, "orders", "o_orderkey", "PHONE", F.concat(F.lit("+1 ("), last("o_custkey", 3), F.lit(") "), last("o_orderkey", 3), F.lit("-"), last("o_orderkey", 4)))
 
-def _rule_query(kind: str, name: str, word):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("doc_id"), word().alias("word"))
-        return rows.select("doc_id", "word", F.posexplode(rules.rule_candidates(F.col("word"), F.lit(kind), VARIANTS)).alias("i", "fake"))
 
-    QUERIES[name] = run
+_DAY, _MONTH = (f"[{', '.join(repr(w.capitalize()) for w in words)}][CAST('0x' || substr(h, {at}, 6) AS INT) % {len(words)} + 1]" for words, at in ((text.WEEKDAYS, 1), (text.MONTHS_SHORT, 7)))
 
 
-_rule_query("MONEY", "rule_money", lambda: F.concat(F.lit("$"), F.format_number("o_totalprice", 2)))
-_rule_query("CARDINAL", "rule_cardinal", lambda: F.format_number(F.col("o_orderkey"), 0))
-_rule_query("QUANTITY", "rule_quantity", lambda: F.concat((F.col("o_custkey") % 90 + 10).cast("string"), F.lit(" kg")))
-_rule_query("PHONE", "rule_phone", lambda: F.concat(F.lit("+1 ("), F.lpad((F.col("o_custkey") % 1000).cast("string"), 3, "0"), F.lit(") "), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 3, "0"), F.lit("-"), F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0")))
-_rule_query("DATE", "rule_date", lambda: F.date_format("o_orderdate", "EEEE, MMM d, yyyy"))
+@query(_hashed_sql("DATE", "strftime(o_orderdate, '%A, %b %-d, %Y')", f"{_DAY} || ', ' || {_MONTH} || strftime(o_orderdate, ' %-d, %Y')", 20))
+def rule_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ruled(spark, sf_dir, "orders", "o_orderkey", "DATE", F.date_format("o_orderdate", "EEEE, MMM d, yyyy"))
+
+
+_NEAR = "list_filter(CASE WHEN n % 10 > 0 THEN [CASE WHEN n % 10 > 0 THEN n - 1 END, CASE WHEN n % 10 < 9 THEN n + 1 END] ELSE [CASE WHEN n // 10 > 1 THEN n - 10 END, CASE WHEN n // 10 < 9 THEN n + 10 END] END, lambda v: v IS NOT NULL)"
+
+
+@query(f"SELECT key, word, CAST(i - 1 AS INT) AS i, v || ' kg' AS fake FROM (SELECT key, word, unnest(generate_series(1, len(vs))) AS i, unnest(vs) AS v FROM (SELECT key, n || ' kg' AS word, {_NEAR} AS vs FROM (SELECT o_orderkey AS key, o_custkey % 90 + 10 AS n FROM orders)))")
+def rule_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ruled(spark, sf_dir, "orders", "o_orderkey", "QUANTITY", F.concat((F.col("o_custkey") % 90 + 10).cast("string"), F.lit(" kg")))
+
+
+@query()
+def rule_money(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ruled(spark, sf_dir, "orders", "o_orderkey", "MONEY", F.concat(F.lit("$"), F.format_number("o_totalprice", 2)))
+
+
+@query()
+def rule_cardinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ruled(spark, sf_dir, "orders", "o_orderkey", "CARDINAL", F.format_number(F.col("o_orderkey"), 0))
 
 
 # Words.
@@ -410,12 +466,28 @@ def root_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", text.root_key(F.col("c_name")).alias("root"))
 
 
-@query()
+_CASED = "CASE WHEN m = upper(m) AND m <> lower(m) THEN upper(w) WHEN m = upper(m[1]) || lower(m[2:]) AND m[1] <> lower(m[1]) THEN upper(w[1]) || lower(w[2:]) ELSE w END"
+
+
+@query(
+    f"""WITH words AS (SELECT p_partkey, string_split(p_name, ' ') AS ws, string_split(p_type, ' ') AS ms FROM part),
+each AS (SELECT p_partkey, i, ws[i] AS w, ms[i] AS m FROM (SELECT *, unnest(generate_series(1, len(ws))) AS i FROM words))
+SELECT p_partkey, string_agg(CASE WHEN m IS NULL THEN w ELSE {_CASED} END, ' ' ORDER BY i) AS aligned FROM each GROUP BY p_partkey"""
+)
 def casing_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", text.align_casing(F.col("p_type"), F.col("p_name")).alias("aligned"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.align_casing(F.col("p_name"), F.col("p_type")).alias("aligned"))
 
 
-@query()
+_TURN = "['Mara', 'Quist'][CAST((i - 1) % 2 AS INT) + 1]"
+
+
+@query(
+    f"""WITH {ENTITIES_SQL}, mails AS (SELECT doc_id, s, word, split_part(word, '@', 1) AS local FROM entities WHERE entity_type = 'EMAIL'),
+cut AS (SELECT doc_id, s, word, string_split_regex(local, '[A-Za-z]+') AS p, regexp_extract_all(local, '[A-Za-z]+') AS m FROM mails),
+lettered AS (SELECT doc_id, s, word AS mail, md5('email|' || word || '|Mara Quist') AS h,
+  p[1] || coalesce(list_aggregate(list_transform(m, lambda x, i: CASE WHEN x = upper(x) THEN upper({_TURN}) WHEN x = upper(x[1]) || lower(x[2:]) THEN {_TURN} ELSE lower({_TURN}) END || p[i + 1]), 'string_agg', ''), '') AS word FROM cut)
+SELECT doc_id, s, mail AS word, {_moved_sql("9999")} || '@' || split_part(mail, '@', 2) AS fake FROM lettered"""
+)
 def email_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     emails = _entities(spark, sf_dir).where("entity_type = 'EMAIL'")
     return emails.select("doc_id", "s", "word", generate.rewritten_email(F.col("word"), F.lit("Mara Quist")).alias("fake"))
@@ -430,16 +502,23 @@ def soft_map_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 WIDTH = 4
 
 
-@query(
-    f"""WITH {FAKES_SQL}, pool AS (SELECT DISTINCT doc_id, pos AS k, fake FROM options WHERE pos < 3),
-p0 AS (SELECT doc_id, path FROM (SELECT doc_id, fake AS path, row_number() OVER (PARTITION BY doc_id ORDER BY md5('42:0:' || doc_id || ':' || fake), fake) AS r FROM pool WHERE k = 0) WHERE r <= {WIDTH}),
-p1 AS (SELECT doc_id, path FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5('42:1:' || doc_id || ':' || path), path) AS r FROM (SELECT doc_id, path || '|' || fake AS path FROM p0 JOIN pool USING (doc_id) WHERE k = 1)) WHERE r <= {WIDTH}),
-p2 AS (SELECT doc_id, path FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5('42:2:' || doc_id || ':' || path), path) AS r FROM (SELECT doc_id, path || '|' || fake AS path FROM p1 JOIN pool USING (doc_id) WHERE k = 2)) WHERE r <= {WIDTH})
-SELECT doc_id, path FROM p2"""
-)
+def _position_sql() -> str:
+    """Paths over the five distinct words of a prompt, in the order of their first places."""
+    sql = f"WITH {FAKES_SQL}, firsts AS (SELECT doc_id, word, type, min(pos) AS pos FROM spans GROUP BY doc_id, word, type), placed AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS k FROM firsts), pool AS (SELECT DISTINCT doc_id, k, fake FROM options JOIN placed USING (doc_id, pos))"
+    for k in range(5):
+        longer = f"SELECT doc_id, path || '|' || fake AS path FROM p{k - 1} JOIN pool USING (doc_id) WHERE k = {k}" if k else "SELECT doc_id, fake AS path FROM pool WHERE k = 0"
+        sql += f", p{k} AS (SELECT doc_id, path FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5('42:{k}:' || doc_id || ':' || path), path) AS r FROM ({longer})) WHERE r <= {WIDTH})"
+    return sql + " SELECT doc_id, path FROM p4"
+
+
+@query(_position_sql())
 def position_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pools = with_fakes(spark, sf_dir).select("doc_id", F.posexplode("fakes").alias("uid_idx", "f")).where("uid_idx < 3").select("doc_id", "uid_idx", F.explode("f").alias("option")).distinct()
-    return generate.position_beam(pools, WIDTH).select("doc_id", F.array_join("path", "|").alias("path"))
+    """Over all distinct words of each prompt."""
+    rows = with_fakes(spark, sf_dir).select("doc_id", spans.parsed(F.col("ner")).alias("s"), "fakes")
+    fresh = F.transform("s", lambda x, i: F.array_position(F.col("s"), x) == i + 1)
+    pools = F.transform(F.filter(F.arrays_zip(fresh.alias("fresh"), F.col("fakes").alias("f")), lambda x: x["fresh"]), lambda x: x["f"])
+    rows = held(rows, pools=pools).select("doc_id", F.explode(generate.position_beam(F.col("pools"), F.col("doc_id"), WIDTH)).alias("path"))
+    return rows.select("doc_id", F.array_join("path", "|").alias("path"))
 
 
 TARGET = 8
@@ -452,8 +531,8 @@ SELECT doc_id, CAST(pos AS INT) AS pos, CAST(i AS INT) AS i, words[CAST(i % len(
 )
 def finalise_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_fakes(spark, sf_dir).select("doc_id", F.posexplode(F.arrays_zip(spans.parsed(F.col("ner")).alias("s"), F.col("fakes").alias("f"))).alias("pos", "x"))
-    each = rows.select("doc_id", "pos", F.col("x.s.word").alias("real"), F.posexplode("x.f").alias("idx", "word")).withColumn("prob", 1 / (F.col("idx") + 1))
-    return generate.finished(each, TARGET, ["doc_id", "pos"])
+    probs = F.transform(F.sequence(F.lit(1), F.size("x.f")), lambda i: 1 / i)
+    return rows.select("doc_id", "pos", F.posexplode(generate.finished(F.col("x.f"), F.col("x.s.word"), probs, TARGET)).alias("i", "word"))
 
 
 # Assembly.
@@ -648,8 +727,11 @@ COMPARED_SQL = RECORDS_SQL + f", compared AS (SELECT doc_id, sample_idx, {_words
 
 
 def _grams_sql(n: int) -> str:
-    grams = lambda c: f"list_transform(generate_series(1, len({c}) - {n - 1}), lambda i: array_to_string({c}[i : i + {n - 1}], ' '))"
-    return f"g{n} AS (SELECT doc_id, sample_idx, {grams('a')} AS a, {grams('b')} AS b FROM compared), o{n} AS (SELECT doc_id, sample_idx, len(a) AS na, len(b) AS nb, list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))) AS m FROM g{n})"
+    """o{n}: for each pair the numbers of n-grams and the size of their intersection as multisets, by counts."""
+    grams = lambda side: f"SELECT doc_id, sample_idx, '{side}' AS side, unnest(list_transform(generate_series(1, len({side}) - {n - 1}), lambda i: array_to_string({side}[i : i + {n - 1}], ' '))) AS g FROM compared"
+    return f"""g{n} AS ({grams("a")} UNION ALL {grams("b")}),
+c{n} AS (SELECT doc_id, sample_idx, g, count(*) FILTER (side = 'a') AS ca, count(*) FILTER (side = 'b') AS cb FROM g{n} GROUP BY doc_id, sample_idx, g),
+o{n} AS (SELECT doc_id, sample_idx, sum(ca) AS na, sum(cb) AS nb, sum(least(ca, cb)) AS m FROM c{n} GROUP BY doc_id, sample_idx)"""
 
 
 _F = "coalesce(2 * CAST(m AS DOUBLE) / na * (CAST(m AS DOUBLE) / nb) / nullif(CAST(m AS DOUBLE) / na + CAST(m AS DOUBLE) / nb, 0), 0.0)"
@@ -657,7 +739,7 @@ _F = "coalesce(2 * CAST(m AS DOUBLE) / na * (CAST(m AS DOUBLE) / nb) / nullif(CA
 
 @query(f"WITH {COMPARED_SQL}, {_grams_sql(1)}, {_grams_sql(2)} SELECT o1.doc_id, CAST(o1.sample_idx AS INT) AS sample_idx, round({_F.replace('m ', 'o1.m ').replace(' na', ' o1.na').replace(' nb', ' o1.nb')}, 6) AS rouge1, round({_F.replace('m ', 'o2.m ').replace(' na', ' o2.na').replace(' nb', ' o2.nb')}, 6) AS rouge2 FROM o1 JOIN o2 ON o1.doc_id = o2.doc_id AND o1.sample_idx = o2.sample_idx")
 def rouge_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = held(_compared(spark, sf_dir), a2=metrics.ngrams(F.col("a"), 2), b2=metrics.ngrams(F.col("b"), 2))
+    rows = held(_compared(spark, sf_dir), a2=metrics.gram_hashes(F.col("a"), 2), b2=metrics.gram_hashes(F.col("b"), 2))
     f = lambda a, b: F.round(metrics.overlap_f(F.col(a), F.col(b)), 6)
     return rows.select("doc_id", "sample_idx", f("a", "b").alias("rouge1"), f("a2", "b2").alias("rouge2"))
 
@@ -708,7 +790,14 @@ def evaluate_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.similarity_row(rows, "text", "original")
 
 
-@query()
+@query(
+    f"""WITH {_TURNS_SQL}, w AS (SELECT conv_id, turn, regexp_extract_all({_NORMAL("prediction")}, '\\S+') AS a, regexp_extract_all({_NORMAL("truth")}, '\\S+') AS b FROM turns),
+g AS (SELECT conv_id, turn, 'a' AS side, unnest(a) AS t FROM w UNION ALL SELECT conv_id, turn, 'b', unnest(b) FROM w),
+c AS (SELECT conv_id, turn, t, count(*) FILTER (side = 'a') AS ca, count(*) FILTER (side = 'b') AS cb FROM g GROUP BY conv_id, turn, t),
+o AS (SELECT conv_id, turn, sum(ca) AS na, sum(cb) AS nb, sum(least(ca, cb)) AS m FROM c GROUP BY conv_id, turn),
+f AS (SELECT CASE WHEN m > 0 THEN 2 * (CAST(m AS DOUBLE) / na) * (CAST(m AS DOUBLE) / nb) / (CAST(m AS DOUBLE) / na + CAST(m AS DOUBLE) / nb) ELSE 0.0 END AS f1 FROM turns LEFT JOIN o USING (conv_id, turn))
+SELECT round(coalesce(avg(f1), 0.0) * 100, 6) AS score, count(*) AS n FROM f"""
+)
 def evaluate_with_truths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.with_truths(_turns(spark, sf_dir).withColumn("truths", F.array("truth")), "prediction", "truths")
 
@@ -755,11 +844,14 @@ def answer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pipeline_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.run(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    """The three stages, each written to the shared folder and read again."""
+    folder = f"{shared_folder(spark)}/prompts-{uuid.uuid4().hex}"
+    return pipeline.run(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), stage_dir=folder)
 
 
 @query(f"SELECT conv_id, turn, md5({_nested_replace('text')}) AS redacted_md5 FROM conversations WHERE role = 'user'")
 def stream_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The expression that the stream runs (see promptmix.streaming.redact), over the table as a whole."""
-    rows = streaming.redact(table(spark, sf_dir, "conversations").where("role = 'user'"))
-    return rows.select("conv_id", "turn", F.md5("redacted").alias("redacted_md5"))
+    """The table as a stream of files, redacted and written by a streaming query, and read again."""
+    rows = streaming.redact(streaming.stream_table(spark, f"{sf_dir}/conversations.parquet").where("role = 'user'"))
+    made = rows.select("conv_id", "turn", F.md5("redacted").alias("redacted_md5"))
+    return streaming.run_to_files(made, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")

@@ -75,9 +75,69 @@ def test_soft_chain_reuses_and_adapts():
 
 
 def test_finished_pads_and_drops_the_real_word(spark):
-    df = spark.createDataFrame([(1, "a", "A", 0, 1.0), (1, "b", "A", 1, 0.5), (1, "b", "A", 2, 0.9), (1, "c", "A", 3, 0.9), (2, "x", "x", 0, 1.0)], "k int, word string, real string, idx int, prob double")
-    got = generate.finished(df, 4, ["k"]).orderBy("k", "i").collect()
-    assert [r.word for r in got] == ["c", "b", "c", "b", "x", "x", "x", "x"]
+    df = spark.createDataFrame([(1, ["a", "b", "b", "c"], "A", [1.0, 0.5, 0.9, 0.9]), (2, ["x"], "x", [1.0]), (3, [], "y", [])], "k int, words array<string>, real string, probs array<double>")
+    got = df.orderBy("k").select(generate.finished(F.col("words"), F.col("real"), F.col("probs"), 4).alias("w")).collect()
+    assert [r.w for r in got] == [["c", "b", "c", "b"], ["x"] * 4, ["y"] * 4]
+
+
+def test_position_beam_covers_all_words(spark):
+    df = spark.createDataFrame([(1, [["a", "b"], ["c", "d", "e"], [], ["f"]]), (2, [])], "k int, pools array<array<string>>")
+    wide = {r.k: sorted(r.p) for r in df.select("k", generate.position_beam(F.col("pools"), F.col("k"), 99).alias("p")).collect()}
+    assert wide == {1: sorted([x, y, "f"] for x in "ab" for y in "cde"), 2: [[]]}
+    narrow = df.select("k", generate.position_beam(F.col("pools"), F.col("k"), 2).alias("p")).where("k = 1").first().p
+    assert len(narrow) == 2 and all(p in wide[1] for p in narrow)
+
+
+def test_beams_equal_brute_force(spark):
+    import hashlib
+
+    texts = ["the cat sat on the mat", "the dog sat on a cat", "a cat saw the dog on the mat and sat", "the mat", "dog"]
+    lm = sampling.bigrams(spark.createDataFrame([(t,) for t in texts * 2], "text string"))
+    p = {(r.prev, r.next): r.p for r in lm.collect()}
+    items = {i: t.split() for i, t in enumerate([*texts, "unseen words here", ""])}
+    want = []
+    for i, words in items.items():
+        now = [([words[0]], 1.0)] if words else []
+        for k in range(1, len(words)):
+            every = []
+            for path, weight in now:
+                q = p.get((words[k - 1], words[k]))
+                met = [(b, x) for (a, b), x in p.items() if q and a == path[-1] and abs(x / q - 1) <= 0.5]
+                every += [([*path, b], weight * x / q) for b, x in met] or [([*path, words[k]], weight)]
+            now = sorted(every, key=lambda e: (hashlib.md5(f"42:{k}:{i}:{' '.join(e[0])}".encode()).hexdigest(), e[0]))[:3]
+        want += [(i, " ".join(path), round(w, 6)) for path, w in now]
+    df = spark.createDataFrame([(i, w) for i, w in items.items()], "id int, w array<string>")
+    got = sampling.beams(df, sampling.written(lm), 3, 2)
+    assert sorted((r.id, " ".join(r.path), round(r.weight, 6)) for r in got.collect()) == sorted(want)
+    padded = sampling.beams(df, lm, 4, 2, reference_first=True, pad=True).groupBy("id").agg(F.count("*").alias("n"), F.min(F.array_join("path", " ")).alias("a")).collect()
+    assert {r.id: r.n for r in padded} == dict.fromkeys(range(6), 4)
+    stopped = sampling.beams(df, lm, 3, 2, stops=("sat",)).collect()
+    assert all("sat" not in r.path[:-1] for r in stopped)
+
+
+def test_overlaps_equal_counters(spark):
+    from collections import Counter
+
+    rng = np.random.default_rng(8)
+    rows = [(rng.integers(0, 5, rng.integers(0, 12)).tolist(), rng.integers(0, 5, rng.integers(0, 12)).tolist()) for _ in range(40)]
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    got = df.select(metrics.multiset_overlap(F.col("a"), F.col("b")).alias("n"), metrics.multiset_dot(F.array_sort("a"), F.array_sort("b")).alias("d")).collect()
+    for (a, b), r in zip(rows, got, strict=True):
+        x, y = Counter(a), Counter(b)
+        assert (r.n, r.d) == (sum((x & y).values()), sum(x[k] * y[k] for k in x))
+
+
+def test_without_nearest_keeps_the_last(spark):
+    df = spark.createDataFrame([(1, r) for r in range(1, 41)] + [(2, 1)], "vec_id int, rank int")
+    assert sorted(r["rank"] for r in sampling.without_nearest(df, 0.05).where("vec_id = 1").collect()) == list(range(3, 41))
+    assert sampling.without_nearest(df, 0.05).where("vec_id = 2").count() == sampling.without_nearest(df, 1.0).where("vec_id = 1").count() == 1
+
+
+def test_numbered(spark):
+    df = spark.range(100).select((F.col("id") * 37 % 100).alias("v")).repartition(7)
+    assert sorted((r.v, r.place) for r in sampling.numbered(df, ["v"], "place").collect()) == [(i, i) for i in range(100)]
+    assert sorted((r.place, r.v) for r in sampling.numbered(df, ["v DESC"], "place", 5).collect()) == [(i, 99 - i) for i in range(5)]
+    assert sampling.numbered(df.limit(0), ["v"], "place").count() == 0
 
 
 def test_assembly(spark):
