@@ -3,7 +3,6 @@ the word rule used by matching operators, deterministic splits and bounded sampl
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources import shared
+
 #: Bytes of text handled at once inside a Python worker; one longer text is handled alone. Spark itself bounds the
 #: bytes of an Arrow batch (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB by default).
 SLICE_BYTES = 4_000_000
@@ -69,21 +70,8 @@ def bounded_sample(df: DataFrame, key: str, bound: int, seed: int = 7) -> DataFr
     return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < cut)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir, which all executors see; a local one only where it is unset, as in tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="promptmix-"))
-    return context.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written once to the shared checkpoint folder, so lost executors don't undo it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+#: The folder of spark.checkpoint.dir, and tables written there.
+shared_folder, checkpointed = shared.shared_folder, shared.written
 
 
 def least_of_top(counts: DataFrame, bound: int) -> int | None:
