@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import by_row, cased_like, cased_word_by_word, looks_like_email
+from ..functions.text import by_row, cased_like, cased_word_by_word, kept_as, looks_like_email
 
 LETTERS = re.compile("[A-Za-z]+")
 
@@ -67,6 +67,11 @@ def adapt(real: str, root: str, fake: str, met_root: str) -> str:
     return replace_root(real, root, " ".join(tokens[:words] if words > 1 else tokens[:1] if begins else tokens[-1:]))
 
 
+def dressed(word: str, kind: str, fake: str) -> str:
+    """A generated candidate in the form of the word: an address keeps its domain, others take its casing."""
+    return rewrite_email(word, fake) if (kind or "").upper() == "EMAIL" else cased_word_by_word(fake, word)
+
+
 def soft_chain(spans, pools) -> list[list[str]]:
     """Candidate lists of a document's spans in order. A repeated (word, type) takes the list it had; else a word whose
     root holds, or is held by, an earlier root (both of three letters or more; the first such) takes that list, adapted;
@@ -79,7 +84,7 @@ def soft_chain(spans, pools) -> list[list[str]]:
         if key not in hard:
             ruled = rules.candidates(span["word"], span["type"], max(1, len(own)), "soft")
             met = next((r for r in roots if len(r) >= 3 and len(root) >= 3 and (r in root or root in r)), None)
-            hard[key] = ruled or ([adapt(span["word"], root, f, met) for f in roots[met]] if met else list(own))
+            hard[key] = ruled or ([adapt(span["word"], root, f, met) for f in roots[met]] if met else [dressed(span["word"], span["type"], f) for f in own])
             roots.setdefault(root, hard[key])
         out.append(hard[key])
     return out
@@ -87,7 +92,6 @@ def soft_chain(spans, pools) -> list[list[str]]:
 
 soft_mapped = by_row(soft_chain, "array<array<string>>")
 rewritten_email = by_row(rewrite_email, "string")
-aligned_casing = by_row(cased_word_by_word, "string")
 
 
 def position_beam(pools: Column, key: Column, width: int, seed: int = 42) -> Column:
@@ -114,6 +118,23 @@ def finished(words: Column, real: Column, probs: Column, target: int) -> Column:
     return F.aggregate(F.array(F.lit(0)), near, lambda held, _: held, lambda kept: F.when(F.size(kept) > 0, filled(kept)).otherwise(F.array_repeat(real, target)))
 
 
+def completed(spans: Column, pools: Column, target: int) -> Column:
+    """Lists of exactly `target` candidates for each span (word, type) of a document, from its pools: repeated words share
+    a list, rules override, words that share a root adapt one another's; then signs go where the word has none, repeats and
+    the word itself go, and what is left is filled up in turn."""
+
+    def whole(s: Column, fakes: Column) -> Column:
+        plain = kept_as(s["word"], fakes)
+        return finished(plain, s["word"], F.array_repeat(F.lit(1.0), F.size(plain)), target)
+
+    return F.zip_with(spans, soft_mapped(spans, pools), whole)
+
+
+def merged_paths(of_paths: Column, target: int) -> Column:
+    """The candidates of all paths, of each its quota."""
+    return F.flatten(F.transform(of_paths, lambda c: F.slice(c, F.lit(1), quota(target, F.size(of_paths)))))
+
+
 def contains_root(a: Column, b: Column) -> Column:
     return (F.length(a) >= 3) & (F.length(b) >= 3) & (F.contains(a, b) | F.contains(b, a))
 
@@ -132,6 +153,4 @@ def without_specials(text: Column, specials: tuple[str, ...] = ("<s>", "</s>", "
     return F.trim(F.regexp_replace(text, "|".join(map(re.escape, specials)), ""))
 
 
-def for_type(word: Column, kind: Column, real: Column) -> Column:
-    """A generated candidate in its final form: addresses keep the domain, others the casing of the real word."""
-    return F.when(F.upper(kind) == "EMAIL", rewritten_email(real, word)).otherwise(aligned_casing(word, real))
+for_type = by_row(lambda word, kind, real: dressed(real, kind, word), "string")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,6 +128,57 @@ def rouge_l_f(a: str, b: str) -> float:
     return 2 * common / (len(x) + len(y)) if common else 0.0
 
 
+def rouge_l_chinese(a: str, b: str) -> float:
+    """The same for texts without spaces, by characters."""
+    return rouge_l_f(" ".join("".join(a.split())), " ".join("".join(b.split())))
+
+
+def subsequence_places(a: list, b: list) -> set[int]:
+    """Places in a of a longest common subsequence with b."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in reversed(range(len(a))):
+        for j in reversed(range(len(b))):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = set(), 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.add(i)
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def rouge_lsum_f(a: str, b: str) -> float:
+    """ROUGE-L over lines: for each line of b the words that its subsequences with any line of a cover, each word counted
+    no more often than either text has it."""
+    lines = lambda t: [x.split() for x in t.split("\n") if x.split()]
+    mine, theirs = lines(a), lines(b)
+    left, right = Counter(w for x in mine for w in x), Counter(w for x in theirs for w in x)
+    sizes = left.total(), right.total()
+    common = 0
+    for line in theirs:
+        for k in sorted(set().union(*(subsequence_places(line, x) for x in mine))):
+            if left[line[k]] > 0 and right[line[k]] > 0:
+                left[line[k]] -= 1
+                right[line[k]] -= 1
+                common += 1
+    return 2 * common / sum(sizes) if common else 0.0
+
+
+def greedy_match(a: list, b: list) -> dict:
+    """Precision, recall and F of two lists of vectors: each meets the other side's nearest by cosine (as BERTScore does
+    over the vectors of an encoder)."""
+    if not len(a) or not len(b):
+        return {"precision": 0.0, "recall": 0.0, "f1": 0.0}
+    unit = lambda x: (m := np.array([np.asarray(v, dtype=float) for v in x])) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    cosine = unit(a) @ unit(b).T
+    p, r = float(cosine.max(axis=1).mean()), float(cosine.max(axis=0).mean())
+    return {"precision": p, "recall": r, "f1": 2 * p * r / (p + r) if p + r > 0 else 0.0}
+
+
 def code_similarity(prediction: str, truth: str) -> float:
     """Matching-block ratio of the first line without code marks to the truth, in whole hundredths."""
     line = next((x for x in prediction.lstrip("\n").split("\n") if not any(m in x for m in ("`", "#", "//"))), "")
@@ -133,6 +186,16 @@ def code_similarity(prediction: str, truth: str) -> float:
 
 
 rouge_l = by_row(rouge_l_f, "double")
+rouge_l_zh = by_row(rouge_l_chinese, "double")
+rouge_lsum = by_row(rouge_lsum_f, "double")
+_matched = by_row(lambda a, b: list(greedy_match(a, b).values()), "array<double>")
+
+
+def vector_score(a: Column, b: Column) -> Column:
+    """struct<precision, recall, f1> of two arrays of vectors, see `greedy_match`."""
+    found = _matched(a, b)
+    return F.struct(*[F.get(found, F.lit(k)).alias(n) for k, n in enumerate(("precision", "recall", "f1"))])
+
 code_sim = by_row(code_similarity, "double")
 
 

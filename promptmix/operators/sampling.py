@@ -136,13 +136,18 @@ def beam_step(paths: DataFrame, lm: DataFrame, gamma: int, intervals: float, see
     return every.withColumn("__r", rank).where(F.col("__r") <= gamma).drop("__r")
 
 
-def beams(texts: DataFrame, lm: DataFrame, gamma: int, intervals: float, seed: int = 42, stops: tuple[str, ...] = (), reference_first: bool = False, pad: bool = False) -> DataFrame:
+def beams(texts: DataFrame, lm: DataFrame, gamma: int, intervals: float, seed: int = 42, stops: tuple[str, ...] = (), reference_first: bool = False, pad: bool = False, prefixes: DataFrame | None = None) -> DataFrame:
     """id, path, weight: at most gamma look-alikes of each text (id, w: its words), word by word to its end. A path that has
     taken a stop word ends there. The driver loops over places, never over rows; each step is written, so lost executors
-    undo one step at most. reference_first puts the real words in front, pad repeats paths in turn up to gamma."""
+    undo one step at most. reference_first puts the real words in front, pad repeats paths in turn up to gamma.
+
+    prefixes (id, path): beams that begin behind other words than the real ones. The real probabilities are the same for all
+    beams of a text, whose first word then only tells what stood before; paths come with their prefixes."""
     words = texts.where(F.size("w") > 0).select("id", "w")
     first = F.get("w", F.lit(0))
     now = words.select("id", F.array(first).alias("path"), first.alias("last"), F.lit(1.0).alias("weight"))
+    if prefixes is not None:
+        now = words.select("id").join(prefixes.where(F.size("path") > 0), "id").select("id", "path", F.element_at("path", -1).alias("last"), F.lit(1.0).alias("weight"))
     longest = words.agg(F.max(F.size("w"))).first()[0] or 0
     done = None
     for step in range(1, longest):
@@ -168,6 +173,30 @@ def beams(texts: DataFrame, lm: DataFrame, gamma: int, intervals: float, seed: i
     return turns.select("id", "path", "weight")
 
 
+def spaced_like(candidates: Column, target: Column) -> Column:
+    """Candidates that begin with white space if the target does, and without if it does not; the target if none fits."""
+    begins = lambda w: w.rlike(r"^\s")
+    fit = F.filter(candidates, lambda w: begins(w) == begins(target))
+    return F.when(F.size(fit) > 0, fit).otherwise(F.array(target))
+
+
+def before_suffix(tokens: Column, suffix: Column) -> Column:
+    """The tokens up to the first place from which on they agree with the suffix's, loosely: of two tokens at a place one
+    begins with the other, and what follows the last of either is free. All of them if there is no such place."""
+    tail = lambda i: F.slice(tokens, i + 1, F.size(tokens) - i)
+    loose = lambda a, b: a.isNull() | b.isNull() | F.startswith(F.trim(a), F.trim(b)) | F.startswith(F.trim(b), F.trim(a))
+    fits = F.filter(F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda i: (F.size(suffix) > 0) & (i < F.size(tokens)) & F.forall(F.zip_with(tail(i), suffix, loose), lambda x: x))
+    return F.slice(tokens, 1, F.coalesce(F.array_min(fits), F.size(tokens)))
+
+
+def pooled_vectors(words: DataFrame, vectors: DataFrame, word_col: str = "word", tokens_col: str = "tokens") -> DataFrame:
+    """word, v: the mean of the vectors (token, v) of a word's tokens, at unit length; words without a known token are left out."""
+    tokens = words.select(word_col, F.explode(tokens_col).alias("token")).join(vectors.select("token", F.posexplode("v").alias("d", "x")), "token")
+    means = tokens.groupBy(word_col, "d").agg(F.avg("x").alias("x")).groupBy(word_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("v"))
+    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    return means.select(word_col, F.transform("v", lambda x: F.coalesce(F.try_divide(x, size), F.lit(0.0))).alias("v"))
+
+
 def distinct_candidates(df: DataFrame, key: str, word: str, order: str, reference: Column, prob: str, gamma: int) -> DataFrame:
     """Candidates without repeats (by their ASCII letters and digits, the first wins), nearest to the reference
     probability, at most gamma for each key."""

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import difflib
 import string
+from collections.abc import Iterator
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from ..functions.places import places
 from ..functions.text import by_row
 
 SPAN = r"<redacted>\s*([^(]+?)\s*\(([^)]+)\)\s*</redacted>"
-#: Labels that are not marked by default.
+# Labels that are not marked by default.
 EXCLUDED = ("DATE", "TIME", "GPE", "QUANTITY", "NORP", "PERCENT", "WORK_OF_ART", "LAW", "LANGUAGE", "FAC", "PRODUCT", "EVENT")
 # Normalised labels of a pre-annotated data set.
 LABEL_MAP = {
@@ -152,6 +154,44 @@ class RegexRecogniser:
         return F.concat(*parts) if parts else empty
 
 
+ENTITIES = "array<struct<entity_type:string,start:int,end:int,score:double,text:string>>"
+
+
+class EngineRecogniser:
+    """Any engine: `build` is called once in each worker and gives a function from a text to (label, start, end, score).
+    Labels are mapped, ignored ones and those of a score below the threshold go; a null text has none."""
+
+    def __init__(self, build, labels: dict[str, str] | None = None, ignored: tuple[str, ...] = IGNORED, threshold: float = 0.5):
+        self.build, self.labels, self.ignored, self.threshold = build, ENGINE_LABELS if labels is None else labels, ignored, threshold
+
+    def entities(self, text: Column) -> Column:
+        build, labels, ignored, threshold = self.build, self.labels, self.ignored, self.threshold
+
+        def of(find, one: str | None) -> list[dict]:
+            named = [(labels.get(label, label), start, end, score) for label, start, end, score in (find(one) if one else ())]
+            return [{"entity_type": k, "start": s, "end": e, "score": float(p), "text": one[s:e]} for k, s, e, p in named if p >= threshold and k not in ignored]
+
+        @F.pandas_udf(ENTITIES)
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            find = build()
+            for batch in batches:
+                yield pd.Series([of(find, one) for one in batch], dtype=object)
+
+        return run(text)
+
+
+def with_fallback(build, other):
+    """A builder that takes the other engine where the first cannot be built, as without its model."""
+
+    def either():
+        try:
+            return build()
+        except Exception:  # whatever an engine raises when it lacks something
+            return other()
+
+    return either
+
+
 def merged_labels(base: dict[str, str], extra: list[str]) -> dict[str, str]:
     """base with SOURCE:TARGET pairs added; entries of another form are left out."""
     pairs = (item.split(":", 1) for item in extra if ":" in item)

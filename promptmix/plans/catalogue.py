@@ -524,6 +524,24 @@ def position_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
 TARGET = 8
 
 
+@query()
+def complete_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished candidate lists of every span of every prompt, from hash-drawn pools."""
+    rows = held(with_fakes(spark, sf_dir), s=spans.parsed(F.col("ner")))
+    lists = rows.select("doc_id", F.posexplode(generate.completed(F.col("s"), F.col("fakes"), TARGET)).alias("pos", "fakes"))
+    return lists.select("doc_id", "pos", F.array_join("fakes", "|").alias("fakes"))
+
+
+@query(
+    f"""WITH {SPANS_SQL}, asked AS (SELECT doc_id, CAST(pos AS INT) AS pos, type, string_split(trim(regexp_replace(regexp_replace(ner, '{PATTERN}', '<redacted>', 'g'), '\\s+', ' ', 'g')), '<redacted>') AS p FROM spans JOIN ner USING (doc_id))
+SELECT doc_id, pos, 'Guess the ' || type || ' at [TARGET] in: ' || list_aggregate(list_transform(p[1 : pos + 1], lambda x, i: x || CASE WHEN i = pos + 1 THEN '[TARGET]' ELSE '<redacted>' END), 'string_agg', '') || chr(10) || 'Answer: ' AS prompt FROM asked"""
+)
+def word_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = held(prompts(spark, sf_dir), tpl=spans.template(F.col("ner")), s=spans.parsed(F.col("ner")))
+    at = rows.select("doc_id", "tpl", F.transform("s", lambda x: x["word"]).alias("real"), F.posexplode("s").alias("pos", "x"))
+    return at.select("doc_id", "pos", formats.word_prompt(F.col("x.type"), spans.prompt_with_target(F.col("tpl"), F.col("pos"), F.col("real"))).alias("prompt"))
+
+
 @query(
     f"""WITH {FAKES_SQL}, firsts AS (SELECT doc_id, pos, fake, min(j) AS idx FROM options WHERE lower(fake) <> lower(word) GROUP BY doc_id, pos, fake),
 kept AS (SELECT doc_id, pos, list(fake ORDER BY 1 - 1 / (idx + 1), idx, fake) AS words FROM firsts GROUP BY doc_id, pos)
@@ -825,6 +843,13 @@ def eval_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.where("n > 0").agg(F.count("*").alias("records"), F.round(F.avg("mean"), 6).alias("avg_mean"), F.sum("n").alias("total"))
 
 
+@query(f"WITH {COMPARED_SQL}, {_grams_sql(1)} SELECT doc_id, round(avg({_F}), 6) AS f1, count(*) AS samples FROM o1 GROUP BY doc_id")
+def record_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean token F1 of each record's variants."""
+    rows = _compared(spark, sf_dir).select("doc_id", metrics.overlap_f(F.col("a"), F.col("b")).alias("f"))
+    return rows.groupBy("doc_id").agg(F.round(F.avg("f"), 6).alias("f1"), F.count("*").alias("samples"))
+
+
 _NUMBERS = "regexp_extract_all(prediction, '[0-9]+')"
 _CLASSES = ("the", "of", "and", "a", "to")
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import non_empty
 
@@ -52,6 +54,35 @@ def read_table(spark: SparkSession, path: str, kind: str = "parquet", schema: st
     return (reader.schema(schema) if schema else reader).load(path)
 
 
+class FolderSource(DataSource):
+    """`spark.dataSource.register(FolderSource)`, then `spark.read.format("records").schema(...).option("path", folder)`:
+    data sets laid out as folder/config/split*.jsonl (options config and split; the folder itself and `train` if not given).
+    Each file is a partition; a line that is no object raises."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "records"
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return FolderReader(schema, self.options)
+
+
+class FolderReader(DataSourceReader):
+    def __init__(self, schema: T.StructType, options: dict):
+        self.names = schema.fieldNames()
+        self.pattern = os.path.join(options["path"], options.get("config", ""), f"{options.get('split', 'train')}*.jsonl")
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(path) for path in sorted(glob.glob(self.pattern))]
+
+    def read(self, partition: InputPartition):
+        with open(partition.value, encoding="utf-8") as lines:
+            for line in lines:
+                if line.strip():
+                    row = json.loads(line)
+                    yield tuple(row.get(n) for n in self.names)
+
+
 def field(df: DataFrame, logical: str) -> Column:
     """The first of a logical field's columns that df has and that is not empty in the row; list values are joined."""
     present = [c for c in ALIASES[logical] if c in df.columns]
