@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, least_of_top, map_texts, named, slices
+from .common import checkpointed, least_of_top, map_texts, named, slices, small_batches
 
 MAX_WORDS = 100_000
 MIN_COUNT = 4
@@ -387,6 +387,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", max_words: int = MAX
 
     Each task counts what it reads and sends each word about once; the sums are spread over the cluster, and
     only the top comes to the driver."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow.compute  # noqa: F401

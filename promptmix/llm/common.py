@@ -14,8 +14,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources import shared
 
-#: Bytes of text handled at once inside a Python worker; one longer text is handled alone. Spark itself bounds the
-#: bytes of an Arrow batch (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB by default).
+#: Rows per Arrow batch sent to Python where the session does not say otherwise; batches of 64 MB, Spark's own bound, for
+#: every task of an executor are too much beside its heap.
+ARROW_ROWS = 1000
+#: Bytes of text handled at once inside a Python worker; one longer text is handled alone.
 SLICE_BYTES = 4_000_000
 
 #: Bytes of a word after lower-casing A-Z (digits, a-z, all of UTF-8 beyond ASCII); the rest separate.
@@ -42,6 +44,13 @@ def in_fold(doc_id, modulus: int, remainder: int):
     return F.coalesce(F.crc32(named(doc_id).cast("string").cast("binary")) % F.lit(modulus) == remainder, F.lit(False))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of ARROW_ROWS for the session, unless the caller has chosen a size other than Spark's default."""
+    key, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def named(column: str):
     """Column of that very name, whatever signs it has."""
     return F.col("`" + column.replace("`", "``") + "`")
@@ -124,6 +133,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], list]], out_ddl
     clashes with an output column gives way to it."""
     import pyarrow.compute  # noqa: F401
 
+    small_batches(df.sparkSession)
     added = T.StructType.fromDDL(out_ddl)
     names = {f.name.lower() for f in added}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import checkpointed, named, packed, slices, unpacked, words_of
+from .common import checkpointed, named, packed, slices, small_batches, unpacked, words_of
 
 WINDOW = 10
 #: Benchmark words in a block, which travels to the executors as one broadcast.
@@ -322,6 +322,7 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_words: int
 
 def _searched(rows: DataFrame, benchmark: DataFrame, item_id_col: str, item_text_col: str, window: int, block_words: int) -> DataFrame:
     """__row and state, after all blocks, from rows of __row and text."""
+    small_batches(rows.sparkSession)
     context = rows.sparkSession.sparkContext
     # Broadcasts are files; the driver holds the words of one block at a time.
     blocks = [context.broadcast((uuid.uuid4().hex, b)) for b in blocks_of(benchmark, item_id_col, item_text_col, block_words)] or [context.broadcast(("", []))]

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_texts, named, quantiles, slices
+from .common import bounded_sample, map_texts, named, quantiles, slices, small_batches
 
 P = np.uint64((1 << 31) - 1)
 BASES = (1_000_003, 998_244_353 % ((1 << 31) - 1))
@@ -194,6 +194,7 @@ def with_next(docs: DataFrame, buckets: int | None = None, id_col: str = "doc_id
     also sent to the bucket before, and the first of all to the last, so every document meets its successor in
     one streaming pass over sorted partitions."""
     spark = docs.sparkSession
+    small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(named(id_col).alias("id"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", "text", F.struct(F.col("id").isNotNull().alias("is"), "id", F.xxhash64("text").alias("hash")).alias("at"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, checkpointed, named, quantiles, slices
+from .common import bounded_sample, checkpointed, named, quantiles, slices, small_batches
 
 #: Different pages looked at on either side.
 REACH = 2
@@ -310,6 +310,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     before and after it, over as many buckets as a group goes on, so the texts do not depend on the cuts. Cuts come
     from a bounded sample of keys."""
     spark = pages.sparkSession
+    small_batches(spark)
     host, path = _key(url_col)
     number = F.coalesce(named(id_col).cast("string"), F.lit(""))
     key = F.concat_ws("\u0001", host, path, F.when(F.length(number) < 24, F.lpad(number, 24, "0")).otherwise(number))

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, map_texts, named, slices
+from .common import in_fold, map_texts, named, slices, small_batches
 
 DIMENSIONS = 512
 N = 3
@@ -119,6 +119,7 @@ class Model:
 
 def train(docs: DataFrame, fold: tuple[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_rows: int = MAX_ROWS) -> Model:
     """fold = (modulus, remainder): rows of that crc32 remainder take no part in training."""
+    small_batches(docs.sparkSession)
     use = ~in_fold(id_col, *fold) if fold else F.lit(True)
     known = docs.where(use & named(label_col).isNotNull() & named(id_col).isNotNull()).select(named(id_col).alias("id"), named(text_col).cast("string").alias("text"), named(label_col).cast("string").alias("lang"))
     # A row for each language. The hash is of the text too, so rows that repeat an id are drawn one by one.

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, checkpointed, least_of_top, named, slices, utf8
+from .common import LOWER_BYTES, checkpointed, least_of_top, named, slices, small_batches, utf8
 
 DEPTH = 5
 DIVERGENCE = 8.0
@@ -35,7 +35,7 @@ DIVERGENCE = 8.0
 UPPER = 2
 FREQUENT = 200_000
 FREQUENT_GRAMS = 2_000_000
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 #: Distinct words or grams that a task holds before it sends their counts on.
 HELD_WORDS = 300_000
 HELD_GRAMS = 1_500_000
@@ -203,6 +203,7 @@ def count(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, only_gram
     """kind, key, n: counts of words (kind 0, by hash), grams (1) and texts (2) over all rows of docs.
 
     A task adds up what it reads, so a word or gram goes out about once from each; the sums are spread."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow.compute  # noqa: F401

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, named, packed, slices, unpacked, words_of
+from .common import checkpointed, named, packed, slices, small_batches, unpacked, words_of
 
 WORDS = 5
 #: Similarity at which documents are linked, as a fraction.
@@ -366,6 +366,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target
     """For each document: id, text_hash, class_id (the least id of its class), n_links (documents linked to it, copies
     counted one by one), n_copies (documents of the same set), and `kept`: the row, by id and text_hash, that
     stands for the class."""
+    small_batches(docs.sparkSession)
     records = checkpointed(_records(docs, id_col, text_col))
     sets = checkpointed(records.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("id", "text_hash")).alias("first"), F.max("n").alias("n"), F.max("signature").alias("signature")))
     worded = sets.where("n > 0")
