@@ -6,7 +6,8 @@ a minhash signature. Records are split recursively: at each node of a path a few
 a hash of the path alone, and a record goes on to one child for each, named by the place and its own value there.
 The expected number of children is 1 / 0.8, so two records at the threshold share one child on average, and
 dissimilar ones soon part; below the first levels, which only large buckets reach, it is BELOW. Buckets small enough are compared by brute force; larger ones are split on, and what is
-still large at the last depth is compared in pairs of blocks, so no task holds more than two blocks. Independent
+still large at the last depth is compared in pairs of blocks, so no task holds more than two blocks, whose records and
+bytes are bounded (BUCKET, BLOCK_RUNS). Independent
 runs are repeated until the target recall for pairs at the threshold, averaged over how many of the signature places
 that all runs draw from agree.
 
@@ -41,6 +42,8 @@ FIRST_DEPTH, DEPTH_STEP, LAST_DEPTH = 2, 2, 6
 BELOW = 1.5
 TARGET_RECALL = 0.998
 BUCKET = 1_000
+#: Runs of words of all records of a block, in expectation: a bucket of long texts has more blocks.
+BLOCK_RUNS = 4_000_000
 #: Signature agreement from which a pair is looked at; 0.8 is 4.4 standard deviations above it.
 # (0.58 of 64 places are 37.1, so 38 must agree; at a similarity of 0.8 fewer do with a probability of 4.3e-5.)
 LIKELY = 0.58
@@ -188,7 +191,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
 
 
 def _paths(sets: DataFrame, runs: int) -> DataFrame:
-    """path and key: every record at the first depth of every run."""
+    """path, key and n: every record at the first depth of every run."""
 
     def run(batches):
         start = roots(runs)
@@ -196,35 +199,39 @@ def _paths(sets: DataFrame, runs: int) -> DataFrame:
             n = batch.num_rows
             signature = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(n, PLACES)
             row, path = descend(np.repeat(start, n), np.tile(signature, (runs, 1)), 0, FIRST_DEPTH)
-            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column(0).take(pa.array(row % n))], names=["path", "key"])
+            held = pa.array(row % n)
+            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column(0).take(held), batch.column(2).take(held)], names=["path", "key", "n"])
 
-    return sets.select("key", "signature").mapInArrow(run, "path bigint, key binary")
+    return sets.select("key", "signature", "n").mapInArrow(run, "path bigint, key binary, n bigint")
 
 
 def _deeper(rows: DataFrame, sets: DataFrame, depth: int) -> DataFrame:
-    """path and key of the rows at a depth some levels further down."""
+    """path, key and n of the rows at a depth some levels further down."""
 
     def run(batches):
         for batch in batches:
             n = batch.num_rows
             signature = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint32).reshape(n, PLACES)
             row, path = descend(batch.column(0).to_numpy().view(np.uint64), signature, depth, depth + DEPTH_STEP)
-            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column(1).take(pa.array(row))], names=["path", "key"])
+            held = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column(1).take(held), batch.column(3).take(held)], names=["path", "key", "n"])
 
-    return rows.select("path", "key").join(sets.select("key", "signature"), "key").select("path", "key", "signature").mapInArrow(run, "path bigint, key binary")
+    return rows.select("path", "key", "n").join(sets.select("key", "signature"), "key").select("path", "key", "signature", "n").mapInArrow(run, "path bigint, key binary, n bigint")
 
 
 def _buckets(sets: DataFrame, runs: int) -> DataFrame:
-    """path, key and blocks: the buckets to compare. Buckets over BUCKET records at the last depth have blocks > 1."""
+    """path, key and blocks: the buckets to compare. Buckets over BUCKET records or BLOCK_RUNS runs of words at the last
+    depth have blocks > 1."""
     rows, depth, done = _paths(sets, runs), FIRST_DEPTH, None
+    blocks = F.least(F.col("size"), F.greatest(F.ceil(F.col("size") / BUCKET), F.ceil(F.col("runs") / BLOCK_RUNS))).cast("int").alias("blocks")
     while True:
         rows = checkpointed(rows.distinct())
         # One row for each path comes from each task; buckets of one record end here.
-        sizes = checkpointed(rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"))
-        large = sizes.where(F.col("size") > BUCKET)
+        sizes = checkpointed(rows.groupBy("path").agg(F.count("*").alias("size"), F.sum("n").alias("runs")).where("size > 1").select("path", blocks))
+        large = sizes.where("blocks > 1")
         last = depth >= LAST_DEPTH or large.isEmpty()
-        ready = sizes if last else sizes.where(F.col("size") <= BUCKET)
-        part = rows.join(ready, "path").select("path", "key", F.ceil(F.col("size") / BUCKET).cast("int").alias("blocks"))
+        ready = sizes if last else sizes.where("blocks = 1")
+        part = rows.join(ready, "path").select("path", "key", "blocks")
         done = part if done is None else done.unionByName(part)
         if last:
             return done

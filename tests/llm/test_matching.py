@@ -170,8 +170,9 @@ def test_join_equals_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == neardup.brute_force(texts)
 
 
-def test_large_buckets_meet_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BUCKET", 15)
+@pytest.mark.parametrize("bound, value", [("BUCKET", 15), ("BLOCK_RUNS", 1_500)])
+def test_large_buckets_meet_in_blocks(spark, monkeypatch, bound, value):
+    monkeypatch.setattr(neardup, bound, value)
     rng = random.Random(5)
     texts = variants(rng, [f"w{i}" for i in range(120)], 70)
     got = {r.doc_id: r for r in neardup.join(documents(spark, texts)).collect()}
