@@ -771,7 +771,14 @@ def bleu_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.corpus_bleu(_compared(spark, sf_dir), "a", "b")
 
 
-_NORMAL = lambda c: f"trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
+def _answer_sql(c: str) -> str:
+    """Words by Unicode, as a word boundary of DuckDB's patterns takes the accented letters for signs."""
+    bare = f"regexp_replace(lower({c}), '[!-/:-@\\[-`{{-~]', '', 'g')"
+    parts = f"regexp_extract_all({bare}, '[\\p{{L}}\\p{{M}}\\p{{N}}]+|[^\\p{{L}}\\p{{M}}\\p{{N}}]+')"
+    kept = f"array_to_string(list_transform({parts}, lambda x: CASE WHEN x IN ('a', 'an', 'the') THEN ' ' ELSE x END), '')"
+    return f"trim(regexp_replace({kept}, '\\s+', ' ', 'g'))"
+
+
 _TURNS_SQL = "turns AS (SELECT q.conv_id, q.turn, a.text AS prediction, q.text AS truth FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant')"
 
 
@@ -809,7 +816,7 @@ def evaluate_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_TURNS_SQL}, w AS (SELECT conv_id, turn, regexp_extract_all({_NORMAL("prediction")}, '\\S+') AS a, regexp_extract_all({_NORMAL("truth")}, '\\S+') AS b FROM turns),
+    f"""WITH {_TURNS_SQL}, w AS (SELECT conv_id, turn, regexp_extract_all({_answer_sql("prediction")}, '\\S+') AS a, regexp_extract_all({_answer_sql("truth")}, '\\S+') AS b FROM turns),
 g AS (SELECT conv_id, turn, 'a' AS side, unnest(a) AS t FROM w UNION ALL SELECT conv_id, turn, 'b', unnest(b) FROM w),
 c AS (SELECT conv_id, turn, t, count(*) FILTER (side = 'a') AS ca, count(*) FILTER (side = 'b') AS cb FROM g GROUP BY conv_id, turn, t),
 o AS (SELECT conv_id, turn, sum(ca) AS na, sum(cb) AS nb, sum(least(ca, cb)) AS m FROM c GROUP BY conv_id, turn),
@@ -857,7 +864,7 @@ _CLASSES = ("the", "of", "and", "a", "to")
 @query(
     f"""WITH {_TURNS_SQL}, t AS (SELECT conv_id, turn, prediction, truth, {_NUMBERS} AS nums, regexp_extract(truth, '([0-9]+)', 1) AS n, split_part(trim(truth), ' ', 1) AS w FROM turns)
 SELECT conv_id, turn, round(coalesce(len(list_filter(nums, lambda x: x = n)) / nullif(len(nums), 0), 0.0), 6) AS count_score,
-  CASE WHEN contains({_NORMAL("trim(split_part(ltrim(prediction, chr(10)), chr(10), 1))")}, {_NORMAL("w")}) THEN 1.0 ELSE 0.0 END AS subspan FROM t"""
+  CASE WHEN contains({_answer_sql("trim(split_part(ltrim(prediction, chr(10)), chr(10), 1))")}, {_answer_sql("w")}) THEN 1.0 ELSE 0.0 END AS subspan FROM t"""
 )
 def answer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _turns(spark, sf_dir).withColumn("n", F.regexp_extract("truth", "([0-9]+)", 1)).withColumn("w", F.split_part(F.trim("truth"), F.lit(" "), F.lit(1)))

@@ -45,6 +45,7 @@ def test_strip_special(spark):
 
 def test_normal_forms(spark):
     assert one(spark, "The cat,  and A dog!", text.normal_answer) == "cat and dog"
+    assert one(spark, "éa an anéç the çan", text.normal_answer) == "éa anéç çan"
     assert one(spark, "你好， 世界。ABC", text.normal_chinese_answer) == "你好世界abc"
     assert one(spark, "a_b (c) é.", text.normal_text) == "a b c é."
     assert one(spark, "\n\n first \nsecond", text.first_line) == "first"
