@@ -122,15 +122,14 @@ def without_nearest(neighbours: DataFrame, ratio: float, id_col: str = "vec_id")
 
 
 def beam_step(paths: DataFrame, lm: DataFrame, gamma: int, intervals: float, seed: int, step: int) -> DataFrame:
-    """One word further: paths (id, path, last, weight, before, word) take candidates whose probability after `last` is in
-    the band about that of the real word after its own predecessor, weighted by their ratio; a path without any takes the
+    """One word further: paths (id, path, last, weight, word, q) take candidates whose probability after `last` is in the
+    band about q, that of the real word after its own predecessor, weighted by their ratio; a path without any takes the
     real word. At most gamma paths a text are kept, drawn by hash.
 
-    before: the real predecessor; word: the real word of this step. Only words of the band come out of the join."""
-    q = lm.select(F.col("prev").alias("before"), F.col("next").alias("word"), F.col("p").alias("q"))
+    word: the real word of this step. Only words of the band come out of the join."""
     p = lm.select(F.col("prev").alias("__last"), F.col("next").alias("candidate"), "p")
     band = (F.col("last") == F.col("__last")) & (F.col("p") >= F.col("q") * (1 - 1 / intervals)) & (F.col("p") <= F.col("q") * (1 + 1 / intervals)) & in_relative_band(F.col("p"), F.col("q"), intervals)
-    met = paths.join(q, ["before", "word"], "left").join(p, band, "left")
+    met = paths.join(p, band, "left")
     every = met.select("id", F.concat(F.col("path"), F.array(F.coalesce("candidate", "word"))).alias("path"), F.coalesce("candidate", "word").alias("last"), F.when(F.col("candidate").isNull(), F.col("weight")).otherwise(F.col("weight") * F.col("p") / F.col("q")).alias("weight"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(draw(f"{seed}:{step}", F.col("id"), F.array_join("path", " ")), F.array_join("path", " ")))
     return every.withColumn("__r", rank).where(F.col("__r") <= gamma).drop("__r")
@@ -149,9 +148,14 @@ def beams(texts: DataFrame, lm: DataFrame, gamma: int, intervals: float, seed: i
     if prefixes is not None:
         now = words.select("id").join(prefixes.where(F.size("path") > 0), "id").select("id", "path", F.element_at("path", -1).alias("last"), F.lit(1.0).alias("weight"))
     longest = words.agg(F.max(F.size("w"))).first()[0] or 0
+    # The real words and their probabilities, met with the model once and kept by step.
+    behind = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(i.alias("step"), F.get("w", i - 1).alias("prev"), F.get("w", i).alias("next")))
+    pairs = words.where(F.size("w") > 1).select("id", F.explode(behind).alias("x")).select("id", "x.step", "x.prev", "x.next")
+    reals = pairs.join(lm.select("prev", "next", F.col("p").alias("q")), ["prev", "next"], "left").select("id", "step", F.col("next").alias("word"), "q")
+    reals = written(reals.repartitionByRange("step", "id").sortWithinPartitions("step"))
     done = None
     for step in range(1, longest):
-        real = words.where(F.size("w") > step).select("id", F.get("w", F.lit(step - 1)).alias("before"), F.get("w", F.lit(step)).alias("word"))
+        real = reals.where(F.col("step") == step).select("id", "word", "q")
         met = now.join(real, "id", "left")
         ended = F.col("word").isNull() | F.col("last").isin(*stops) if stops else F.col("word").isNull()
         ready = met.where(ended).select("id", "path", "weight")

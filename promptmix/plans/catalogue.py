@@ -351,7 +351,17 @@ def beam_sample_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _beam(spark, sf_dir, met.where("next = best or known is null or near is not null").select("prev", "next", "c", "p"))
 
 
-@query()
+def _phrase_sql(pool: str, place: int) -> str:
+    return f"{pool}[CAST('0x' || substr(md5('42:' || vec_id || ':' || j || ':{place}'), 1, 6) AS INT) % len({pool}) + 1]"
+
+
+@query(
+    f"""WITH {KNN_SQL}, pools AS (SELECT vec_id, list(CAST(neighbour AS VARCHAR) ORDER BY rank) AS pool, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM ranked WHERE rank <= 10 GROUP BY vec_id),
+pairs AS (SELECT a.vec_id, a.pool AS p, b.pool AS q, a.vec_id || ' ' || b.vec_id AS own FROM pools a JOIN pools b ON b.place = (a.place + 1) % (SELECT count(*) FROM pools)),
+made AS (SELECT vec_id, own, j, {_phrase_sql("p", 0)} || ' ' || {_phrase_sql("q", 1)} AS phrase FROM pairs, (SELECT unnest(range(25)) AS j)),
+firsts AS (SELECT vec_id, phrase, min(j) AS j FROM made WHERE phrase <> own GROUP BY vec_id, phrase)
+SELECT vec_id, CAST(i AS INT) AS i, phrase FROM (SELECT vec_id, phrase, row_number() OVER (PARTITION BY vec_id ORDER BY j) - 1 AS i FROM firsts) WHERE i < 5"""
+)
 def semantic_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five phrases of neighbours for every vector and the next one in order (the last with the first), ids standing for
     words."""
@@ -400,10 +410,12 @@ def rule_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ruled(spark, sf_dir, "part", "p_partkey", "AGE", F.concat(F.col("p_size").cast("string"), F.lit(" years old")), 6)
 
 
-def _hashed_sql(kind: str, word: str, fake: str, tries: int) -> str:
-    """Candidates of orders, each made from a hash h of the word and the try j: the first of equal ones, VARIANTS of them."""
-    return f"""WITH words AS (SELECT o_orderkey AS key, {word} AS word, o_orderdate FROM orders),
-tries AS (SELECT key, word, o_orderdate, j, md5('42|{kind}|' || word || '|' || j) AS h FROM words, (SELECT unnest(range({tries})) AS j)),
+def _hashed_sql(kind: str, word: str, fake: str, tries: int, more: dict[str, str] | None = None) -> str:
+    """Candidates of orders, each made from a hash h of the word, the try j, and what else is told of the word: the first of
+    equal ones, VARIANTS of them."""
+    told = "".join(f", {made} AS {name}" for name, made in (more or {}).items())
+    return f"""WITH named AS (SELECT o_orderkey AS key, {word} AS word, o_orderdate FROM orders), words AS (SELECT *{told} FROM named),
+tries AS (SELECT words.*, j, md5('42|{kind}|' || word || '|' || j) AS h FROM words, (SELECT unnest(range({tries})) AS j)),
 made AS (SELECT key, word, {fake} AS fake, min(j) AS j FROM tries GROUP BY key, word, fake)
 SELECT key, word, CAST(i AS INT) AS i, fake FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY j) - 1 AS i FROM made) WHERE i < {VARIANTS}"""
 
@@ -445,12 +457,37 @@ def rule_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ruled(spark, sf_dir, "orders", "o_orderkey", "QUANTITY", F.concat((F.col("o_custkey") % 90 + 10).cast("string"), F.lit(" kg")))
 
 
-@query()
+_DIGITS = "regexp_replace({}, '[^0-9]', '', 'g')"
+_AT = f"(length({_DIGITS.format('substr(word, 1, i)')}) - 1)"
+_HEX = "(strpos('0123456789abcdef', substr(h, CAST(({}) % 32 + 1 AS BIGINT), 1)) - 1)"
+_LAST_HEX = "CAST('0x' || substr(h, 31, 2) AS INT)"
+
+
+def _by_place_sql(digit: str) -> str:
+    """The word with its digits replaced: c is the one at place i of the word."""
+    return f"list_aggregate(list_transform(string_split(word, ''), lambda c, i: CASE WHEN c BETWEEN '0' AND '9' THEN CAST({digit} AS VARCHAR) ELSE c END), 'string_agg', '')"
+
+
+_PRICE = "'$' || format('{:,.2f}', o_totalprice)"
+_BARE = f"rtrim({_DIGITS.format('word')}, '0')"
+_HEAD = f"length(CASE WHEN length({_BARE}) > 1 AND right({_BARE}, 1) = '5' THEN rtrim(left({_BARE}, -1), '0') ELSE {_BARE} END)"
+_WIDTH = f"(CASE WHEN digits > head THEN 4 ELSE 3 END - (head - {_AT}))"
+_LOW, _HIGH = f"greatest(CAST(c AS INT) - {_WIDTH}, CASE WHEN {_AT} = 0 THEN 1 ELSE 0 END)", f"least(CAST(c AS INT) + {_WIDTH}, 9)"
+_PICKED = f"{_LOW} + {_HEX.format(_AT)} % ({_HIGH} - {_LOW})"
+_VARIED = f"CASE WHEN {_AT} = head THEN CASE WHEN {_LAST_HEX} % 5 < 3 THEN 5 ELSE 0 END WHEN {_AT} > head THEN 0 WHEN c > '0' AND {_WIDTH} > 0 THEN {_PICKED} + CASE WHEN {_PICKED} >= CAST(c AS INT) THEN 1 ELSE 0 END ELSE CAST(c AS INT) END"
+
+
+@query(_hashed_sql("MONEY", _PRICE, _by_place_sql(_VARIED), 25, {"digits": f"length({_DIGITS.format('word')})", "head": _HEAD}))
 def rule_money(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ruled(spark, sf_dir, "orders", "o_orderkey", "MONEY", F.concat(F.lit("$"), F.format_number("o_totalprice", 2)))
 
 
-@query()
+_ORDER = f"list_sort(list_transform(range(length({_DIGITS.format('word')})), lambda g: {{'x': substr(h, CAST(g % 32 + 1 AS BIGINT), 1), 'g': g}}))"
+_DRAWN = f"list_contains(list_transform({_ORDER}[1 : (length({_DIGITS.format('word')}) * (30 + {_LAST_HEX} % 41) + 99) // 100], lambda r: r.g), {_AT})"
+_OTHER = f"CASE WHEN {_AT} = 0 AND c > '0' THEN (CAST(c AS INT) + {_HEX.format(_AT + ' + 16')} % 8) % 9 + 1 ELSE (CAST(c AS INT) + 1 + {_HEX.format(_AT + ' + 16')} % 9) % 10 END"
+
+
+@query(_hashed_sql("CARDINAL", "format('{:,}', o_orderkey)", _by_place_sql(f"CASE WHEN {_DRAWN} THEN {_OTHER} ELSE CAST(c AS INT) END"), 25))
 def rule_cardinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ruled(spark, sf_dir, "orders", "o_orderkey", "CARDINAL", F.format_number(F.col("o_orderkey"), 0))
 
@@ -723,7 +760,17 @@ def ner_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.macro_micro(_confusions(spark, sf_dir))
 
 
-@query()
+_SIGNED = "<PII>|\\b\\w+\\b|[<>=/!@#$%^&*()?\":{}|\\\\`~;_+-]"
+
+
+@query(
+    f"""WITH RECURSIVE {NER_SQL}, words AS (SELECT doc_id, regexp_extract_all(regexp_replace(ner, '{PATTERN}', '\\1', 'g'), '{_SIGNED}') AS a,
+  list_filter(regexp_extract_all(regexp_replace(ner, '{PATTERN}', '<PII>', 'g'), '{_SIGNED}'), lambda x: x <> '<PII>') AS b FROM ner),
+walk AS (SELECT doc_id, a, b, 0 AS i, 0 AS met, CAST([] AS VARCHAR[]) AS out FROM words
+  UNION ALL SELECT doc_id, a, b, i + 1 AS i, met + CAST(hit AS INT) AS met, CASE WHEN hit THEN out ELSE list_append(out, a[i + 1]) END AS out
+  FROM (SELECT *, coalesce(lower(a[i + 1]) = lower(b[met + 1]), false) AS hit FROM walk WHERE i < len(a)))
+SELECT doc_id, array_to_string(out, ' ') AS sensitive FROM walk WHERE i = len(a)"""
+)
 def sensitive_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda c: text.words_and_signs(c)
     rows = prompts(spark, sf_dir).select("doc_id", words(F.regexp_replace("ner", PATTERN, "$1")).alias("a"), words(F.regexp_replace("ner", PATTERN, "<PII>")).alias("b"))
@@ -797,7 +844,12 @@ def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compared(spark, sf_dir).select("doc_id", "sample_idx", F.round(metrics.overlap_f(F.col("a"), F.col("b")), 6).alias("f1"))
 
 
-@query()
+@query(
+    f"""WITH {COMPARED_SQL}, bits AS (SELECT doc_id, sample_idx, len(a) AS la, len(b) AS lb, (CAST(1 AS HUGEINT) << len(b)) - 1 AS every_,
+  list_transform(a, lambda x: list_sum(list_transform(b, lambda y, j: CASE WHEN x = y THEN CAST(1 AS HUGEINT) << (j - 1) ELSE CAST(0 AS HUGEINT) END))) AS masks FROM compared),
+met AS (SELECT doc_id, sample_idx, la, lb, lb - bit_count(list_reduce(list_prepend(every_, masks), lambda o, m: ((o + (o & m)) | (o - (o & m))) & every_)) AS n FROM bits)
+SELECT doc_id, CAST(sample_idx AS INT) AS sample_idx, round(2 * CAST(n AS DOUBLE) / (la + lb), 6) AS rouge_l FROM met"""
+)
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda c: F.array_join(c, " ")
     return _compared(spark, sf_dir).select("doc_id", "sample_idx", F.round(metrics.rouge_l(joined("a"), joined("b")), 6).alias("rouge_l"))
