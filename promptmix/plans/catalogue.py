@@ -809,10 +809,14 @@ def rouge_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "sample_idx", f("a", "b").alias("rouge1"), f("a2", "b2").alias("rouge2"))
 
 
+_BLEU = "round(CASE WHEN m1 * m2 * m3 * m4 = 0 THEN 0 ELSE CASE WHEN c_len >= r_len THEN 1 ELSE exp(1 - r_len / c_len) END * exp((ln(m1 / n1) + ln(m2 / n2) + ln(m3 / n3) + ln(m4 / n4)) / 4) END, 6)"
+_SUMS_SQL = f"""lens AS (SELECT sum(len(a)) AS c_len, sum(len(b)) AS r_len FROM compared),
+{", ".join(f"t{n} AS (SELECT sum(m) AS m{n}, sum(na) AS n{n} FROM o{n})" for n in (1, 2, 3, 4))}"""
+
+
 @query(
-    f"""WITH {COMPARED_SQL}, {", ".join(_grams_sql(n) for n in (1, 2, 3, 4))}, lens AS (SELECT sum(len(a)) AS c_len, sum(len(b)) AS r_len FROM compared),
-{", ".join(f"t{n} AS (SELECT sum(m) AS m{n}, sum(na) AS n{n} FROM o{n})" for n in (1, 2, 3, 4))}
-SELECT c_len, r_len, m1, m2, m3, m4, round(CASE WHEN m1 * m2 * m3 * m4 = 0 THEN 0 ELSE CASE WHEN c_len >= r_len THEN 1 ELSE exp(1 - r_len / c_len) END * exp((ln(m1 / n1) + ln(m2 / n2) + ln(m3 / n3) + ln(m4 / n4)) / 4) END, 6) AS bleu FROM lens, t1, t2, t3, t4"""
+    f"""WITH {COMPARED_SQL}, {", ".join(_grams_sql(n) for n in (1, 2, 3, 4))}, {_SUMS_SQL}
+SELECT c_len, r_len, m1, m2, m3, m4, {_BLEU} AS bleu FROM lens, t1, t2, t3, t4"""
 )
 def bleu_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.corpus_bleu(_compared(spark, sf_dir), "a", "b")
@@ -844,12 +848,15 @@ def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compared(spark, sf_dir).select("doc_id", "sample_idx", F.round(metrics.overlap_f(F.col("a"), F.col("b")), 6).alias("f1"))
 
 
-@query(
-    f"""WITH {COMPARED_SQL}, bits AS (SELECT doc_id, sample_idx, len(a) AS la, len(b) AS lb, (CAST(1 AS HUGEINT) << len(b)) - 1 AS every_,
-  list_transform(a, lambda x: list_sum(list_transform(b, lambda y, j: CASE WHEN x = y THEN CAST(1 AS HUGEINT) << (j - 1) ELSE CAST(0 AS HUGEINT) END))) AS masks FROM compared),
-met AS (SELECT doc_id, sample_idx, la, lb, lb - bit_count(list_reduce(list_prepend(every_, masks), lambda o, m: ((o + (o & m)) | (o - (o & m))) & every_)) AS n FROM bits)
-SELECT doc_id, CAST(sample_idx AS INT) AS sample_idx, round(2 * CAST(n AS DOUBLE) / (la + lb), 6) AS rouge_l FROM met"""
-)
+def _common_sql(source: str, a: str, b: str) -> str:
+    """met: for each pair the lengths of two lists of words and, as n, that of their longest common subsequence, by a bit for
+    each word of the second (a prompt has far less than 126)."""
+    return f"""bits AS (SELECT doc_id, sample_idx, len({a}) AS la, len({b}) AS lb, (CAST(1 AS HUGEINT) << len({b})) - 1 AS every_,
+  list_transform({a}, lambda x: list_sum(list_transform({b}, lambda y, j: CASE WHEN x = y THEN CAST(1 AS HUGEINT) << (j - 1) ELSE CAST(0 AS HUGEINT) END))) AS masks FROM {source}),
+met AS (SELECT doc_id, sample_idx, la, lb, lb - bit_count(list_reduce(list_prepend(every_, masks), lambda o, m: ((o + (o & m)) | (o - (o & m))) & every_)) AS n FROM bits)"""
+
+
+@query(f"WITH {COMPARED_SQL}, {_common_sql('compared', 'a', 'b')} SELECT doc_id, CAST(sample_idx AS INT) AS sample_idx, round(2 * CAST(n AS DOUBLE) / (la + lb), 6) AS rouge_l FROM met")
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda c: F.array_join(c, " ")
     return _compared(spark, sf_dir).select("doc_id", "sample_idx", F.round(metrics.rouge_l(joined("a"), joined("b")), 6).alias("rouge_l"))
@@ -861,7 +868,19 @@ def code_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "sample_idx", metrics.code_sim("text", "original").alias("code_sim"))
 
 
-@query()
+def _trigrams_sql(side: str) -> str:
+    return f"SELECT doc_id, sample_idx, '{side}' AS side, unnest(list_transform(generate_series(3, length({side}) + 4), lambda i: substr('  ' || lower({side}) || '  ', i - 2, 3))) AS g FROM compared"
+
+
+@query(
+    f"""WITH {RECORDS_SQL}, compared AS (SELECT doc_id, sample_idx, text AS x, original AS y, regexp_extract_all(lower(text), '\\S+') AS a, regexp_extract_all(lower(original), '\\S+') AS b FROM samples JOIN originals USING (doc_id)),
+{", ".join(_grams_sql(n) for n in (1, 2, 3, 4))}, {_SUMS_SQL}, {_common_sql("compared", "regexp_extract_all(x, '\\S+')", "regexp_extract_all(y, '\\S+')")},
+tri AS (SELECT doc_id, sample_idx, g, count(*) FILTER (side = 'x') AS cx, count(*) FILTER (side = 'y') AS cy FROM ({_trigrams_sql("x")} UNION ALL {_trigrams_sql("y")}) GROUP BY doc_id, sample_idx, g),
+near AS (SELECT sum(cx * cy) / (sqrt(sum(cx * cx)) * sqrt(sum(cy * cy))) AS v FROM tri GROUP BY doc_id, sample_idx)
+SELECT {_BLEU} AS bleu, (SELECT round(avg({_F}), 6) FROM o1) AS rouge1, (SELECT round(avg({_F}), 6) FROM o2) AS rouge2, (SELECT round(avg(2 * CAST(n AS DOUBLE) / (la + lb)), 6) FROM met) AS rouge_l,
+  (SELECT round(avg(CAST(m AS DOUBLE) / na), 6) FROM o1) AS precision, (SELECT round(avg(CAST(m AS DOUBLE) / nb), 6) FROM o1) AS recall, (SELECT round(avg({_F}), 6) FROM o1) AS f1, (SELECT round(avg(v), 6) FROM near) AS cosine
+FROM lens, t1, t2, t3, t4"""
+)
 def evaluate_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _records(spark, sf_dir).select("original", F.explode("fakes").alias("text"))
     return metrics.similarity_row(rows, "text", "original")
