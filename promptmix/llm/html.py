@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, checkpointed, named, quantiles, slices, small_batches
+from .common import bounded_sample, named, quantiles, slices, small_batches
 
 #: Different pages looked at on either side.
 REACH = 2
@@ -306,7 +306,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """id, url, text and n_chars for each page.
 
     Pages are dealt by the order of (host, path, id) to buckets, so a host of any size is spread over many. A first
-    pass finds the outer groups of each bucket; each bucket is then given a page of each of the REACH groups that stand
+    pass, of marks alone, finds the outer groups of each bucket; each bucket is then given a page of each of the REACH groups that stand
     before and after it, over as many buckets as a group goes on, so the texts do not depend on the cuts. Cuts come
     from a bounded sample of keys."""
     spark = pages.sparkSession
@@ -329,45 +329,48 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             rows = []
             for i, (key, page) in enumerate(zip(piece.column(4).to_pylist(), piece.column(5).to_pylist(), strict=True)):
                 lines, explicit = lines_of(page)
-                packed = pa.compress("\n".join(lines).encode("utf-8", "surrogatepass"), codec="zstd", asbytes=True)
-                rows.append((bisect_right(encoded, key.encode()), explicit, len("\n".join(lines).encode("utf-8", "surrogatepass")), packed))
-            own = [pa.array([r[k] for r in rows], type=t) for k, t in ((0, pa.int32()), (1, pa.bool_()), (2, pa.int64()), (3, pa.binary()))]
+                raw = "\n".join(lines).encode("utf-8", "surrogatepass")
+                mark = sha256(f"{key.split(chr(1), 1)[0]}\0{explicit}\0".encode() + raw).digest()[:16]
+                rows.append((bisect_right(encoded, key.encode()), explicit, len(raw), pa.compress(raw, codec="zstd", asbytes=True), mark))
+            own = [pa.array([r[k] for r in rows], type=t) for k, t in enumerate((pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([piece.column(k) for k in (0, 1, 2, 3, 4)] + own, names=names)
 
     def ends(batches):
-        """A page of each of the first and of the last REACH + 1 groups of each bucket."""
-        held, now = [], None  # held: (number, mark, row)
+        """The first page of each of the first and of the last REACH + 1 groups of each bucket."""
+        held, now = [], None  # held: (number, mark, place of the page)
 
         def done():
-            rows = {x[0]: x for x in held[: REACH + 1] + held[-REACH - 1 :]}.values()
-            return [pa.RecordBatch.from_arrays([*x[2].columns, pa.array([x[0]], type=pa.int64()), pa.array([x[1]])], names=[*names, "number", "mark"]) for x in rows]
+            rows = list({x[0]: x for x in held[: REACH + 1] + held[-REACH - 1 :]}.values())
+            columns = [pa.array([now] * len(rows), type=pa.int32())] + [pa.array([r[k] for r in rows], type=t) for k, t in enumerate((pa.int64(), pa.binary(), pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, names=["bucket", "number", "mark", "at"])
 
         for batch in batches:
-            column = {n: batch.column(k).to_pylist() for k, n in enumerate(names) if n in ("host", "bucket", "explicit", "size", "packed")}
-            for i in range(batch.num_rows):
-                if column["bucket"][i] != now:
-                    yield from done()
-                    held, now = [], column["bucket"][i]
-                if not column["size"][i]:
-                    continue
-                mark = sha256(f"{column['host'][i]}\0{column['explicit'][i]}\0".encode() + column["packed"][i]).hexdigest()
-                if not held or held[-1][1] != mark:
-                    held.append((held[-1][0] + 1 if held else 0, mark, batch.slice(i, 1)))
+            for bucket, _, at, size, mark in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if bucket != now:
+                    yield done()
+                    held, now = [], bucket
+                if size and (not held or held[-1][1] != mark):
+                    held.append((held[-1][0] + 1 if held else 0, mark, at))
                     held[REACH + 1 : -REACH - 1] = []
-        yield from done()
+        yield done()
 
-    names = ["id", "url", "host", "path", "key", "bucket", "explicit", "size", "packed"]
-    kinds = f"id {id_type}, url string, host string, path string, key string, bucket int, explicit boolean, size bigint, packed binary"
+    names = ["id", "url", "host", "path", "key", "bucket", "explicit", "size", "packed", "mark"]
+    kinds = f"id {id_type}, url string, host string, path string, key string, bucket int, explicit boolean, size bigint, packed binary, mark binary"
     parsed = source.mapInArrow(parse, kinds)
     dealt = parsed.withColumn("place", F.lit(0))
     if cuts:
-        outer = checkpointed(parsed.repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "key", "packed").mapInArrow(ends, kinds + ", number bigint, mark string"))
-        guests = _guests([tuple(r) for r in outer.select("bucket", "number", "mark").collect()])
-        given = spark.createDataFrame(guests, "bucket int, number bigint, home int, place int")
-        given = outer.join(F.broadcast(given), ["bucket", "number"])
-        dealt = dealt.unionByName(given.select(*[F.col("home" if n == "bucket" else n).alias(n) for n in names], "place"))
+        # The first pass moves marks, not texts; the few pages at the ends are then looked up and parsed once more.
+        marks = parsed.select("bucket", "key", F.xxhash64("key").alias("at"), "size", "mark").repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "key", "mark")
+        outer = marks.mapInArrow(ends, "bucket int, number bigint, mark binary, at bigint").collect()
+        where = {(r["bucket"], r["number"]): (r["at"], r["mark"]) for r in outer}
+        guests = [(*where[bucket, number], home, place) for bucket, number, home, place in _guests([(r["bucket"], r["number"], bytes(r["mark"])) for r in outer])]
+        given = F.broadcast(spark.createDataFrame(guests, "__at bigint, __mark binary, home int, place int"))
+        ats = F.broadcast(spark.createDataFrame(sorted({(g[0],) for g in guests}), "__at bigint"))
+        found = source.join(ats, F.xxhash64(source["key"]) == ats["__at"], "left_semi").mapInArrow(parse, kinds)
+        found = found.join(given, (F.xxhash64("key") == F.col("__at")) & (F.col("mark") == F.col("__mark"))).dropDuplicates(["home", "place"])
+        dealt = dealt.unionByName(found.select(*[F.col("home" if n == "bucket" else n).alias(n) for n in names], "place"))
     # Guests are only there to be compared with.
-    dealt = dealt.repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "place", "key", "packed")
+    dealt = dealt.repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "place", "key", "mark")
 
     def pair(batches):
         ids, urls, texts = [], [], []
@@ -386,7 +389,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         pairing, now, held = Pairing(emit), None, None
         for batch in batches:
             held = batch.column(0).type
-            column = {n: batch.column(k).to_pylist() for k, n in enumerate(batch.schema.names) if n not in ("id", "key")}
+            column = {n: batch.column(k).to_pylist() for k, n in enumerate(batch.schema.names) if n not in ("id", "key", "mark")}
             for i in range(batch.num_rows):
                 if column["bucket"][i] != now:
                     pairing.finish()
