@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,6 +134,28 @@ def by_row(function, returns: str):
     return call
 
 
+def texts_of(array: pa.Array) -> list:
+    """The texts of an array, by way of numpy, which takes a fraction of the time of to_pylist."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
+def lists_of(array: pa.Array, values=texts_of) -> list:
+    """The lists of an array; null for null."""
+    sizes = pc.fill_null(pc.list_value_length(array), 0).to_numpy(zero_copy_only=False)
+    flat, ends = values(array.flatten()), np.concatenate([[0], np.cumsum(sizes)]).tolist()
+    found = [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    if array.null_count:
+        found = [x if ok else None for x, ok in zip(found, array.is_valid().to_pylist(), strict=True)]
+    return found
+
+
+def list_array(rows: list, values=lambda flat: pa.array(flat, pa.string())) -> pa.Array:
+    """The inverse of `lists_of`."""
+    ends = np.concatenate([[0], np.cumsum([len(x) if x is not None else 0 for x in rows])]).astype(np.int32)
+    flat = values([w for x in rows if x is not None for w in x])
+    return pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([x is None for x in rows], pa.bool_()))
+
+
 def kept_as(real: Column, fakes: Column) -> Column:
     """Candidates without signs where the real word has none, and without repeats that this makes (the first wins)."""
     return F.array_distinct(F.transform(fakes, lambda f: strip_special_if_plain(f, real)))

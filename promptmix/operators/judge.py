@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.held import held
+from ..sources.shared import written
 from .sampling import draw
 
 # Phrases of a judge that does not decide, and numerals of an answer in words.
@@ -179,8 +180,8 @@ def mix_by_size(results: DataFrame) -> DataFrame:
 
 def counters(records: DataFrame, least_fakes: int, limit: int, id_col: str = "doc_id") -> DataFrame:
     """loaded, processed, valid, skipped: records are processed in order of id until `limit` valid ones are found."""
-    # Two passes over ids and flags; the texts are not carried along.
-    flagged = records.select(id_col, F.coalesce((F.trim("original") != "") & (F.size("fakes") >= least_fakes), F.lit(False)).alias("ok"))
+    # The texts are made once; both passes are over ids and flags.
+    flagged = written(records.select(id_col, F.coalesce((F.trim("original") != "") & (F.size("fakes") >= least_fakes), F.lit(False)).alias("ok")))
     last = flagged.where("ok").orderBy(id_col).limit(limit).agg(F.max(id_col).alias("last"), F.count("*").alias("valid"))
     met = flagged.crossJoin(F.broadcast(last))  # one row
     done = F.when((F.col("valid") < limit) | (F.col(id_col) <= F.col("last")), 1)

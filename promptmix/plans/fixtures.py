@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.digits import shifted_lists
 from ..functions.held import held
-from ..functions.rules import shifted_digits
 from ..operators.spans import parsed
 
 VARIANTS = 5
@@ -39,9 +39,8 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_fakes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ner, fakes: for every span VARIANTS candidates of other digits; a repeated word has the same ones."""
-    key = lambda w: F.concat_ws("|", F.col("doc_id").cast("string"), w)
-    lists = F.transform(parsed(F.col("ner")), lambda s: F.transform(F.sequence(F.lit(0), F.lit(VARIANTS - 1)), lambda j: shifted_digits(s["word"], key(s["word"]), j)))
-    return held(prompts(spark, sf_dir), fakes=lists)
+    rows = held(prompts(spark, sf_dir), words=F.transform(parsed(F.col("ner")), lambda s: s["word"]))
+    return rows.select("doc_id", "ner", shifted_lists(F.col("words"), F.col("doc_id"), VARIANTS).alias("fakes"))
 
 
 PATTERN = r"<redacted>\s*([^(]+?)\s*\(([^)]+)\)\s*</redacted>"
