@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import by_row, cased_like, cased_word_by_word, kept_as, looks_like_email
+from ..functions.text import by_row, cased_like, cased_word_by_word, list_array, lists_of, looks_like_email, texts_of
 
 LETTERS = re.compile("[A-Za-z]+")
+#: White space and signs as Spark's patterns have them.
+SPECIAL, SPACES = re.compile(r"[^A-Za-z0-9 \t\n\x0b\f\r]"), re.compile(r"[ \t\n\x0b\f\r]+")
 
 
 def root_of(word: str) -> str:
@@ -73,24 +78,59 @@ def dressed(word: str, kind: str, fake: str) -> str:
 
 
 def soft_chain(spans, pools) -> list[list[str]]:
+    """Candidate lists of a document's spans, which have a word and a type, see `soft_lists`."""
+    return soft_lists([s["word"] for s in spans], [s["type"] for s in spans], pools)
+
+
+def soft_lists(words: list[str], types: list[str], pools) -> list[list[str]]:
     """Candidate lists of a document's spans in order. A repeated (word, type) takes the list it had; else a word whose
     root holds, or is held by, an earlier root (both of three letters or more; the first such) takes that list, adapted;
     else its own. Rules come before the soft step's result, as they override it."""
     hard: dict[tuple[str, str], list[str]] = {}
     roots: dict[str, list[str]] = {}
     out = []
-    for span, own in zip(spans, pools, strict=True):
-        key, root = (span["word"], span["type"]), root_of(span["word"])
+    for word, kind, own in zip(words, types, pools, strict=True):
+        key = (word, kind)
         if key not in hard:
-            ruled = rules.candidates(span["word"], span["type"], max(1, len(own)), "soft")
-            met = next((r for r in roots if len(r) >= 3 and len(root) >= 3 and (r in root or root in r)), None)
-            hard[key] = ruled or ([adapt(span["word"], root, f, met) for f in roots[met]] if met else [dressed(span["word"], span["type"], f) for f in own])
+            root = root_of(word)
+            ruled = known_rules(word, kind, max(1, len(own)))
+            if ruled:
+                hard[key] = ruled
+            else:
+                met = next((r for r in roots if len(r) >= 3 and len(root) >= 3 and (r in root or root in r)), None)
+                hard[key] = [adapt(word, root, f, met) for f in roots[met]] if met else [dressed(word, kind, f) for f in own]
             roots.setdefault(root, hard[key])
         out.append(hard[key])
     return out
 
 
-soft_mapped = by_row(soft_chain, "array<array<string>>")
+@functools.lru_cache(1 << 14)
+def _rules(word: str, kind: str, k: int) -> tuple[str, ...]:
+    return tuple(rules.candidates(word, kind, k, "soft"))
+
+
+def known_rules(word: str, kind: str, k: int) -> list[str]:
+    """Rule candidates, which depend on nothing but the word; those of repeated words are remembered."""
+    return list(_rules(word, kind, k))
+
+
+def _chained(spans: Column, pools: Column, whole) -> Column:
+    """Lists of a row's spans, by a function of their words, types and pools."""
+
+    @F.arrow_udf("array<array<string>>")
+    def run(found: pa.Array, lists: pa.Array) -> pa.Array:
+        part = lambda name: lists_of(found, lambda flat: texts_of(pc.struct_field(flat, name)))
+        rows = zip(part("word"), part("type"), lists_of(lists, lists_of), strict=True)
+        return list_array([None if words is None or own is None else whole(words, types, own) for words, types, own in rows], list_array)
+
+    return run(spans, pools)
+
+
+def soft_mapped(spans: Column, pools: Column) -> Column:
+    """See `soft_lists`; spans of a row are structs of word and type."""
+    return _chained(spans, pools, soft_lists)
+
+
 rewritten_email = by_row(rewrite_email, "string")
 
 
@@ -123,11 +163,29 @@ def completed(spans: Column, pools: Column, target: int) -> Column:
     a list, rules override, words that share a root adapt one another's; then signs go where the word has none, repeats and
     the word itself go, and what is left is filled up in turn."""
 
-    def whole(s: Column, fakes: Column) -> Column:
-        plain = kept_as(s["word"], fakes)
-        return finished(plain, s["word"], F.array_repeat(F.lit(1.0), F.size(plain)), target)
+    return _chained(spans, pools, lambda words, types, own: whole_lists(words, types, own, target))
+
 
-    return F.zip_with(spans, soft_mapped(spans, pools), whole)
+def plain_as(real: str, fakes: list[str]) -> list[str]:
+    """`kept_as` for one word."""
+    if SPECIAL.search(real):
+        return list(dict.fromkeys(fakes))
+    bare = lambda f: SPACES.sub(" ", SPECIAL.sub("", f)).strip(" ") or f
+    return list(dict.fromkeys([bare(f) if SPECIAL.search(f) else f for f in fakes]))
+
+
+def whole_lists(words: list[str], types: list[str], pools, target: int) -> list[list[str]]:
+    """`completed` for one document."""
+    done: dict[tuple[str, str], list[str]] = {}
+    out = []
+    for word, kind, fakes in zip(words, types, soft_lists(words, types, pools), strict=True):
+        key = (word, kind)
+        if key not in done:
+            low = word.lower()
+            left = [w for w in plain_as(word, fakes) if w.lower() != low] or [word]
+            done[key] = (left * (target // len(left) + 1))[:target]
+        out.append(done[key])
+    return out
 
 
 def merged_paths(of_paths: Column, target: int) -> Column:
