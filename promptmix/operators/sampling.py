@@ -128,7 +128,9 @@ def beam_step(paths: DataFrame, lm: DataFrame, gamma: int, intervals: float, see
 
     word: the real word of this step. Only words of the band come out of the join."""
     p = lm.select(F.col("prev").alias("__last"), F.col("next").alias("candidate"), "p")
-    band = (F.col("last") == F.col("__last")) & (F.col("p") >= F.col("q") * (1 - 1 / intervals)) & (F.col("p") <= F.col("q") * (1 + 1 / intervals)) & in_relative_band(F.col("p"), F.col("q"), intervals)
+    # The range, for the join, is a little wider than the band: its products round otherwise than the ratio that decides.
+    low, high = (1 - 1 / intervals) * (1 - 1e-9), (1 + 1 / intervals) * (1 + 1e-9)
+    band = (F.col("last") == F.col("__last")) & (F.col("p") >= F.col("q") * low) & (F.col("p") <= F.col("q") * high) & in_relative_band(F.col("p"), F.col("q"), intervals)
     met = paths.join(p, band, "left")
     every = met.select("id", F.concat(F.col("path"), F.array(F.coalesce("candidate", "word"))).alias("path"), F.coalesce("candidate", "word").alias("last"), F.when(F.col("candidate").isNull(), F.col("weight")).otherwise(F.col("weight") * F.col("p") / F.col("q")).alias("weight"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(draw(f"{seed}:{step}", F.col("id"), F.array_join("path", " ")), F.array_join("path", " ")))

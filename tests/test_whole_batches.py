@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from promptmix.functions import digits, rules
-from promptmix.operators import assemble, judge, metrics, overlaps, spans
+from promptmix.operators import assemble, judge, metrics, overlaps, sampling, spans
 
 WORDS = ["a", "b", "The", "the", "cat", "x-1", "$3,4.", "é", "Q?", "  ", "\t", "y\ng", "Customer#000001"]
 
@@ -69,3 +69,11 @@ def test_counters_make_the_records_once(spark):
     records = spark.range(50).select(F.col("id").alias("doc_id"), text("id").alias("original"), F.array(F.lit("f")).alias("fakes"))
     row = judge.counters(records, 1, 10).first()
     assert (row.loaded, row.processed, row.valid, row.skipped) == (50, 10, 10, 0) and made.value == 50
+
+
+def test_beams_keep_candidates_at_the_edge_of_the_band(spark):
+    # Ratios of counts that are 1.5 as a ratio, though q * 1.5 is less than p.
+    edge = next((c / t, d / u) for t in range(1, 60) for u in range(1, 60) for c in range(1, t) for d in range(1, u) if abs(c / t / (d / u) - 1) <= 0.5 and c / t > d / u * 1.5)
+    lm = spark.createDataFrame([("a", "b", edge[1]), ("a", "x", edge[0])], "prev string, next string, p double")
+    texts = spark.createDataFrame([(1, ["a", "b"])], "id int, w array<string>")
+    assert sorted(tuple(r.path) for r in sampling.beams(texts, lm, 9, 2).collect()) == [("a", "b"), ("a", "x")]
