@@ -36,7 +36,7 @@ def evaluate(made: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id, samples, mean ROUGE-1 and ROUGE-L of the samples against the original."""
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"\S+"), F.lit(0))
     made = held(made, a=words("text"), b=words("original_text"))
-    each = made.select(id_col, metrics.overlap_f(F.col("a"), F.col("b")).alias("r1"), metrics.rouge_l(F.lower("text"), F.lower("original_text")).alias("rl"))
+    each = made.select(id_col, F.coalesce(metrics.long_overlap_f(F.col("a"), F.col("b")), F.lit(0.0)).alias("r1"), metrics.rouge_l(F.lower("text"), F.lower("original_text")).alias("rl"))
     return each.groupBy(id_col).agg(F.count("*").alias("samples"), F.round(F.avg("r1"), 6).alias("rouge1"), F.round(F.avg("rl"), 6).alias("rouge_l"))
 
 

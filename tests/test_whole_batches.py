@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from promptmix.functions import digits, rules
 from promptmix.operators import assemble, judge, metrics, overlaps, sampling, spans
+from promptmix.plans import pipeline
 
 WORDS = ["a", "b", "The", "the", "cat", "x-1", "$3,4.", "é", "Q?", "  ", "\t", "y\ng", "Customer#000001"]
 
@@ -71,6 +72,14 @@ def test_counters_make_the_records_once(spark):
     assert (row.loaded, row.processed, row.valid, row.skipped) == (50, 10, 10, 0) and made.value == 50
 
 
+def test_long_texts_meet_without_a_fold(spark):
+    rows = [(1, "a b a " * 2000, "b a a c " * 1500), (2, "", "x"), (3, None, "x")]
+    made = pipeline.evaluate(spark.createDataFrame(rows, "doc_id int, text string, original_text string"))
+    assert "lambdafunction" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.doc_id: r.rouge1 for r in made.collect()}
+    assert got == {1: pytest.approx(2 * 4500 / 12000, abs=1e-6), 2: 0.0, 3: 0.0}
+
+
 def test_beams_keep_candidates_at_the_edge_of_the_band(spark):
     # Ratios of counts that are 1.5 as a ratio, though q * 1.5 is less than p.
     edge = next((c / t, d / u) for t in range(1, 60) for u in range(1, 60) for c in range(1, t) for d in range(1, u) if abs(c / t / (d / u) - 1) <= 0.5 and c / t > d / u * 1.5)
