@@ -83,6 +83,12 @@ def bounded_sample(df: DataFrame, key: str, bound: int, seed: int = 7) -> DataFr
 shared_folder, checkpointed = shared.shared_folder, shared.written
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files that no table needs any more. It does so when the driver's JVM finds them
+    unreferenced, for which a driver with little to do may not look for half an hour."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def least_of_top(counts: DataFrame, bound: int) -> int | None:
     """The least n such that no more than `bound` rows of counts have it or more; None if the top n alone has more.
 

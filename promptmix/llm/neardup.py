@@ -7,7 +7,7 @@ a hash of the path alone, and a record goes on to one child for each, named by t
 The expected number of children is 1 / 0.8, so two records at the threshold share one child on average, and
 dissimilar ones soon part; below the first levels, which only large buckets reach, it is BELOW. Buckets small enough are compared by brute force; larger ones are split on, and what is
 still large at the last depth is compared in pairs of blocks, so no task holds more than two blocks, whose records and
-bytes are bounded (BUCKET, BLOCK_RUNS). Independent
+bytes are bounded (BUCKET, BLOCK_RUNS). Buckets of mostly the same records are joined first. Independent
 runs are repeated until the target recall for pairs at the threshold, averaged over how many of the signature places
 that all runs draw from agree.
 
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, named, packed, slices, small_batches, unpacked, words_of
+from .common import checkpointed, named, packed, released, slices, small_batches, unpacked, words_of
 
 WORDS = 5
 #: Similarity at which documents are linked, as a fraction.
@@ -44,6 +44,8 @@ TARGET_RECALL = 0.998
 BUCKET = 1_000
 #: Runs of words of all records of a block, in expectation: a bucket of long texts has more blocks.
 BLOCK_RUNS = 4_000_000
+#: Share of a bucket's records from which it may join the bucket that is the largest for them.
+ALIKE = 1 / 3
 #: Signature agreement from which a pair is looked at; 0.8 is 4.4 standard deviations above it.
 # (0.58 of 64 places are 37.1, so 38 must agree; at a similarity of 0.8 fewer do with a probability of 4.3e-5.)
 LIKELY = 0.58
@@ -199,7 +201,12 @@ def _paths(sets: DataFrame, runs: int) -> DataFrame:
             n = batch.num_rows
             signature = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(n, PLACES)
             row, path = descend(np.repeat(start, n), np.tile(signature, (runs, 1)), 0, FIRST_DEPTH)
-            held = pa.array(row % n)
+            # Each path of a record once; all of them are here.
+            order = np.lexsort((path, row % n))
+            record, path = (row % n)[order], path[order]
+            new = np.append(True, (record[1:] != record[:-1]) | (path[1:] != path[:-1]))
+            record, path = record[new], path[new]
+            held = pa.array(record)
             yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column(0).take(held), batch.column(2).take(held)], names=["path", "key", "n"])
 
     return sets.select("key", "signature", "n").mapInArrow(run, "path bigint, key binary, n bigint")
@@ -219,22 +226,51 @@ def _deeper(rows: DataFrame, sets: DataFrame, depth: int) -> DataFrame:
     return rows.select("path", "key", "n").join(sets.select("key", "signature"), "key").select("path", "key", "signature", "n").mapInArrow(run, "path bigint, key binary, n bigint")
 
 
+def _blocks():
+    """Blocks of a bucket of `size` records with `runs` runs of words."""
+    return F.least(F.col("size"), F.greatest(F.ceil(F.col("size") / BUCKET), F.ceil(F.col("runs") / BLOCK_RUNS))).cast("int").alias("blocks")
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """path, key and blocks of the buckets to compare (rows: path, key, n, size and blocks of the bucket).
+
+    Near copies meet in many buckets, and each would be sent to the pairs of blocks of all of them. So a bucket joins the
+    one that is the largest for the most of its records (ALIKE of them at least), if what comes of it sends no more rows
+    to pairs of blocks. Records of one bucket stay together either way."""
+    largest = rows.groupBy("key").agg(F.max(F.struct("size", "path")).alias("most")).select("key", F.col("most.path").alias("into"))
+    shared = rows.join(largest, "key").groupBy("path", "into").agg(F.count("*").alias("shared"), F.first("size").alias("size"), F.first("blocks").alias("blocks"))
+    most = F.max(F.struct("shared", "into")).alias("most")
+    into = F.when(F.col("most.shared") >= F.col("size") * ALIKE, F.col("most.into")).otherwise(F.col("path")).alias("into")
+    into = checkpointed(shared.groupBy("path").agg(most, F.first("size").alias("size"), F.first("blocks").alias("blocks")).select("path", into, "size", "blocks"))
+    before = into.groupBy("into").agg(F.sum(F.col("size") * F.col("blocks")).alias("before"), F.count("*").alias("buckets")).where("buckets > 1")
+    joined = into.select("path", "into").join(before, "into").select("path", "into", "before")
+    moved = checkpointed(rows.select("path", "key", "n").join(joined, "path").groupBy("into", "key").agg(F.max("n").alias("n"), F.max("before").alias("before")))
+    after = moved.groupBy("into").agg(F.count("*").alias("size"), F.sum("n").alias("runs"), F.max("before").alias("before")).select("into", "size", _blocks(), "before")
+    better = checkpointed(after.where("size * blocks <= before").select("into", "blocks"))
+    # A path of its own, as the bucket that gives its name may itself have joined another.
+    one = moved.join(better, "into").select(F.xxhash64(F.lit("joined"), "into").alias("path"), "key", "blocks")
+    apart = into.join(better, "into", "left_anti").select("path")
+    return one.unionByName(rows.join(apart, "path").select("path", "key", "blocks"))
+
+
 def _buckets(sets: DataFrame, runs: int) -> DataFrame:
     """path, key and blocks: the buckets to compare. Buckets over BUCKET records or BLOCK_RUNS runs of words at the last
-    depth have blocks > 1."""
+    depth, or of joined buckets, have blocks > 1."""
     rows, depth, done = _paths(sets, runs), FIRST_DEPTH, None
-    blocks = F.least(F.col("size"), F.greatest(F.ceil(F.col("size") / BUCKET), F.ceil(F.col("runs") / BLOCK_RUNS))).cast("int").alias("blocks")
     while True:
-        rows = checkpointed(rows.distinct())
+        rows = checkpointed(rows if depth == FIRST_DEPTH else rows.distinct())
+        released(sets.sparkSession)
         # One row for each path comes from each task; buckets of one record end here.
-        sizes = checkpointed(rows.groupBy("path").agg(F.count("*").alias("size"), F.sum("n").alias("runs")).where("size > 1").select("path", blocks))
+        sizes = checkpointed(rows.groupBy("path").agg(F.count("*").alias("size"), F.sum("n").alias("runs")).where("size > 1").select("path", "size", _blocks()))
         large = sizes.where("blocks > 1")
         last = depth >= LAST_DEPTH or large.isEmpty()
         ready = sizes if last else sizes.where("blocks = 1")
-        part = rows.join(ready, "path").select("path", "key", "blocks")
+        part = rows.join(ready, "path").select("path", "key", "n", "size", "blocks")
         done = part if done is None else done.unionByName(part)
         if last:
-            return done
+            done = checkpointed(done)
+            released(sets.sparkSession)
+            return _merged(done)
         rows = _deeper(rows.join(large.select("path"), "path"), sets, depth)
         depth += DEPTH_STEP
 
@@ -367,6 +403,7 @@ def components(edges: DataFrame, a: str = "key", b: str = "root") -> DataFrame:
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
         now = checkpointed(small.where("u <> v").distinct())
+        released(edges.sparkSession)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_recall: float = TARGET_RECALL) -> DataFrame:
@@ -378,6 +415,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target
     sets = checkpointed(records.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("id", "text_hash")).alias("first"), F.max("n").alias("n"), F.max("signature").alias("signature")))
     worded = sets.where("n > 0")
     buckets = checkpointed(_buckets(worded, runs_needed(target_recall)))
+    released(docs.sparkSession)
     # The final paths of each record: a bounded list.
     paths = buckets.groupBy("key").agg(F.collect_list("path").alias("paths"))
     block = F.pmod(F.xxhash64("key", "path"), F.col("blocks")).cast("int")
@@ -386,11 +424,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target
     placed = spread.join(worded.select("key", "signature", "n"), "key").join(paths, "key").select("path", "low", "high", "key", "block", "signature", "n", "paths")
     at = ["path", "low", "high"]
     likely = checkpointed(_candidates(placed.repartition(*at).sortWithinPartitions(*at)))
+    released(docs.sparkSession)
     wanted = likely.select("key").distinct().join(sets.select("key", "copies", "first.id", "first.text_hash"), "key")
     wanted = checkpointed(wanted)
     shingled = _sets_of(docs, wanted, id_col, text_col)
     ready = likely.join(shingled, "key").join(wanted.select("key", "copies"), "key").select("path", "low", "high", "key", "block", "signature", "n", "paths", "shingles", "copies")
     linked = checkpointed(_exact(ready.repartition(*at).sortWithinPartitions(*at)))
+    released(docs.sparkSession)
     links = linked.groupBy("key").agg(F.sum("links").alias("links"))
     least = components(linked).withColumnRenamed("node", "key")
     named = sets.select("key", "copies", "first").join(least, "key", "left").join(links, "key", "left").withColumn("least", F.coalesce("least", "key"))

@@ -181,6 +181,18 @@ def test_large_buckets_meet_in_blocks(spark, monkeypatch, bound, value):
     assert sum(g.n_links for g in got.values()) >= 0.99 * sum(w[1] for w in want)
 
 
+def test_near_copies_share_few_buckets(spark, monkeypatch):
+    """The rows sent to pairs of blocks: about those of one bucket, not of every path that near copies share."""
+    monkeypatch.setattr(neardup, "BUCKET", 15)
+    rng = random.Random(5)
+    texts = variants(rng, [f"w{i}" for i in range(120)], 70)
+    records = neardup._records(documents(spark, texts), "doc_id", "text").dropDuplicates(["key"]).select("key", "n", "signature")
+    found = neardup._buckets(records, neardup.runs_needed())
+    rows, keys, placed = found.select(F.sum("blocks"), F.countDistinct("key"), F.count("*") - F.countDistinct("path", "key")).first()
+    assert keys == records.count() and placed == 0
+    assert rows <= 3 * keys * -(-keys // 15)
+
+
 def test_one_of_each_class_stays(spark):
     base = [f"w{i}" for i in range(60)]
     texts = [" ".join(base), "other text of its own words", " ".join(base[:-1]), " ".join(base), None, None, "", ""]
