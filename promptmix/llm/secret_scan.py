@@ -24,6 +24,8 @@ one by one; everything is row-local, so there is no shuffle and no skew. Columns
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,13 +132,22 @@ def _tested(tokens: Column) -> Column:
     return plain
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once a row: as the element of an array it is a variable, and no lambda inside
+    computes it again for each of its elements."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _discovered(tests: Column) -> Column:
     """The tests that pass: Benjamini-Hochberg over length-weighted p-values, and random by the battery."""
-    total = F.aggregate(tests, F.lit(0.0), lambda a, x: a + x["n"])
+    return _once(tests, lambda t: _once(F.aggregate(t, F.lit(0.0), lambda a, x: a + x["n"]), lambda total: _passed(t, total)))
+
+
+def _passed(tests: Column, total: Column) -> Column:
     m = F.size(tests)
     weighted = F.array_sort(F.transform(tests, lambda x: x["p_text"] * total / (x["n"] * m)))
     cut = F.coalesce(F.array_max(F.filter(F.transform(weighted, lambda q, i: F.when(q <= FALSE_DISCOVERY * (i + 1) / m, q)), lambda q: q.isNotNull())), F.lit(-1.0))
-    return F.filter(tests, lambda x: (x["p_text"] * total / (x["n"] * m) <= cut) & (x["p_random"] >= BATTERY_LEVEL))
+    return _once(cut, lambda c: F.filter(tests, lambda x: (x["p_text"] * total / (x["n"] * m) <= c) & (x["p_random"] >= BATTERY_LEVEL)))
 
 
 def annotate(docs: DataFrame, text_col: str = "text", min_length: int = MIN_LENGTH) -> DataFrame:

@@ -466,3 +466,14 @@ def test_tree_grows_with_the_text_and_equals_one_grown_whole(spark):
 def test_fold_is_crc32(spark):
     rows = queries.op10_lm_scoring(spark, DIR).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2) for r in rows) and len(rows) == 200
+
+
+def test_many_random_tokens_are_tested_once_each(spark):
+    """Time in proportion to the tokens of a text: its tests stand once in the plan, not in lambdas over themselves."""
+    rng = random.Random(3)
+    tokens = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=28)) for _ in range(1000)]
+    docs = spark.createDataFrame([(1, " ".join(tokens))], "doc_id long, text string")
+    found = secret_scan.annotate(docs).select("spans")
+    assert found._jdf.queryExecution().optimizedPlan().toString().upper().count("SIGNUM(") == 1
+    spans = found.first().spans
+    assert len(spans) > 800 and {s.start % 29 for s in spans} == {0} and {s.end - s.start for s in spans} == {28}
