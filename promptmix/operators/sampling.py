@@ -4,12 +4,19 @@ Random choices are ranks of md5(seed, key): they do not depend on partitions, an
 
 from __future__ import annotations
 
+import bisect
+import hashlib
+import uuid
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..sources.shared import written
+from ..functions.held import held
+from ..sources.shared import shared_folder, written
 
 
 def draw(seed, *key: Column) -> Column:
@@ -29,8 +36,9 @@ def bigrams(df: DataFrame, text_col: str = "text") -> DataFrame:
     """prev, next, c, p over all texts, words being lower-cased and cut at white space. The totals come from an
     aggregate of the counted pairs; where a word has very many successors, Spark splits the rows of its join."""
     words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"\S+"), F.lit(0))
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("prev"), b.alias("next")))
-    counted = df.select(F.explode(pairs).alias("x")).groupBy("x.prev", "x.next").agg(F.count("*").alias("c"))
+    behind = F.greatest(F.size("w") - 1, F.lit(0))
+    pairs = F.arrays_zip(F.slice("w", F.lit(1), behind).alias("prev"), F.slice("w", F.lit(2), behind).alias("next"))
+    counted = held(df.select(text_col), w=words).select(F.explode(pairs).alias("x")).groupBy("x.prev", "x.next").agg(F.count("*").alias("c"))
     totals = counted.groupBy("prev").agg(F.sum("c").alias("t"))
     return counted.join(totals, "prev").select("prev", "next", "c", (F.col("c") / F.col("t")).alias("p"))
 
@@ -121,20 +129,116 @@ def without_nearest(neighbours: DataFrame, ratio: float, id_col: str = "vec_id")
 # Beam sampling.
 
 
-def beam_step(paths: DataFrame, lm: DataFrame, gamma: int, intervals: float, seed: int, step: int) -> DataFrame:
-    """One word further: paths (id, path, last, weight, word, q) take candidates whose probability after `last` is in the
-    band about q, that of the real word after its own predecessor, weighted by their ratio; a path without any takes the
-    real word. At most gamma paths a text are kept, drawn by hash.
-
-    word: the real word of this step. Only words of the band come out of the join."""
-    p = lm.select(F.col("prev").alias("__last"), F.col("next").alias("candidate"), "p")
+#: Words at most, in expectation, in a row of the laid-out model; bytes of paths at most that every task is given at once.
+LIST_WORDS, SENT_BYTES = 256, 32_000_000
+#: Lists whose words a task holds as Python objects at once.
+BATCH_LISTS = 500
+#: Paths of whole texts that one task chooses among, in expectation.
+TASK_PATHS = 20_000
+
+
+def laid_out(lm: DataFrame) -> DataFrame:
+    """prev, p, nexts: the model with words of the same probability in lists, written once to the shared folder. A band then
+    takes or leaves lists, not words; long ones are cut by hash and lie in different tasks, so no word's successors share one."""
+    lists = F.greatest(F.lit(1), F.coalesce(F.ceil(F.try_divide(F.lit(1.0), F.col("p") * LIST_WORDS)), F.lit(1))).cast("long")
+    rows = lm.select("prev", "next", F.col("p").cast("double").alias("p")).withColumn("part", F.pmod(F.xxhash64("next"), lists))
+    folder = f"{shared_folder(lm.sparkSession)}/model-{uuid.uuid4().hex}"
+    rows.repartition("prev", "p", "part").groupBy("prev", "p", "part").agg(F.collect_list("next").alias("nexts")).drop("part").write.parquet(folder)
+    return lm.sparkSession.read.parquet(folder)
+
+
+def _drawn(key, start, word: bytes) -> bytes:
+    """The hash that a path is drawn by; without an id there is none, as in SQL, and paths come in their own order."""
+    if key is None:
+        return b""
+    start = start.copy()
+    start.update(word)
+    return start.digest()
+
+
+def _best_of(gamma: int):
+    """Of batches (key, n, head, p, nexts), for each key the gamma paths drawn first, as (key, n, next, p, digest), and a row
+    without a word for each other path that has candidates."""
+
+    def run(batches):
+        best: dict = {}
+        seen = set()
+        for batch in (b.slice(i, BATCH_LISTS) for b in batches for i in range(0, b.num_rows, BATCH_LISTS)):
+            keys, numbers, ps = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            heads = batch.column(2).cast(pa.binary()).to_pylist()
+            lists = batch.column(4)
+            words, at = lists.flatten().cast(pa.binary()).to_pylist(), 0
+            for key, n, head, p, size in zip(keys, numbers, heads, ps, lists.value_lengths().to_pylist(), strict=True):
+                seen.add((key, n))
+                kept, start = best.setdefault(key, []), hashlib.md5(head)
+                for word in words[at : at + size]:
+                    digest = _drawn(key, start, word)
+                    if len(kept) < gamma or digest <= kept[-1][0]:
+                        bisect.insort(kept, (digest, head + word, n, word, p))
+                        del kept[gamma:]
+                at += size
+        rows = [(key, n, word.decode(), p, digest) for key, kept in best.items() for digest, _, n, word, p in kept]
+        rows += [(key, n, None, None, None) for key, n in seen - {(key, n) for key, n, *_ in rows}]
+        if rows:
+            types = (pa.string(), pa.int64(), pa.string(), pa.float64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], names=["key", "n", "next", "p", "digest"])
+
+    return run
+
+
+def _chosen(gamma: int):
+    """Of all paths of whole keys, and of what _best_of found for them, the gamma that are drawn first. A path for which
+    nothing was found takes its real word."""
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        names = ("key", "n", "next", "p", "digest", "q", "weight")
+        cols = {c: table.column(c).to_pylist() for c in names} | {c: table.column(c).cast(pa.binary()).to_pylist() for c in ("head", "word")}
+        paths = {(cols["key"][i], cols["n"][i]): i for i, head in enumerate(cols["head"]) if head is not None}
+        met: dict = {}
+        with_any = set()
+        for i, head in enumerate(cols["head"]):
+            if head is None:
+                at = paths[cols["key"][i], cols["n"][i]]
+                with_any.add(at)
+                if cols["next"][i] is not None:
+                    entry = cols["digest"][i], cols["head"][at] + cols["next"][i].encode(), at, cols["next"][i], cols["weight"][at] * cols["p"][i] / cols["q"][at]
+                    met.setdefault(cols["key"][i], []).append(entry)
+        for (key, _), at in paths.items():
+            if at not in with_any:
+                head, word = cols["head"][at], cols["word"][at]
+                met.setdefault(key, []).append((_drawn(key, hashlib.md5(head), word), head + word, at, word.decode(), cols["weight"][at]))
+        kept = [(at, n, word, weight) for every in met.values() for n, (_, _, at, word, weight) in enumerate(sorted(every)[:gamma])]
+        at, n, word, weight = zip(*kept, strict=True)
+        row = pa.concat_arrays(table.column("row").chunks)
+        yield pa.RecordBatch.from_arrays([row.take(pa.array(at)), pa.array(n, pa.int64()), pa.array(word, pa.string()), pa.array(weight, pa.float64())], names=["row", "n", "next", "weight"])
+
+    return run
+
+
+def beam_step(paths: DataFrame, model: DataFrame, gamma: int, intervals: float, seed: int, small: bool, tasks: int) -> DataFrame:
+    """One word further: paths (id, w, qs, path, last, weight, n, k, word, q) take candidates whose probability after `last` is in
+    the band about q, that of the real word after its own predecessor, weighted by their ratio; a path without any takes the
+    real word. At most gamma paths an id are kept, drawn by hash.
+
+    word: the real word of this step, k: its number, a column so that the code made for one step serves them all. n: tells the
+    paths of an id apart. The lists of the model are met where they lie, if the
+    paths are few enough to be sent there (small), and each task passes on its gamma best of an id only."""
+    head = F.concat(F.concat_ws(":", F.lit(str(seed)), F.col("k").cast("string"), F.col("id").cast("string"), F.array_join("path", " ")), F.lit(" "))
+    now = paths.select(F.col("id").cast("string").alias("key"), "n", "last", "word", "q", "weight", head.alias("head"), F.struct("id", "w", "qs", "path", "k").alias("row"))
+    asked = now.where("q is not null").select("key", "n", "last", "q", "head")
     # The range, for the join, is a little wider than the band: its products round otherwise than the ratio that decides.
     low, high = (1 - 1 / intervals) * (1 - 1e-9), (1 + 1 / intervals) * (1 + 1e-9)
-    band = (F.col("last") == F.col("__last")) & (F.col("p") >= F.col("q") * low) & (F.col("p") <= F.col("q") * high) & in_relative_band(F.col("p"), F.col("q"), intervals)
-    met = paths.join(p, band, "left")
-    every = met.select("id", F.concat(F.col("path"), F.array(F.coalesce("candidate", "word"))).alias("path"), F.coalesce("candidate", "word").alias("last"), F.when(F.col("candidate").isNull(), F.col("weight")).otherwise(F.col("weight") * F.col("p") / F.col("q")).alias("weight"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(draw(f"{seed}:{step}", F.col("id"), F.array_join("path", " ")), F.array_join("path", " ")))
-    return every.withColumn("__r", rank).where(F.col("__r") <= gamma).drop("__r")
+    band = (F.col("last") == F.col("prev")) & (F.col("p") >= F.col("q") * low) & (F.col("p") <= F.col("q") * high) & in_relative_band(F.col("p"), F.col("q"), intervals)
+    lists = model.join(F.broadcast(asked) if small else asked, band).select("key", "n", "head", "p", "nexts")
+    found = lists.mapInArrow(_best_of(gamma), "key string, n long, next string, p double, digest binary")
+    every = now.unionByName(found, allowMissingColumns=True).repartition(tasks, "key")
+    schema = T.StructType([now.schema["row"], *T.StructType.fromDDL("n long, next string, weight double").fields])
+    taken = every.mapInArrow(_chosen(gamma), schema)
+    return taken.select("row.id", "row.w", "row.qs", F.concat("row.path", F.array("next")).alias("path"), F.col("next").alias("last"), "weight", "n", (F.col("row.k") + 1).alias("k"))
 
 
 def beams(texts: DataFrame, lm: DataFrame, gamma: int, intervals: float, seed: int = 42, stops: tuple[str, ...] = (), reference_first: bool = False, pad: bool = False, prefixes: DataFrame | None = None) -> DataFrame:
@@ -144,26 +248,29 @@ def beams(texts: DataFrame, lm: DataFrame, gamma: int, intervals: float, seed: i
 
     prefixes (id, path): beams that begin behind other words than the real ones. The real probabilities are the same for all
     beams of a text, whose first word then only tells what stood before; paths come with their prefixes."""
-    words = texts.where(F.size("w") > 0).select("id", "w")
-    first = F.get("w", F.lit(0))
-    now = words.select("id", F.array(first).alias("path"), first.alias("last"), F.lit(1.0).alias("weight"))
-    if prefixes is not None:
-        now = words.select("id").join(prefixes.where(F.size("path") > 0), "id").select("id", "path", F.element_at("path", -1).alias("last"), F.lit(1.0).alias("weight"))
-    longest = words.agg(F.max(F.size("w"))).first()[0] or 0
-    # The real words and their probabilities, met with the model once and kept by step.
+    words = written(texts.where(F.size("w") > 0).select("id", "w").withColumn("t", F.monotonically_increasing_id()))
+    longest, rows, signs = words.agg(F.max(F.size("w")), F.count("*"), F.sum(F.length(F.array_join("w", " ")))).first()
+    longest, small = longest or 0, gamma * (signs or 0) <= SENT_BYTES
+    near = F.broadcast if small else lambda df: df
+    model = laid_out(lm)
+    # The real words' probabilities, met with the model once, and kept beside the words.
     behind = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(i.alias("step"), F.get("w", i - 1).alias("prev"), F.get("w", i).alias("next")))
-    pairs = words.where(F.size("w") > 1).select("id", F.explode(behind).alias("x")).select("id", "x.step", "x.prev", "x.next")
-    reals = pairs.join(lm.select("prev", "next", F.col("p").alias("q")), ["prev", "next"], "left").select("id", "step", F.col("next").alias("word"), "q")
-    reals = written(reals.repartitionByRange("step", "id").sortWithinPartitions("step"))
+    pairs = words.where(F.size("w") > 1).select("t", F.explode(behind).alias("x")).select("t", "x.step", "x.prev", "x.next")
+    asked = pairs.select("prev", "next").distinct()
+    known = model.join(near(asked.select("prev").distinct()), "prev", "left_semi").select("prev", F.explode("nexts").alias("next"), F.col("p").alias("q")).join(near(asked), ["prev", "next"], "left_semi")
+    real = pairs.join(known, ["prev", "next"], "left").groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "q"))), lambda x: x["q"]).alias("qs"))
+    now = words.join(real, "t", "left").select("id", "w", "qs", F.slice("w", 1, 1).alias("path"), F.get("w", F.lit(0)).alias("last"), F.lit(1.0).alias("weight"))
+    if prefixes is not None:
+        now = now.drop("path", "last").join(prefixes.where(F.size("path") > 0), "id").select("id", "w", "qs", "path", F.element_at("path", -1).alias("last"), "weight")
+    now = written(now.withColumn("n", F.monotonically_increasing_id()).withColumn("k", F.lit(1)))
     done = None
     for step in range(1, longest):
-        real = reals.where(F.col("step") == step).select("id", "word", "q")
-        met = now.join(real, "id", "left")
+        met = now.withColumn("word", F.get("w", F.col("k"))).withColumn("q", F.get("qs", F.col("k") - 1))
         ended = F.col("word").isNull() | F.col("last").isin(*stops) if stops else F.col("word").isNull()
         ready = met.where(ended).select("id", "path", "weight")
         done = ready if done is None else done.unionByName(ready)
-        now = written(beam_step(met.where(~ended), lm, gamma, intervals, seed, step))
-        if step % 8 == 0:
+        now = written(beam_step(met.where(~ended), model, gamma, intervals, seed, small, 1 + rows * gamma // TASK_PATHS))
+        if step % 32 == 0:
             done = written(done)
     every = now.select("id", "path", "weight") if done is None else done.unionByName(now.select("id", "path", "weight"))
     if not (reference_first or pad):

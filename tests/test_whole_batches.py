@@ -86,3 +86,39 @@ def test_beams_keep_candidates_at_the_edge_of_the_band(spark):
     lm = spark.createDataFrame([("a", "b", edge[1]), ("a", "x", edge[0])], "prev string, next string, p double")
     texts = spark.createDataFrame([(1, ["a", "b"])], "id int, w array<string>")
     assert sorted(tuple(r.path) for r in sampling.beams(texts, lm, 9, 2).collect()) == [("a", "b"), ("a", "x")]
+
+
+def test_beams_meet_lists_where_they_lie(spark):
+    lm = spark.createDataFrame([("z", f"x{i}", 1 / 600) for i in range(600)] + [("y", "z", 1.0)], "prev string, next string, p double")
+    model = sampling.laid_out(lm)
+    sizes = [r.n for r in model.where("prev = 'z'").selectExpr("size(nexts) n").collect()]
+    assert sum(sizes) == 600 and 1 < len(sizes) < 10  # words of one probability are met as lists, long lists in parts
+    paths = spark.createDataFrame([(1, ["z", "x1"], [1 / 600], ["z"], "z", 1.0, 0, 1, "x1", 1 / 600)], "id int, w array<string>, qs array<double>, path array<string>, last string, weight double, n long, k int, word string, q double")
+    plan = sampling.beam_step(paths, model, 8, 2, 42, True, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(prev" not in plan and "Window" not in plan
+
+
+def test_beams_of_repeated_and_missing_ids(spark):
+    names = [f"x{i}" for i in range(600)]
+    lm = spark.createDataFrame([("z", x, 1 / 600) for x in names] + [("y", "z", 1.0)], "prev string, next string, p double")
+    texts = spark.createDataFrame([(1, ["z", "x3"]), (1, ["z", "x4"]), (2, ["y", "z", "x5"]), (2, ["u"]), (None, ["z", "x6"])], "id int, w array<string>")
+
+    def drawn(key, paths):
+        return sorted(paths, key=lambda p: (hashlib.md5(f"42:{key}:{p}".encode()).hexdigest(), p))[:8]
+
+    # As in the SQL: texts of one id share its paths; without an id there is no hash, and paths come in their order.
+    want = [(1, p) for p in drawn("1:1", [f"z {x}" for x in names] * 2)] + [(2, p) for p in drawn("2:2", [f"y z {x}" for x in names])] + [(2, "u")]
+    want += [(None, p) for p in sorted(f"z {x}" for x in names)[:8]]
+    for few in (True, False):
+        got = [(r.id, " ".join(r.path)) for r in beams_with(few, texts, lm).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def beams_with(few, texts, lm):
+    """The beams with paths sent to the model's lists, or joined with them because they are too many to be sent."""
+    kept = sampling.SENT_BYTES
+    try:
+        sampling.SENT_BYTES = kept if few else 0
+        return sampling.beams(texts, lm, 8, 2)
+    finally:
+        sampling.SENT_BYTES = kept
